@@ -19,7 +19,7 @@ def minmax(hits: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     low, high = F.min("score").over(w), F.max("score").over(w)
     scaled = F.when(high == low, F.lit(1.0)).otherwise((F.col("score") - low) / (high - low))
-    return hits.withColumn("score", F.round(scaled, 6))
+    return hits.withColumn("score", scaled)
 
 
 def prefix_key(content: Column) -> Column:
@@ -62,8 +62,8 @@ def fuse_weighted(vector: DataFrame, graph: DataFrame, k: int, vector_weight: fl
     for weight in (vector_weight, graph_weight):
         if not 0 <= weight <= 1:
             raise ValueError("weights lie in [0, 1]")
-    v = minmax(vector, ["query_id"]).withColumn("score", F.round(F.col("score") * vector_weight, 6))
-    g = minmax(graph, ["query_id"]).withColumn("score", F.round(F.col("score") * graph_weight, 6))
+    v = minmax(vector, ["query_id"]).withColumn("score", F.col("score") * vector_weight)
+    g = minmax(graph, ["query_id"]).withColumn("score", F.col("score") * graph_weight)
     merged = _placed(_tag(v, g))
     if dedup:
         merged = dedup_prefix(merged, ["_source", "_in_rank"])

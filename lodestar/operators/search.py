@@ -177,9 +177,9 @@ def _cell_topk(q: DataFrame, c: DataFrame, k: int, metric: str, floor: float | N
     """Blocks of queries × cells of the corpus, both of bounded size."""
     blocks, cells = _parts(q.count(), QUERIES_PER_BLOCK), _parts(c.count(), ROWS_PER_CELL)
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("bigint"))
+    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
     c = c.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)))
-    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     return (
         q.groupBy("block", "cell")
         .cogroup(c.groupBy("block", "cell"))
@@ -287,7 +287,7 @@ def hybrid_search(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vecto
     w = minmax(keyword_hits, ["query_id"]).select("query_id", "id", F.col("score").alias("keyword_score"))
     both = v.join(w, ["query_id", "id"], "full_outer").fillna(0.0, ["vector_score", "keyword_score"])
     scored = both.withColumn(
-        "score", F.round(F.lit(vector_weight) * F.col("vector_score") + F.lit(keyword_weight) * F.col("keyword_score"), 6)
+        "score", F.lit(vector_weight) * F.col("vector_score") + F.lit(keyword_weight) * F.col("keyword_score")
     )
     return _rank(scored, k)
 

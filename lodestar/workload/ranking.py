@@ -1 +1,174 @@
-"""..."""
+"""Reranking, retrieval metrics and the flagship question-to-context query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import chunking as K
+from ..operators import context as X
+from ..operators import embedding as D
+from ..operators import rerank as R
+from ..operators import search as S
+from .base import query
+from .chunks import SQL_WORDS, sql_windows
+from .vectors import DIM, _vec, centroids, document_hits, sql_document_pairs, sql_embed, sql_pairs, sql_rank, text_queries
+
+
+def lower_words(x: str) -> str:
+    return SQL_WORDS.replace("(text,", f"(lower({x}),")
+
+
+def sql_bm25_corpus(k: int) -> str:
+    return sql_rank(f"""
+      WITH base AS (SELECT doc_id, {lower_words('text')} AS toks FROM documents),
+      st AS (SELECT count(*) AS n, avg(len(toks)) AS m FROM base),
+      tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM base) GROUP BY ALL),
+      idf AS (SELECT term, ln(n-df+0.5)-ln(df+0.5) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
+      fl AS (SELECT avg(idf)*0.25 AS fl FROM idf),
+      qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({lower_words('text')}) AS term FROM benchmark) GROUP BY ALL),
+      sc AS (SELECT query_id, doc_id, sum(qtf*CASE WHEN idf<0 THEN fl ELSE idf END*tf*2.5/(tf+1.5*(0.25+0.75*len/m))) AS s
+             FROM qt JOIN idf USING (term) JOIN tf USING (term), st, fl GROUP BY ALL)
+      SELECT b.item_id AS query_id, d.doc_id AS id, round(coalesce(s,0),6) AS score
+      FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.query_id=b.item_id AND sc.doc_id=d.doc_id""", k)
+
+
+def sql_bm25_candidates(hits: str, queries: str, k: int) -> str:
+    """``hits``: (query_id, id, content); ``queries``: (query_id, query_text)."""
+    return sql_rank(f"""
+      WITH h AS ({hits}), base AS (SELECT query_id, id, {lower_words('content')} AS toks FROM h),
+      st AS (SELECT query_id, count(*) AS n, avg(len(toks)) AS m FROM base GROUP BY 1),
+      tf AS (SELECT query_id, id, len, term, count(*) AS tf FROM (SELECT query_id, id, len(toks) AS len, unnest(toks) AS term FROM base) GROUP BY ALL),
+      idf AS (SELECT query_id, term, ln(n-df+0.5)-ln(df+0.5) AS idf FROM (SELECT query_id, term, count(*) AS df FROM tf GROUP BY 1,2) JOIN st USING (query_id)),
+      fl AS (SELECT query_id, avg(idf)*0.25 AS fl FROM idf GROUP BY 1),
+      qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({lower_words('query_text')}) AS term FROM ({queries})) GROUP BY ALL),
+      sc AS (SELECT query_id, id, sum(qtf*CASE WHEN idf<0 THEN fl ELSE idf END*tf*2.5/(tf+1.5*(0.25+0.75*len/m))) AS s
+             FROM qt JOIN idf USING (query_id, term) JOIN tf USING (query_id, term) JOIN st USING (query_id) JOIN fl USING (query_id) GROUP BY ALL)
+      SELECT query_id, id, round(coalesce(s,0),6) AS score FROM base LEFT JOIN sc USING (query_id, id)""", k)
+
+
+SQL_HITS = sql_rank(sql_document_pairs(), 10)
+SQL_CONTENT_HITS = f"SELECT h.*, d.text AS content FROM ({SQL_HITS}) h JOIN documents d ON d.doc_id = h.id"
+SQL_QUERIES = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
+
+
+def with_content(t, hits: DataFrame) -> DataFrame:
+    return hits.join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), "id")
+
+
+def content_hits(t, k: int = 10) -> DataFrame:
+    return with_content(t, document_hits(t, k))
+
+
+@query("f01_rerank_default", sql_rank(f"""
+  SELECT query_id, id, CASE WHEN lang='de' THEN 0 ELSE score END AS score FROM ({SQL_HITS}) h JOIN documents d ON d.doc_id=h.id""", 5))
+def rerank_default(t):
+    """German hits lose their score and count 0."""
+    hits = content_hits(t).withColumn("score", F.when(F.col("lang") != "de", F.col("score")))
+    return R.rerank(hits, text_queries(t), "no such strategy", 5).select("query_id", "id", "score", "rank")
+
+
+query("f02_bm25_corpus", sql_bm25_corpus(5))(
+    lambda t: R.bm25_corpus(text_queries(t), t("documents"), 5, query_text="query_text")
+)
+query("f02_bm25_candidates", sql_bm25_candidates(SQL_CONTENT_HITS, SQL_QUERIES, 5))(
+    lambda t: R.rerank(content_hits(t), text_queries(t), "bm25", 5).select("query_id", "id", "score", "rank")
+)
+query("f03_rerank_overlap", f"""
+  SELECT query_id, id, score, CAST(r AS INTEGER) AS rank, original_score, original_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (
+      SELECT query_id, id, round(len(list_intersect(a,b))::DOUBLE / len(list_distinct(list_concat(a,b))),6) AS score, original_score, original_rank
+      FROM (SELECT query_id, id, h.score AS original_score, h.rank AS original_rank,
+                   list_distinct({lower_words('query_text')}) AS a, list_distinct({lower_words('content')}) AS b
+            FROM ({SQL_CONTENT_HITS}) h JOIN ({SQL_QUERIES}) USING (query_id)))) WHERE r <= 5""")(
+    lambda t: R.rerank(content_hits(t), text_queries(t), "model", 5).select(
+        "query_id", "id", "score", "rank", "original_score", "original_rank"
+    )
+)
+
+
+@query("f04_mmr", f"""
+  WITH RECURSIVE hv AS (SELECT query_id, id, score, embedding::DOUBLE[] AS v FROM ({sql_rank(sql_pairs(), 20)}) h JOIN embeddings e ON e.vec_id = h.id),
+  pick AS (
+    SELECT query_id, 0 AS step, []::BIGINT[] AS chosen FROM (SELECT DISTINCT query_id FROM hv)
+    UNION ALL
+    SELECT query_id, step, chosen FROM (
+      SELECT p.query_id, p.step + 1 AS step, list_append(p.chosen, c.id) AS chosen,
+        row_number() OVER (PARTITION BY p.query_id ORDER BY round(0.7*c.score - 0.3*coalesce(
+          (SELECT max(list_cosine_similarity(c.v, s.v)) FROM hv s WHERE s.query_id = p.query_id AND list_contains(p.chosen, s.id)), 0), 6) DESC, c.id) AS r
+      FROM pick p JOIN hv c ON c.query_id = p.query_id WHERE p.step < 5 AND NOT list_contains(p.chosen, c.id)) WHERE r = 1)
+  SELECT hv.query_id, hv.id, hv.score, CAST(step AS INTEGER) AS rank FROM pick JOIN hv ON hv.query_id = pick.query_id AND hv.id = chosen[step] WHERE step > 0""")
+def mmr(t):
+    hits = S.knn(centroids(t), _vec(t, "embeddings"), 20).drop("rank").join(_vec(t, "embeddings").select("id", "embedding"), "id")
+    return R.mmr(hits, 5, 0.3)
+
+
+SQL_METRICS = f"""
+  SELECT query_id, round(hit::DOUBLE/n,6) AS precision, round(hit::DOUBLE/rel,6) AS recall,
+         round(dcg / list_sum(list_transform(range(1, least(n, rel)+1), lambda i: 1/log2(i+1))),6) AS ndcg FROM (
+    SELECT query_id, count(*) AS n, count(*) FILTER (label=query_id) AS hit,
+           sum(CASE WHEN label=query_id THEN 1/log2(rank+1) ELSE 0 END) AS dcg
+    FROM ({sql_rank(sql_pairs(), 10)}) h JOIN embeddings e ON e.vec_id=h.id GROUP BY 1)
+  JOIN (SELECT label AS query_id, count(*) AS rel FROM embeddings GROUP BY 1) USING (query_id)"""
+
+
+def _judged(t):
+    ranked = S.knn(centroids(t), _vec(t, "embeddings"), 10)
+    relevance = t("embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"))
+    return t("embeddings").select(F.col("label").alias("query_id")).distinct(), ranked, relevance
+
+
+query("f05_query_metrics", SQL_METRICS)(lambda t: R.query_metrics(*_judged(t)))
+query("f05_evaluate", f"""
+  SELECT round(avg(precision),6) AS precision, round(avg(recall),6) AS recall, round(avg(ndcg),6) AS ndcg FROM ({SQL_METRICS})""")(
+    lambda t: R.evaluate(*_judged(t))
+)
+
+SQL_STRICT_HITS = f"SELECT * FROM ({SQL_HITS}) WHERE score >= 0.75"
+
+
+@query("g01_answer_envelope", f"""
+  SELECT b.item_id AS query_id, coalesce(n,0) AS total_results, least(coalesce(n,0),3) AS returned_results, coalesce(n,0) > 0 AS reranked
+  FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n FROM ({SQL_STRICT_HITS}) GROUP BY 1) h ON h.query_id=b.item_id""")
+def envelope(t):
+    """A threshold leaves some passages without hits."""
+    docs = D.embed(t("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
+    hits = S.knn(D.embed(text_queries(t), "query_text", DIM), docs, 10, min_score=0.75)
+    return X.answer_envelope(text_queries(t), hits, R.rerank_default(hits.drop("rank"), 3))
+
+
+@query("e09_hybrid_search", f"""
+  WITH v AS ({sql_rank(sql_document_pairs(), 20)}), k AS ({sql_bm25_corpus(20)}),
+  vn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END AS s FROM v WINDOW w AS (PARTITION BY query_id)),
+  kn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score-min(score) OVER w)/(max(score) OVER w-min(score) OVER w) END AS s FROM k WINDOW w AS (PARTITION BY query_id)),
+  f AS (SELECT query_id, id, coalesce(vn.s,0) AS a, coalesce(kn.s,0) AS b FROM vn FULL JOIN kn USING (query_id, id))
+  SELECT query_id, id, round(a,6) AS vector_score, round(b,6) AS keyword_score, round(score,6) AS score, CAST(r AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r
+    FROM (SELECT *, 0.7::DOUBLE*a + 0.3::DOUBLE*b AS score FROM f)) WHERE r <= 10""")
+def hybrid(t):
+    vector = document_hits(t, 20)
+    keyword = R.bm25_corpus(text_queries(t), t("documents"), 20, query_text="query_text")
+    out = S.hybrid_search(vector, keyword, 10)
+    return out.select("query_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("vector_score", "keyword_score", "score")])
+
+
+SQL_CHUNKS = f"SELECT md5(doc_id || '|tokens|' || chunk_index) AS id, text FROM ({sql_windows(50, 10)})"
+SQL_CHUNK_HITS = sql_rank(f"""
+  SELECT q.id AS query_id, d.id AS id, round(list_cosine_similarity(q.v, d.v),6) AS score
+  FROM ({sql_embed('benchmark', 'item_id', 'text')}) q, ({sql_embed(f'({SQL_CHUNKS})', 'id', 'text')}) d""", 5)
+
+
+@query("flagship_context", f"""
+  WITH hit AS (SELECT h.query_id, h.id, c.text AS content FROM ({SQL_CHUNK_HITS}) h JOIN ({SQL_CHUNKS}) c ON c.id = h.id),
+  best AS ({sql_bm25_candidates('SELECT * FROM hit', SQL_QUERIES, 3)})
+  SELECT query_id, string_agg('[Document ' || rank || ']: ' || content, chr(10)||chr(10) ORDER BY rank) AS context
+  FROM best JOIN hit USING (query_id, id) GROUP BY 1""")
+def flagship(t):
+    """Question → nearest chunks → BM25 rerank → context."""
+    chunks = K.with_chunk_ids(K.chunk_tokens(t("documents"), size=50, overlap=10), "tokens").select(F.col("chunk_id").alias("id"), "text")
+    queries = text_queries(t)
+    hits = S.knn(D.embed(queries, "query_text", DIM), D.embed(chunks, "text", DIM), 5)
+    # At most k rows per query go on; the chunk text is fetched for those alone.
+    candidates = hits.join(chunks.withColumnRenamed("text", "content"), "id").select("query_id", "id", "content", "score")
+    best = R.bm25_candidates(candidates, queries, 3)
+    return X.format_context(queries, best)

@@ -1 +1,190 @@
-"""..."""
+"""Embedding and vector search.
+
+Query vectors are the mean vectors of the labels, so their number is the number
+of labels and the work grows linearly with the table. Text queries are the
+``benchmark`` passages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import embedding as D
+from ..functions import vectors as V
+from ..operators import search as S
+from ..operators.collections import check_dimension, index_documents
+from .base import query
+from .chunks import SQL_WORDS
+
+DIM = 64
+
+
+def centroids(t) -> DataFrame:
+    """(query_id, embedding): mean vector per label."""
+    parts = t("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
+    return means.groupBy(F.col("label").alias("query_id")).agg(vector.alias("embedding"))
+
+
+SQL_CENTROIDS = """SELECT label AS query_id, list(x ORDER BY i) AS q FROM (
+    SELECT label, i, round(avg(x::DOUBLE),6) AS x FROM (
+      SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1"""
+
+SQL_SCORES = {
+    "cosine": "list_cosine_similarity(q, embedding::DOUBLE[])",
+    "dot": "list_inner_product(q, embedding::DOUBLE[])",
+    "euclid": "-list_distance(q, embedding::DOUBLE[])",
+}
+
+
+def sql_rank(source: str, k: int, show: str = "score") -> str:
+    return f"""SELECT query_id, id, {show} AS score, CAST(r AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ({source})) WHERE r <= {k}"""
+
+
+def sql_pairs(metric: str = "cosine", where: str = "true") -> str:
+    return f"""SELECT query_id, vec_id AS id, round({SQL_SCORES[metric]},6) AS score
+      FROM ({SQL_CENTROIDS}), embeddings WHERE {where}"""
+
+
+def sql_embed(source: str, key: str, text: str) -> str:
+    """(id, v): hashed unit vectors, FLOAT precision."""
+    words = SQL_WORDS.replace("(text,", f"({text},")
+    return f"""
+      SELECT id, CASE WHEN n = 0 THEN raw ELSE list_transform(raw, lambda x: (x/n)::FLOAT::DOUBLE) END AS v FROM (
+        SELECT id, list(s ORDER BY b) AS raw, sqrt(sum(s*s)) AS n FROM (
+          SELECT ids.id AS id, d.b AS b, coalesce(s, 0)::DOUBLE AS s FROM (SELECT {key} AS id FROM {source}) ids CROSS JOIN (SELECT unnest(range({DIM})) AS b) d
+          LEFT JOIN (
+            SELECT id, CAST('0x' || substr(h,1,8) AS BIGINT) % {DIM} AS b, sum(CASE WHEN substr(h,9,1) IN ('0','2','4','6','8','a','c','e') THEN 1 ELSE -1 END) AS s
+            FROM (SELECT id, md5(lower(tok)) AS h FROM (SELECT {key} AS id, unnest({words}) AS tok FROM {source})) GROUP BY ALL) x
+          ON x.id = ids.id AND x.b = d.b) GROUP BY id)"""
+
+
+def _vec(t, name: str) -> DataFrame:
+    return t(name).select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query("d01_embed", f"""
+  SELECT id AS doc_id, CAST(i AS INTEGER) AS slot, round(x,6) AS value FROM (
+    SELECT id, unnest(v) AS x, unnest(range({DIM})) AS i FROM ({sql_embed('documents', 'doc_id', 'text')})) WHERE x <> 0""")
+def embed(t):
+    made = D.embed(t("documents").select("doc_id", "text"), "text", DIM)
+    slots = made.select("doc_id", F.posexplode("embedding").alias("slot", "x"))
+    return slots.where("x <> 0").select("doc_id", "slot", F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+@query("d02_cache_counts", """
+  WITH k AS (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY 1),
+  c AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE lang='en')
+  SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS distinct_texts, CAST(coalesce(sum(n) FILTER (c.k IS NOT NULL),0) AS BIGINT) AS request_hits,
+         count(c.k) AS text_hits, count(*) - count(c.k) AS computed FROM k LEFT JOIN c USING (k)""")
+def cache_counts(t):
+    known = t("documents").where("lang = 'en'").select(D.cache_key(F.col("text"), "hash").alias("cache_key")).distinct()
+    cache = known.withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), DIM))
+    return D.cache_counts(t("documents"), "text", cache, "hash", DIM)
+
+
+@query("d02_embed_cached", f"""
+  SELECT d.doc_id, 'hash:' || md5(d.text) AS cache_key, round(list_sum(v),4) AS total FROM documents d
+  JOIN ({sql_embed('documents', 'doc_id', 'text')}) e ON e.id = d.doc_id""")
+def embed_cached(t):
+    docs = t("documents").select("doc_id", "text", "lang")
+    english = docs.where("lang = 'en'").groupBy(D.cache_key(F.col("text"), "hash").alias("cache_key")).agg(F.min("text").alias("text"))
+    cache = D.embed(english, "text", DIM).select("cache_key", "embedding")
+    vectors, _ = D.embed_cached(docs, "text", cache, "hash", DIM)
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return vectors.select("doc_id", "cache_key", F.round(total, 4).alias("total"))
+
+
+@query("d03_blank_vectors", """
+  SELECT doc_id, CAST(CASE WHEN lang='en' THEN 0 ELSE 1 END AS INTEGER) AS has_vector FROM documents""")
+def blank_vectors(t):
+    """English texts are blanked out here; their rows stay and their vectors are zero."""
+    blanked = t("documents").select("doc_id", F.when(F.col("lang") == "en", F.lit(" \t")).otherwise(F.col("text")).alias("text"))
+    made = D.embed(blanked, "text", DIM)
+    return made.select("doc_id", F.exists("embedding", lambda x: x != 0).cast("int").alias("has_vector"))
+
+
+query("d04_l2_normalise", """
+  SELECT vec_id, CAST(i AS INTEGER) AS slot, round(x/n,6) AS value FROM (
+    SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i,
+           sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""")(
+    lambda t: t("embeddings").select("vec_id", F.posexplode(V.l2_normalise(F.col("embedding"))).alias("slot", "x")).select(
+        "vec_id", "slot", F.round("x", 6).alias("value")
+    )
+)
+
+for _metric in ("cosine", "dot", "euclid"):
+    _id = {"cosine": "e01", "dot": "e02", "euclid": "e03"}[_metric]
+    query(f"{_id}_knn_{_metric}", sql_rank(sql_pairs(_metric), 10, "abs(score)" if _metric == "euclid" else "score"))(
+        lambda t, m=_metric: S.knn(centroids(t), _vec(t, "embeddings"), 10, m)
+    )
+query("e04_knn_filtered", sql_rank(sql_pairs("cosine", "label = 3"), 10))(
+    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, filters={"label": 3})
+)
+query("e05_knn_threshold", sql_rank(f"SELECT * FROM ({sql_pairs()}) WHERE score >= 0.2", 10))(
+    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, min_score=0.2)
+)
+query("e06_knn_batch", sql_rank(f"SELECT * FROM ({sql_pairs('cosine', 'label = 3')}) WHERE score >= 0.1", 5))(
+    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 5, filters={"label": 3}, min_score=0.1)
+)
+query("e06_knn_in_blocks", sql_rank(sql_pairs(), 10))(
+    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, broadcast_queries=1)
+)
+query("e07_knn_overfetch", sql_rank(f"SELECT query_id, id, score FROM ({sql_rank(sql_pairs(), 20)}) WHERE score >= 0.25", 10))(
+    lambda t: S.knn_overfetch(centroids(t), _vec(t, "embeddings"), 10, 0.25)
+)
+
+
+@query("e08_knn_approx")
+def approx(t):
+    """K-means cells; no SQL counterpart. Recall against exact search is tested."""
+    return S.knn_approx(centroids(t), _vec(t, "embeddings"), 10, cells=16, nprobe=6)
+
+
+def text_queries(t) -> DataFrame:
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def document_hits(t, k: int = 10) -> DataFrame:
+    """Documents closest to each benchmark passage."""
+    docs = D.embed(t("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
+    asked = D.embed(text_queries(t), "query_text", DIM)
+    return S.knn(asked, docs, k)
+
+
+def sql_document_pairs() -> str:
+    return f"""SELECT q.id AS query_id, d.id AS id, round(list_cosine_similarity(q.v, d.v),6) AS score
+      FROM ({sql_embed('benchmark', 'item_id', 'text')}) q, ({sql_embed('documents', 'doc_id', 'text')}) d"""
+
+
+query("e01_knn_documents", sql_rank(sql_document_pairs(), 10))(document_hits)
+
+
+@query("e10_shape_hits", f"""
+  SELECT h.query_id, h.id, h.score, h.rank, CASE WHEN lang='de' THEN '' ELSE text END AS content, lang, source
+  FROM ({sql_rank(sql_document_pairs(), 10)}) h JOIN documents d ON d.doc_id = h.id""")
+def shape(t):
+    """German payloads come without their text here."""
+    shown = F.create_map(F.lit("text"), F.col("text"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    payload = F.when(F.col("lang") == "de", F.map_filter(shown, lambda k, _: k != "text")).otherwise(shown)
+    points = t("documents").select(F.col("doc_id").alias("id"), payload.alias("payload"))
+    shaped = S.shape_hits(document_hits(t), points)
+    return shaped.select("query_id", "id", "score", "rank", "content", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
+
+
+@query("a11_index_documents", f"""
+  SELECT CAST(doc_id AS VARCHAR) AS id, 2 AS version, md5(text) AS text_md5, lang, 64 AS dim FROM documents""")
+def index(t):
+    docs = t("documents").select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    embedder = D.hash_embedder(DIM)
+    first = index_documents(docs.where("lang = 'en'"), embedder, None, "doc_id", "text", F.lit(1))
+    both = index_documents(docs, embedder, first, "doc_id", "text", F.lit(2))
+    return both.select("id", "version", F.md5(F.col("payload")["text"]).alias("text_md5"), F.col("payload")["lang"].alias("lang"), F.size("vector").alias("dim"))
+
+
+query("a09_wrong_dimension", "SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")(
+    lambda t: check_dimension(t("embeddings"), "embedding", 64).select("vec_id")
+)
