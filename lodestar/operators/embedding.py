@@ -13,22 +13,36 @@ from pyspark.sql import functions as F
 from ..functions.strings import is_blank
 
 
-def hashed_vectors(texts: list[str | None], dim: int, seen: dict[str, tuple[int, float]]) -> np.ndarray:
+MEMO = 200_000
+
+
+class _Slots(dict):
+    """Token → slot; slots of negative tokens are shifted by ``dim``."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode("utf-8")).hexdigest()
+        slot = int(digest[:8], 16) % self.dim + (self.dim if int(digest[8], 16) % 2 else 0)
+        self[token] = slot
+        return slot
+
+
+def hashed_vectors(texts: list[str | None], dim: int, slots: _Slots | None = None) -> np.ndarray:
     """Signed feature hashing (Weinberger et al. 2009), unit length, blank → zeros.
 
     A lower-cased token's md5 gives its slot (first eight hex digits modulo
     ``dim``) and its sign (ninth digit even or odd).
     """
+    slots = _Slots(dim) if slots is None else slots
     out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
-        for token in (text or "").lower().split():
-            place = seen.get(token)
-            if place is None:
-                digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-                place = int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
-                if len(seen) < 200_000:  # Bounds the memo's memory, not the result.
-                    seen[token] = place
-            out[row, place[0]] += place[1]
+        tokens = text.lower().split() if text else ()
+        if tokens:
+            counts = np.bincount([slots[token] for token in tokens], minlength=2 * dim)
+            out[row] = counts[:dim] - counts[dim:]
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
@@ -36,9 +50,11 @@ def hashed_vectors(texts: list[str | None], dim: int, seen: dict[str, tuple[int,
 def hash_embedder(dim: int = 64) -> Callable[[Column], Column]:
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, tuple[int, float]] = {}
+        slots = _Slots(dim)
         for texts in batches:
-            yield pd.Series(list(hashed_vectors(texts.tolist(), dim, seen).astype(np.float32)))
+            yield pd.Series(list(hashed_vectors(texts.tolist(), dim, slots).astype(np.float32)))
+            if len(slots) > MEMO:  # Bounds the memo's memory, not the result.
+                slots.clear()
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import words
+from ..session import durable
 
 K1 = 1.5
 B = 0.75
@@ -40,35 +42,60 @@ def query_terms(queries: DataFrame, text_col: str) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int, query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class CorpusStatistics:
+    """Document frequencies (term, df) and three numbers; as large as the vocabulary, not as the corpus."""
+
+    terms: DataFrame
+    n: int
+    mean_length: float
+    floor: float
+
+
+def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatistics:
+    """One pass over the corpus, combined on the map side. Compute once, use for every batch of queries.
+
+    Each document adds one row with a NULL term, which counts the documents and
+    their lengths in the same aggregation.
+    """
+    tokens = docs.select(_tokens(F.col(text_col)).alias("tokens"))
+    total = F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").cast("bigint").alias("length"))
+    each = F.transform(F.array_distinct("tokens"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("length")))
+    counted = tokens.select(F.inline(F.concat(F.array(total), each))).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
+    )
+    counted = durable(counted)
+    whole = counted.where("term is null").first()
+    n = whole["df"] if whole else 0
+    terms = counted.where("term is not null").select("term", "df")
+    mean_idf = terms.agg(F.avg(_idf(F.lit(float(n)), F.col("df")))).first()[0] or 0.0
+    return CorpusStatistics(terms, n, whole["length"] / n if n else 0.0, EPSILON * mean_idf)
+
+
+def bm25_corpus(
+    queries: DataFrame, docs: DataFrame, k: int, query_text: str = "text", id_col: str = "doc_id", text_col: str = "text",
+    statistics: CorpusStatistics | None = None,
+) -> DataFrame:
     """Top-k by BM25 with statistics of the whole corpus.
 
-    Two passes over the corpus. The first counts documents per term with
-    map-side combine; the second keeps only tokens that some query asks for
-    before it counts anything, and never keeps tokens across passes. Documents
-    without a query term score 0 and fill up a short list in id order (the first k
-    ids are enough for that as long as the mean idf is not negative, that is,
-    unless the average term occurs in more than half of the documents).
+    The corpus is tokenised once for the statistics and once for the scores; the
+    second pass drops every token that no query asks for before it counts
+    anything. Documents without a query term score 0 and fill up a short list in
+    id order (the first k ids are enough for that as long as the mean idf is not
+    negative, that is, unless the average term occurs in more than half of the
+    documents).
     """
+    stats = statistics or corpus_statistics(docs, text_col)
+    idf = _idf(F.lit(float(stats.n)), F.col("df"))
+    weight = F.col("qtf") * F.when(idf < 0, F.lit(stats.floor)).otherwise(idf)
+    terms = query_terms(queries, query_text).join(stats.terms, "term").select("query_id", "term", weight.alias("weight"))
     base = docs.select(F.col(id_col).alias("id"), _tokens(F.col(text_col)).alias("tokens"))
-    sizes = base.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    frequency = base.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    n = sizes.select("n").scalar()
-    rated = frequency.select("term", _idf(n, F.col("df")).alias("idf"))
-    floor = rated.agg(F.avg("idf") * EPSILON).scalar()
-    terms = query_terms(queries, query_text).join(rated, "term").select(
-        "query_id", "term", (F.col("qtf") * F.when(F.col("idf") < 0, floor).otherwise(F.col("idf"))).alias("weight")
-    )
-    mean_length = sizes.select("mean_length").scalar()
-    wanted = terms.select("term").distinct()
     postings = (
         base.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
+        .join(query_terms(queries, query_text).select("term").distinct(), "term", "left_semi")
         .groupBy("id", "term", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
-        .select("id", "term", _gain(F.col("tf"), F.col("length"), mean_length).alias("gain"))
+        .select("id", "term", _gain(F.col("tf"), F.col("length"), F.lit(stats.mean_length)).alias("gain"))
     )
     # k rows, whatever the corpus holds. They enter the sum as zeros, so a filler
     # that also matches keeps its own score.
@@ -82,34 +109,27 @@ def bm25_corpus(queries: DataFrame, docs: DataFrame, k: int, query_text: str = "
 def bm25_candidates(hits: DataFrame, queries: DataFrame, k: int, query_text: str = "query_text") -> DataFrame:
     """Rerank each query's own candidates (query_id, id, content, score) with their own statistics.
 
-    Everything is keyed by ``query_id``: one exchange serves all the steps.
+    The candidates are shuffled once by ``query_id``; counts, frequencies and
+    means are windows over that one layout.
     """
-    docs = hits.select(
-        "query_id", "id", "content", F.col("score").alias("original_score"), _tokens(F.col("content")).alias("tokens")
-    ).repartition("query_id")
     by_query = Window.partitionBy("query_id")
-    docs = docs.withColumn("length", F.size("tokens")).withColumn("n", F.count(F.lit(1)).over(by_query)).withColumn(
-        "mean_length", F.avg("length").over(by_query)
-    )
-    frequency = docs.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("query_id", "term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    sizes = docs.groupBy("query_id").agg(F.first("n").alias("n"))
-    rated = frequency.join(sizes, "query_id").select("query_id", "term", _idf(F.col("n"), F.col("df")).alias("idf"))
-    rated = rated.withColumn("floor", EPSILON * F.avg("idf").over(by_query))
-    weights = query_terms(queries, query_text).join(rated, ["query_id", "term"]).select(
-        "query_id", "term", (F.col("qtf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight")
-    )
-    tf = docs.select("query_id", "id", "length", "mean_length", F.explode("tokens").alias("term")).groupBy(
-        "query_id", "id", "length", "mean_length", "term"
-    ).agg(F.count(F.lit(1)).alias("tf"))
-    scored = (
-        tf.join(weights, ["query_id", "term"])
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("weight") * _gain(F.col("tf"), F.col("length"), F.col("mean_length"))).alias("score"))
+    docs = hits.select("query_id", "id", _tokens(F.col("content")).alias("tokens")).withColumn("length", F.size("tokens"))
+    docs = docs.withColumn("n", F.count(F.lit(1)).over(by_query)).withColumn("mean_length", F.avg("length").over(by_query))
+    tf = (
+        docs.select("query_id", "id", "length", "n", "mean_length", F.explode_outer("tokens").alias("term"))
+        .groupBy("query_id", "id", "length", "n", "mean_length", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    out = docs.select("query_id", "id", "content", "original_score").join(scored, ["query_id", "id"], "left")
-    return _ranked(out.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)), k)
+    rated = tf.withColumn("df", F.when(F.col("term").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("query_id", "term"))))
+    rated = rated.withColumn("idf", _idf(F.col("n"), F.col("df")))
+    # A term stands in df rows, each of which carries its share: the mean is over distinct terms.
+    mean_idf = F.sum(F.col("idf") / F.col("df")).over(by_query) / F.sum(1 / F.col("df")).over(by_query)
+    rated = rated.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * mean_idf).otherwise(F.col("idf")))
+    asked = rated.join(query_terms(queries, query_text), ["query_id", "term"], "left")
+    part = F.col("qtf") * F.col("idf") * _gain(F.col("tf"), F.col("length"), F.col("mean_length"))
+    scored = asked.groupBy("query_id", "id").agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("score"))
+    best = _ranked(scored, k)
+    return best.join(hits.select("query_id", "id", "content", F.col("score").alias("original_score")), ["query_id", "id"])
 
 
 def rerank_default(hits: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import ship, spread, table
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,11 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts, on all cores."""
+        frame = self(name)
+        return spread(frame, frame.columns[0])
+
 
 REGISTRY: dict[str, Entry] = {}
 
@@ -35,7 +40,12 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"{name} is registered twice")
-        REGISTRY[name] = Entry(lambda spark, folder: fn(Tables(spark, folder)), sql)
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        REGISTRY[name] = Entry(run, sql)
         return fn
 
     return wrap

@@ -54,10 +54,10 @@ def sql_semantic(low: int, high: int, overlap: int, length: str = "length({x})")
 COLUMNS = ["doc_id", "chunk_index", "text", "start", "end", "size"]
 
 query("c01_chunk_semantic", sql_semantic(500, 1500, 100))(
-    lambda t: K.chunk_semantic(t("documents")).select("doc_id", "chunk_index", "text", "size")
+    lambda t: K.chunk_semantic(t.texts("documents")).select("doc_id", "chunk_index", "text", "size")
 )
 query("c10_chunk_semantic_by_tokens", sql_semantic(80, 200, 100, "(length({x}) - length(replace({x}, ' ', '')) + 1)"))(
-    lambda t: K.chunk_semantic(t("documents"), low=80, high=200, length="tokens").select("doc_id", "chunk_index", "text", "size")
+    lambda t: K.chunk_semantic(t.texts("documents"), low=80, high=200, length="tokens").select("doc_id", "chunk_index", "text", "size")
 )
 
 
@@ -82,16 +82,16 @@ query("c02_chunk_fixed", f"""
       FROM walk w JOIN base USING (doc_id) WHERE w.b < length(base.x)))
   SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(x, a+1, b-a) AS text
   FROM walk JOIN base USING (doc_id)""")(
-    lambda t: K.chunk_fixed(t("documents")).select("doc_id", "chunk_index", "start", "end", "text")
+    lambda t: K.chunk_fixed(t.texts("documents")).select("doc_id", "chunk_index", "start", "end", "text")
 )
 
-query("c03_chunk_tokens", sql_windows(50, 10))(lambda t: K.chunk_tokens(t("documents"), size=50, overlap=10).select(*COLUMNS))
-query("c03_chunk_tokens_api_sizes", sql_windows(500, 100))(lambda t: K.chunk_tokens(t("documents"), size=500, overlap=100).select(*COLUMNS))
+query("c03_chunk_tokens", sql_windows(50, 10))(lambda t: K.chunk_tokens(t.texts("documents"), size=50, overlap=10).select(*COLUMNS))
+query("c03_chunk_tokens_api_sizes", sql_windows(500, 100))(lambda t: K.chunk_tokens(t.texts("documents"), size=500, overlap=100).select(*COLUMNS))
 
 
 query("c04_source_index", """
   SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS source_index FROM documents""")(
-    lambda t: K.source_index(t("documents"), "doc_id")
+    lambda t: K.source_index(t.texts("documents"), "doc_id")
 )
 
 query("c05_pack_tokens", f"""
@@ -102,7 +102,7 @@ query("c05_pack_tokens", f"""
   SELECT window_id, string_agg(tok, ' ' ORDER BY p) AS text, window_id*400 AS token_start, window_id*400 + count(*) AS token_end,
          count(*) AS token_count, count(DISTINCT doc_id) AS n_sources
   FROM wins GROUP BY window_id""")(
-    lambda t: K.pack_tokens(t("documents"), "doc_id", "text", 500, 100).select(
+    lambda t: K.pack_tokens(t.texts("documents"), "doc_id", "text", 500, 100).select(
         "window_id", "text", "token_start", "token_end", F.col("token_count").cast("bigint").alias("token_count"), "n_sources"
     )
 )
@@ -112,17 +112,17 @@ query("c06_split_tokens", f"SELECT doc_id, text FROM ({sql_windows(200, 40, 'ben
 )
 query("c07_chunk_ids", f"""
   SELECT md5(doc_id || '|tokens|' || chunk_index) AS chunk_id, doc_id, chunk_index, size FROM ({sql_windows(50, 10)})""")(
-    lambda t: K.with_chunk_ids(K.chunk_tokens(t("documents"), size=50, overlap=10), "tokens").select("chunk_id", "doc_id", "chunk_index", "size")
+    lambda t: K.with_chunk_ids(K.chunk_tokens(t.texts("documents"), size=50, overlap=10), "tokens").select("chunk_id", "doc_id", "chunk_index", "size")
 )
 query("c08_chunk_dual", f"""
   SELECT doc_id, 'fine' AS resolution, chunk_index, md5(text) AS text_md5, start, "end" FROM ({sql_windows(500, 100)})
   UNION ALL SELECT doc_id, 'coarse', chunk_index, md5(text), start, "end" FROM ({sql_windows(1000, 200)})""")(
-    lambda t: K.chunk_dual(t("documents")).select("doc_id", "resolution", "chunk_index", F.md5("text").alias("text_md5"), "start", "end")
+    lambda t: K.chunk_dual(t.texts("documents")).select("doc_id", "resolution", "chunk_index", F.md5("text").alias("text_md5"), "start", "end")
 )
 query("c09_chunk_stats", f"""
   SELECT doc_id, count(*) AS n_chunks, min(length(text)) AS min_chars, max(length(text)) AS max_chars,
          round(avg(length(text)),6) AS avg_chars, CAST(sum(size) AS BIGINT) AS total_size FROM ({sql_windows(50, 10)}) GROUP BY 1""")(
-    lambda t: K.chunk_stats(K.chunk_tokens(t("documents"), size=50, overlap=10))
+    lambda t: K.chunk_stats(K.chunk_tokens(t.texts("documents"), size=50, overlap=10))
 )
 
 
@@ -132,7 +132,7 @@ query("c09_chunk_stats", f"""
   UNION ALL SELECT 'errors', count(*), count(DISTINCT doc_id) FROM documents WHERE source = 'src0'""")
 def ingest(t):
     """One source's files arrive unreadable; the others go through."""
-    files = t("documents").select(
+    files = t.texts("documents").select(
         F.col("doc_id").cast("string").alias("path"), F.when(F.col("source") != "src0", F.encode("text", "UTF-8")).alias("content")
     )
     chunks, errors = K.ingest_batch(files, size=100, overlap=20)

@@ -25,7 +25,7 @@ def vector_list(t) -> DataFrame:
 
 
 def graph_list(t) -> DataFrame:
-    hits = R.bm25_corpus(text_queries(t), t("documents"), K, query_text="query_text")
+    hits = R.bm25_corpus(text_queries(t), t.texts("documents"), K, query_text="query_text")
     return with_content(t, hits).select(*LISTED)
 
 
@@ -82,7 +82,7 @@ query("g05_fuse_cascade", f"""
 )
 query("g06_dedup_prefix", f"""
   SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {sql_key('text')} ORDER BY doc_id) = 1""")(
-    lambda t: U.dedup_prefix_global(t("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id")
+    lambda t: U.dedup_prefix_global(t.texts("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id")
 )
 
 
@@ -93,7 +93,7 @@ query("g06_dedup_prefix", f"""
   FROM documents LEFT JOIN labels USING (doc_id)""")
 def normalise_graph_hits(t):
     """Rows of one source arrive as bare strings, the others with content and confidence."""
-    docs = t("documents").join(t("labels"), "doc_id", "left")
+    docs = t.texts("documents").join(t("labels"), "doc_id", "left")
     full = F.col("source") != "src0"
     foreign = docs.select(
         F.col("lang").alias("query_id"),

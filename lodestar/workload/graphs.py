@@ -223,7 +223,7 @@ def _listed(t):
     entities = t("nation").where("n_regionkey = 1").select(F.col("n_name").alias("name")).unionByName(
         t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("name"))
     )
-    relations = t("nation").select(F.lit("in_nation").alias("name")).distinct()
+    relations = triplets(t).where(F.startswith("predicate", F.lit("in_n"))).select(F.col("predicate").alias("name"))
     return entities, relations
 
 

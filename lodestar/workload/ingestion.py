@@ -59,7 +59,7 @@ query("a02_route_formats", """
   FROM (SELECT page_id, url, lower(regexp_extract(url,'(\\.[^./]+)$',1)) AS e,
         CASE WHEN html LIKE '%<table%' THEN 'table' WHEN html LIKE '%<h1%' THEN 'presentation' ELSE 'text' END AS ct FROM pages)""")(
     lambda t: formats.route_formats(
-        t("pages").withColumn(
+        t.texts("pages").withColumn(
             "ct", F.when(F.contains("html", F.lit("<table")), "table").when(F.contains("html", F.lit("<h1")), "presentation").otherwise("text")
         ),
         "url",
@@ -68,7 +68,7 @@ query("a02_route_formats", """
 )
 
 query("a03_decode_text", "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n FROM documents")(
-    lambda t: t("documents").select("doc_id", files.decode_text(F.encode("text", "UTF-8")).alias("x")).select(
+    lambda t: t.texts("documents").select("doc_id", files.decode_text(F.encode("text", "UTF-8")).alias("x")).select(
         "doc_id", F.md5("x").alias("text_md5"), F.length("x").alias("n")
     )
 )
@@ -109,37 +109,37 @@ def json_xml(t):
 
 query("b01_strip_boilerplate", f"""
   SELECT page_id, md5(x) AS html_md5, CAST(length(x) AS INTEGER) AS n FROM (SELECT page_id, {SQL_STRIP.format(x='html')} AS x FROM pages)""")(
-    lambda t: t("pages").select("page_id", H.strip_boilerplate(F.col("html")).alias("x")).select(
+    lambda t: t.texts("pages").select("page_id", H.strip_boilerplate(F.col("html")).alias("x")).select(
         "page_id", F.md5("x").alias("html_md5"), F.length("x").alias("n")
     )
 )
 query("b02_html_to_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")(
-    lambda t: t("pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
+    lambda t: t.texts("pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
 )
 query("b03_extract_tags", f"""
   SELECT page_id, array_to_string(list_filter(list_transform(
       list_concat(regexp_extract_all(x, '{H.tag_pattern("h1")}', 1), regexp_extract_all(x, '{H.tag_pattern("title")}', 1)),
       lambda f: {sql_fragment('f')}), lambda f: f <> ''), chr(10)||chr(10)) AS text
   FROM (SELECT page_id, {SQL_STRIP.format(x='html')} AS x FROM pages)""")(
-    lambda t: t("pages").select("page_id", H.extract_tags(F.col("html"), ["h1", "title"]).alias("text"))
+    lambda t: t.texts("pages").select("page_id", H.extract_tags(F.col("html"), ["h1", "title"]).alias("text"))
 )
 query("b04_normalise_paragraphs", f"SELECT doc_id, md5({sql_paragraphs('text')}) AS text_md5 FROM documents")(
-    lambda t: t("documents").select("doc_id", F.md5(H.normalise_paragraphs(F.col("text"))).alias("text_md5"))
+    lambda t: t.texts("documents").select("doc_id", F.md5(H.normalise_paragraphs(F.col("text"))).alias("text_md5"))
 )
 query("b05_page_metadata", f"""
   SELECT page_id, url, CASE WHEN regexp_matches(html, '{H.tag_pattern("title")}')
      THEN {sql_squeeze(sql_unescape(f"regexp_extract(html, '{H.tag_pattern('title')}', 1)"))} END AS title,
      CAST(CASE WHEN regexp_matches(html, '{H.tag_pattern("title")}') THEN 2 ELSE 1 END AS INTEGER) AS n_keys FROM pages""")(
-    lambda t: t("pages").select("page_id", H.page_metadata(F.col("url"), F.col("html")).alias("m")).select(
+    lambda t: t.texts("pages").select("page_id", H.page_metadata(F.col("url"), F.col("html")).alias("m")).select(
         "page_id", F.col("m")["url"].alias("url"), F.try_element_at("m", F.lit("title")).alias("title"), F.size("m").alias("n_keys")
     )
 )
 query("b06_url_doc_id", "SELECT page_id, md5(url) AS doc_id FROM pages")(
-    lambda t: t("pages").select("page_id", H.url_doc_id(F.col("url")).alias("doc_id"))
+    lambda t: t.texts("pages").select("page_id", H.url_doc_id(F.col("url")).alias("doc_id"))
 )
 query("b07_merge_metadata", """
   SELECT doc_id, lang AS language, 'batch' AS source, CAST(doc_id AS VARCHAR) AS document_id FROM documents""")(
-    lambda t: t("documents").select(
+    lambda t: t.texts("documents").select(
         "doc_id",
         H.merge_metadata(
             F.create_map(F.lit("language"), F.col("lang"), F.lit("source"), F.col("source")),

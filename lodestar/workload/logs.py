@@ -73,9 +73,15 @@ SQL_CATALOG = f"""SELECT table_name, CAST(list_position({list(NAMES)}, table_nam
   SELECT *, column_name IN ({', '.join(f"'{k[0]}'" for k in KEYS.values())}) AS is_primary FROM information_schema.columns WHERE table_name IN {NAMES})"""
 
 
-@query("i02_catalog", SQL_CATALOG)
+@query("i02_catalog", f"""
+  SELECT c.*, coalesce(n, 0) AS n_questions FROM ({SQL_CATALOG}) c LEFT JOIN (
+    SELECT word, count(*) AS n FROM (SELECT DISTINCT event_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM ({SQL_LOG})) GROUP BY 1)
+  ON word = column_name""")
 def catalog_columns(t):
-    return catalog(t)[0]
+    """The catalogue, with the number of questions that name each column."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)))
+    used = log(t).select(F.explode(found).alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_questions"))
+    return catalog(t)[0].join(used, "column_name", "left").fillna(0, ["n_questions"])
 
 
 SQL_RANKED = f"""

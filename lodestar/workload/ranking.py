@@ -53,7 +53,7 @@ SQL_QUERIES = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
 
 
 def with_content(t, hits: DataFrame) -> DataFrame:
-    return hits.join(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), "id")
+    return hits.join(t.texts("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), "id")
 
 
 def content_hits(t, k: int = 10) -> DataFrame:
@@ -69,7 +69,7 @@ def rerank_default(t):
 
 
 query("f02_bm25_corpus", sql_bm25_corpus(5))(
-    lambda t: R.bm25_corpus(text_queries(t), t("documents"), 5, query_text="query_text")
+    lambda t: R.bm25_corpus(text_queries(t), t.texts("documents"), 5, query_text="query_text")
 )
 query("f02_bm25_candidates", sql_bm25_candidates(SQL_CONTENT_HITS, SQL_QUERIES, 5))(
     lambda t: R.rerank(content_hits(t), text_queries(t), "bm25", 5).select("query_id", "id", "score", "rank")
@@ -132,7 +132,7 @@ SQL_STRICT_HITS = f"SELECT * FROM ({SQL_HITS}) WHERE score >= 0.75"
   FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n FROM ({SQL_STRICT_HITS}) GROUP BY 1) h ON h.query_id=b.item_id""")
 def envelope(t):
     """A threshold leaves some passages without hits."""
-    docs = D.embed(t("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
+    docs = D.embed(t.texts("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
     hits = S.knn(D.embed(text_queries(t), "query_text", DIM), docs, 10, min_score=0.75)
     return X.answer_envelope(text_queries(t), hits, R.rerank_default(hits.drop("rank"), 3))
 
@@ -147,7 +147,7 @@ def envelope(t):
     FROM (SELECT *, 0.7::DOUBLE*a + 0.3::DOUBLE*b AS score FROM f)) WHERE r <= 10""")
 def hybrid(t):
     vector = document_hits(t, 20)
-    keyword = R.bm25_corpus(text_queries(t), t("documents"), 20, query_text="query_text")
+    keyword = R.bm25_corpus(text_queries(t), t.texts("documents"), 20, query_text="query_text")
     out = S.hybrid_search(vector, keyword, 10)
     return out.select("query_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("vector_score", "keyword_score", "score")])
 
@@ -165,7 +165,7 @@ SQL_CHUNK_HITS = sql_rank(f"""
   FROM best JOIN hit USING (query_id, id) GROUP BY 1""")
 def flagship(t):
     """Question → nearest chunks → BM25 rerank → context."""
-    chunks = K.with_chunk_ids(K.chunk_tokens(t("documents"), size=50, overlap=10), "tokens").select(F.col("chunk_id").alias("id"), "text")
+    chunks = K.with_chunk_ids(K.chunk_tokens(t.texts("documents"), size=50, overlap=10), "tokens").select(F.col("chunk_id").alias("id"), "text")
     queries = text_queries(t)
     hits = S.knn(D.embed(queries, "query_text", DIM), D.embed(chunks, "text", DIM), 5)
     # At most k rows per query go on; the chunk text is fetched for those alone.

@@ -70,7 +70,7 @@ def _vec(t, name: str) -> DataFrame:
   SELECT id AS doc_id, CAST(i AS INTEGER) AS slot, round(x,6) AS value FROM (
     SELECT id, unnest(v) AS x, unnest(range({DIM})) AS i FROM ({sql_embed('documents', 'doc_id', 'text')})) WHERE x <> 0""")
 def embed(t):
-    made = D.embed(t("documents").select("doc_id", "text"), "text", DIM)
+    made = D.embed(t.texts("documents").select("doc_id", "text"), "text", DIM)
     slots = made.select("doc_id", F.posexplode("embedding").alias("slot", "x"))
     return slots.where("x <> 0").select("doc_id", "slot", F.round(F.col("x").cast("double"), 6).alias("value"))
 
@@ -81,16 +81,16 @@ def embed(t):
   SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS distinct_texts, CAST(coalesce(sum(n) FILTER (c.k IS NOT NULL),0) AS BIGINT) AS request_hits,
          count(c.k) AS text_hits, count(*) - count(c.k) AS computed FROM k LEFT JOIN c USING (k)""")
 def cache_counts(t):
-    known = t("documents").where("lang = 'en'").select(D.cache_key(F.col("text"), "hash").alias("cache_key")).distinct()
+    known = t.texts("documents").where("lang = 'en'").select(D.cache_key(F.col("text"), "hash").alias("cache_key")).distinct()
     cache = known.withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), DIM))
-    return D.cache_counts(t("documents"), "text", cache, "hash", DIM)
+    return D.cache_counts(t.texts("documents"), "text", cache, "hash", DIM)
 
 
 @query("d02_embed_cached", f"""
   SELECT d.doc_id, 'hash:' || md5(d.text) AS cache_key, round(list_sum(v),4) AS total FROM documents d
   JOIN ({sql_embed('documents', 'doc_id', 'text')}) e ON e.id = d.doc_id""")
 def embed_cached(t):
-    docs = t("documents").select("doc_id", "text", "lang")
+    docs = t.texts("documents").select("doc_id", "text", "lang")
     english = docs.where("lang = 'en'").groupBy(D.cache_key(F.col("text"), "hash").alias("cache_key")).agg(F.min("text").alias("text"))
     cache = D.embed(english, "text", DIM).select("cache_key", "embedding")
     vectors, _ = D.embed_cached(docs, "text", cache, "hash", DIM)
@@ -102,7 +102,7 @@ def embed_cached(t):
   SELECT doc_id, CAST(CASE WHEN lang='en' THEN 0 ELSE 1 END AS INTEGER) AS has_vector FROM documents""")
 def blank_vectors(t):
     """English texts are blanked out here; their rows stay and their vectors are zero."""
-    blanked = t("documents").select("doc_id", F.when(F.col("lang") == "en", F.lit(" \t")).otherwise(F.col("text")).alias("text"))
+    blanked = t.texts("documents").select("doc_id", F.when(F.col("lang") == "en", F.lit(" \t")).otherwise(F.col("text")).alias("text"))
     made = D.embed(blanked, "text", DIM)
     return made.select("doc_id", F.exists("embedding", lambda x: x != 0).cast("int").alias("has_vector"))
 
@@ -150,7 +150,7 @@ def text_queries(t) -> DataFrame:
 
 def document_hits(t, k: int = 10) -> DataFrame:
     """Documents closest to each benchmark passage."""
-    docs = D.embed(t("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
+    docs = D.embed(t.texts("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM)
     asked = D.embed(text_queries(t), "query_text", DIM)
     return S.knn(asked, docs, k)
 
@@ -170,7 +170,7 @@ def shape(t):
     """German payloads come without their text here."""
     shown = F.create_map(F.lit("text"), F.col("text"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     payload = F.when(F.col("lang") == "de", F.map_filter(shown, lambda k, _: k != "text")).otherwise(shown)
-    points = t("documents").select(F.col("doc_id").alias("id"), payload.alias("payload"))
+    points = t.texts("documents").select(F.col("doc_id").alias("id"), payload.alias("payload"))
     shaped = S.shape_hits(document_hits(t), points)
     return shaped.select("query_id", "id", "score", "rank", "content", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
 
@@ -178,7 +178,7 @@ def shape(t):
 @query("a11_index_documents", f"""
   SELECT CAST(doc_id AS VARCHAR) AS id, 2 AS version, md5(text) AS text_md5, lang, 64 AS dim FROM documents""")
 def index(t):
-    docs = t("documents").select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    docs = t.texts("documents").select("doc_id", "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
     embedder = D.hash_embedder(DIM)
     first = index_documents(docs.where("lang = 'en'"), embedder, None, "doc_id", "text", F.lit(1))
     both = index_documents(docs, embedder, first, "doc_id", "text", F.lit(2))
