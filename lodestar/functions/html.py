@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .strings import squeeze
 
-# Subtrees that carry no content, tags that end a block of text,
+# Subtrees that carry no content, tags at whose edges words part,
 # and the entities that are unescaped (ampersand last).
 BOILERPLATE_TAGS = ("script", "style", "header", "footer", "nav", "aside")
-BLOCK_TAGS = ("div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr")
+BLOCK_TAGS = (
+    "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "table", "ul", "ol", "article", "section",
+)
 ENTITIES = (
     ("&copy;", "©"),
     ("&middot;", "·"),
@@ -29,7 +31,7 @@ BOILERPLATE = (
     + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in BOILERPLATE_TAGS)
     + r"|<!--.*?-->|<!doctype[^>]*>"
 )
-BLOCK_END = r"(?i)</(?:" + "|".join(BLOCK_TAGS) + r")\s*>|<br\s*/?>|<p(?:\s[^>]*)?>|<img(?:\s[^>]*)?>"
+BLOCK_EDGE = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?>|<br\s*/?>|<img(?:\s[^>]*)?>"
 ANY_TAG = r"<[^>]*>"
 
 
@@ -45,7 +47,7 @@ def unescape(col: Column) -> Column:
 
 def fragment_text(html: Column) -> Column:
     """Text of a piece of HTML: blocks and images become spaces, links keep their words."""
-    spaced = F.regexp_replace(html, BLOCK_END, " ")
+    spaced = F.regexp_replace(html, BLOCK_EDGE, " ")
     return squeeze(unescape(F.regexp_replace(spaced, ANY_TAG, "")))
 
 

@@ -54,14 +54,18 @@ def rank_tables(questions: DataFrame, columns: DataFrame) -> DataFrame:
         .groupBy("word", "table_name", "table_no")
         .agg(F.sum("weight").alias("weight"))
     )
-    asked = _word_rows(questions, F.col("text"), "question_id")
-    scored = asked.join(weights, "word").groupBy("question_id", "table_name", "table_no").agg(F.sum("weight").alias("score"))
-    every = tables.agg(F.collect_list(F.struct("table_no", "table_name"))).scalar()
-    unmatched = questions.select("question_id").join(scored.select("question_id").distinct(), "question_id", "left_anti")
-    fallback = unmatched.select("question_id", F.inline(every)).withColumn("score", F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint").alias("score")
+    every = tables.agg(F.collect_list(F.struct("table_no", "table_name", zero))).scalar()
+    # Outer on both sides: a question without any known word keeps one empty row.
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)))
+    asked = questions.select("question_id", F.explode_outer(found).alias("word")).join(weights, "word", "left")
+    scored = asked.groupBy("question_id", "table_name", "table_no").agg(F.sum("weight").alias("score"))
+    hits = F.count("table_name").over(Window.partitionBy("question_id"))
+    own = F.array(F.struct("table_no", "table_name", "score"))
+    rows = F.when(F.col("table_name").isNotNull(), own).when(F.col("_hits") == 0, every)
+    listed = scored.withColumn("_hits", hits).select("question_id", F.inline(rows))
     w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "table_no")
-    both = scored.unionByName(fallback.select(*scored.columns))
-    return both.select("question_id", "table_name", "score", F.row_number().over(w).alias("rank"))
+    return listed.select("question_id", "table_name", "score", F.row_number().over(w).alias("rank"))
 
 
 def _gathered(n: Column, text: Column, separator: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -110,8 +111,10 @@ def bm25_candidates(hits: DataFrame, queries: DataFrame, k: int, query_text: str
     """Rerank each query's own candidates (query_id, id, content, score) with their own statistics.
 
     The candidates are shuffled once by ``query_id``; counts, frequencies and
-    means are windows over that one layout.
+    means are windows over that one layout. They are at most k rows per query and
+    are written once, so that a whole-corpus search before them is never repeated.
     """
+    hits = durable(hits.select("query_id", "id", "content", "score"))
     by_query = Window.partitionBy("query_id")
     docs = hits.select("query_id", "id", _tokens(F.col("content")).alias("tokens")).withColumn("length", F.size("tokens"))
     docs = docs.withColumn("n", F.count(F.lit(1)).over(by_query)).withColumn("mean_length", F.avg("length").over(by_query))
@@ -146,10 +149,9 @@ def jaccard_overlap(query: Column, text: Column) -> Column:
 
 def pair_model(load: Callable[[], Callable[[list[str], list[str]], np.ndarray]]) -> Callable[[Column, Column], Column]:
     """Hook for a cross-encoder: ``load`` runs once per worker. A batch that fails scores NULL."""
-    from collections.abc import Iterator
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         predict = load()
         for queries, texts in batches:
             try:

@@ -61,6 +61,8 @@ def assemble_stream(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """Events (conn_id, seq, type, chunk) → one row when a connection ends or falls silent.
 
     State holds one unfinished answer per open connection and is dropped with it.
+    Timeouts need empty micro-batches; a run with ``availableNow`` ends only with
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` set to false.
     """
     return events.select("conn_id", "seq", "type", "chunk").groupBy("conn_id").applyInPandasWithState(
         _collect(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout

@@ -30,7 +30,7 @@ def sql_unescape(x: str) -> str:
 
 
 def sql_fragment(x: str) -> str:
-    spaced = f"regexp_replace({x}, '{sql_quote(H.BLOCK_END)}', ' ', 'g')"
+    spaced = f"regexp_replace({x}, '{sql_quote(H.BLOCK_EDGE)}', ' ', 'g')"
     return sql_squeeze(sql_unescape(f"regexp_replace({spaced}, '{H.ANY_TAG}', '', 'g')"))
 
 

@@ -71,7 +71,8 @@ def _vec(t, name: str) -> DataFrame:
     SELECT id, unnest(v) AS x, unnest(range({DIM})) AS i FROM ({sql_embed('documents', 'doc_id', 'text')})) WHERE x <> 0""")
 def embed(t):
     made = D.embed(t.texts("documents").select("doc_id", "text"), "text", DIM)
-    slots = made.select("doc_id", F.posexplode("embedding").alias("slot", "x"))
+    # The outer form: the inner one would add a size filter that embeds every text twice.
+    slots = made.select("doc_id", F.posexplode_outer("embedding").alias("slot", "x"))
     return slots.where("x <> 0").select("doc_id", "slot", F.round(F.col("x").cast("double"), 6).alias("value"))
 
 

@@ -18,6 +18,8 @@ def con():
 def test_query(spark, con, name):
     entry = REGISTRY[name]
     frame = entry.run(spark, SMALL)
+    plan = frame._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if entry.sql:
         assert check_oracles.compare(frame, con, entry.sql) is None
     else:
