@@ -15,22 +15,27 @@ from .ranking import lower_words
 from .vectors import DIM, sql_embed, sql_rank
 
 
+def _relation(subject: str, name: str):
+    """A relation's name as a value of the row. As a bare literal it would fold joins on it into conditions without keys."""
+    return F.when(F.col(subject).isNotNull(), name).alias("predicate")
+
+
 def triplets(t) -> DataFrame:
     """(subject, predicate, object, description, document_id). Descriptions repeat or are blank on purpose."""
     nation, region = t("nation"), t("region")
     customers = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_name").alias("subject"), F.lit("in_nation").alias("predicate"), F.col("n_name").alias("object"),
+        F.col("c_name").alias("subject"), _relation("c_name", "in_nation"), F.col("n_name").alias("object"),
         F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(
             F.concat("c_mktsegment", F.lit(" customers of "), "n_name")
         ).alias("description"),
         F.col("c_mktsegment").alias("document_id"),
     )
     suppliers = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_name").alias("subject"), F.lit("in_nation").alias("predicate"), F.col("n_name").alias("object"),
+        F.col("s_name").alias("subject"), _relation("s_name", "in_nation"), F.col("n_name").alias("object"),
         F.lit("").alias("description"), F.lit("suppliers").alias("document_id"),
     )
     nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_name").alias("subject"), F.lit("in_region").alias("predicate"), F.col("r_name").alias("object"),
+        F.col("n_name").alias("subject"), _relation("n_name", "in_region"), F.col("r_name").alias("object"),
         F.concat("n_name", F.lit(" lies in "), "r_name").alias("description"), F.lit("geography").alias("document_id"),
     )
     return customers.unionByName(suppliers).unionByName(nations)
