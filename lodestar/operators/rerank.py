@@ -18,6 +18,7 @@ from ..session import durable
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
+BROADCAST_TERMS = 500_000
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -62,7 +63,7 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatisti
     tokens = docs.select(_tokens(F.col(text_col)).alias("tokens"))
     total = F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").cast("bigint").alias("length"))
     each = F.transform(F.array_distinct("tokens"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("bigint").alias("length")))
-    counted = tokens.select(F.inline(F.concat(F.array(total), each))).groupBy("term").agg(
+    counted = tokens.select(F.inline_outer(F.concat(F.array(total), each))).groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("length").alias("length")
     )
     counted = durable(counted)
@@ -89,11 +90,18 @@ def bm25_corpus(
     stats = statistics or corpus_statistics(docs, text_col)
     idf = _idf(F.lit(float(stats.n)), F.col("df"))
     weight = F.col("qtf") * F.when(idf < 0, F.lit(stats.floor)).otherwise(idf)
-    terms = query_terms(queries, query_text).join(stats.terms, "term").select("query_id", "term", weight.alias("weight"))
+    # One row per query and term, counted before it may be broadcast. Estimates from
+    # compressed file sizes would rather broadcast the postings of a small corpus.
+    terms = durable(query_terms(queries, query_text).join(stats.terms, "term").select("query_id", "term", weight.alias("weight")))
+    small = terms.count() <= BROADCAST_TERMS
+    terms = F.broadcast(terms) if small else terms
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if small else wanted
     base = docs.select(F.col(id_col).alias("id"), _tokens(F.col(text_col)).alias("tokens"))
     postings = (
-        base.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-        .join(query_terms(queries, query_text).select("term").distinct(), "term", "left_semi")
+        # The outer form: the inner one would add a size filter that splits every text twice.
+        base.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+        .join(wanted, "term", "left_semi")
         .groupBy("id", "term", "length")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("id", "term", _gain(F.col("tf"), F.col("length"), F.lit(stats.mean_length)).alias("gain"))
