@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .base import durable
 
+#: Edges that one partition holds between rounds, so that few edges make few files.
+EDGES_PER_PARTITION = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the neighbours of every vertex at the smallest of them (or the vertex).
@@ -31,17 +34,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``v``, ``component``: for each vertex of edges (``a``, ``b``) the smallest one it is connected with.
 
-    Each round writes its edges to the checkpoint folder; the end is reached when
-    a round changes nothing. Self-loops and repeated edges do no harm; an empty
-    table gives an empty one.
+    Each round writes its edges to the checkpoint folder. The end is reached when
+    they are stars: each vertex has one edge down, to one that has none.
+    Self-loops and repeated edges do no harm; an empty table gives an empty one.
     """
     now = durable(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
-    state = None
     while True:
-        now = durable(_star(_star(now, True), False))
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
-            return now.select(F.col("a").alias("v"), F.col("b").alias("component")).union(
-                now.select("b", "b").distinct()
-            )
-        state = tuple(found)
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("b", F.lit(0), F.lit(1)))
+        degrees = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        rows, odd = degrees.agg(F.sum("down"), F.count(F.when((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0)), 1))).first()
+        # Every edge points down once it has been through a star; before that it may not.
+        if not rows or (not odd and now.where("a < b").isEmpty()):
+            return now.select(F.col("a").alias("v"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+        now = durable(_star(_star(now.coalesce(-(-rows // EDGES_PER_PARTITION)), True), False))
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (``v``, ``component``) after new links (``a``, ``b``), of whose components only are looked at."""
+    if labels is None:
+        return durable(components(links))
+    for end in ("a", "b"):
+        side = labels.select(F.col("v").alias(end), F.col("component").alias(f"_{end}"))
+        links = links.join(side, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    links = durable(links)
+    found = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    every = labels.union(links.select("a", "_a")).union(links.select("b", "_b")).distinct()
+    now = every.join(found.toDF("component", "_now"), "component", "left")
+    return durable(now.select("v", F.coalesce("_now", "component").alias("component")))

@@ -24,12 +24,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import durable
-from .components import components
+from .components import merged
 from .words import SPACES, mix, pieces, salts, sorted_sets
 
 SHORT = 6
@@ -38,6 +38,9 @@ CROWD_BUCKETS = 1 << 20
 CROWD_SLICES = 64
 #: The largest boundary considered: above it a set has too many subsets.
 LARGEST_LIGHT = 12
+#: Members of a long list that all of it is compared with at a time, and how often at most before all pairs are.
+CENTRES = 8
+TURNS = 2
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
 MAP_BITS = 24
 
@@ -385,49 +388,44 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     left = heads.select("node", "n", F.col("head").alias("a"))
     right = heads.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("head").alias("b"))
     named_pairs = listed.where(F.col("kind") == PAIR).select("node", "n", "node2", "n2").distinct().join(left, ["node", "n"]).join(right, ["node2", "n2"])
-    links = durable(_checked(named_pairs.select("a", "b").where("a <> b"), docs, size, percent))
+    links = _checked(named_pairs.select("a", "b").where("a <> b"), docs, size, percent)
     long = durable(listed.where(F.col("kind") == LONG).select("key", "node", "n", "pos").join(left, ["node", "n"]).select("key", F.col("a").alias("v"), "n", "pos").distinct())
-    found = components(links)
-    links, found = _meet(long, links, found, docs, size, percent)
+    found = _meet(long, merged(None, links), docs, size, percent)
 
     out = rows.join(heads, ["node", "n"], "left").join(found.select(F.col("v").alias("head"), "component"), "head", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _meet(long: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int):
-    """Compare the members of long lists that are in different components.
+def _meet(long: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Compare the members of long lists that are in different components; returns the components after that.
 
-    While that would be many pairs for each member, another star is drawn first,
-    with another centre in each list; this only saves work. In the end all pairs
-    of members of different components are compared.
+    While that would be many pairs for each member, the members of each list are
+    first compared with a few others of it (``CENTRES``, drawn anew each time),
+    which joins most of what belongs together; this only saves work. In the end
+    all pairs of members of different components are compared.
     """
     if long.isEmpty():
-        return links, found
-    for turn in range(4):
+        return found
+    for turn in range(TURNS + 1):
         now = long.join(found, "v", "left").select("key", "v", "n", "pos", F.coalesce("component", "v").alias("component"))
-        split = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        now = durable(now.join(split, "key"))
         groups = now.groupBy("key", "component").agg(F.count("*").cast("double").alias("k"))
-        work = groups.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        pairs, members = work.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        lists = durable(groups.groupBy("key").agg(F.count("*").alias("c"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("c > 1"))
+        pairs, members = lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not members:
-            return links, found
-        last = turn == 3 or pairs <= 4 * members
-        if last:
-            other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component")))
-            met = now.join(other, "key").where("component < component2")
-        else:
-            rank = F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component")))
-            hub = now.groupBy("key").agg(F.min(rank).alias("hub")).select("key", "hub.*")
-            met = now.join(hub, "key").where("component <> component2")
+            return found
+        now = durable(now.join(lists.select("key"), "key"))
+        last = turn == TURNS or pairs <= 4 * members
+        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component")))
+        if not last:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("v2", F.lit(turn)), "v2", "n2", "pos2")
+            other = other.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CENTRES)
+        met = now.join(other, "key").where("component < component2" if last else "component <> component2")
         shares = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
         met = met.where((100 + percent) * shares >= percent * (F.col("n") + F.col("n2")))
-        met = met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links = durable(links.union(_checked(met, docs, size, percent)))
-        found = components(links)
+        found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), docs, size, percent))
         if last:
-            return links, found
+            return found
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
