@@ -41,6 +41,8 @@ LARGEST_LIGHT = 12
 #: Members of a long list that all of it is compared with at a time, and how often at most before all pairs are.
 CENTRES = 8
 TURNS = 2
+#: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
+MAP_WORDS = 16
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
 MAP_BITS = 24
 
@@ -66,28 +68,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    flips = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def _profile(size: int):
-    """Per document its set's size and name; per task how full the buckets are."""
+    """Per document its set's size, name and parity map; per task how full the buckets are."""
 
     def run(batches):
         crowd = np.zeros(CROWD_BUCKETS, np.uint32)
         for batch in batches:
-            names, sizes = [], []
+            names, sizes, maps = [], [], []
             for _, words in pieces(batch.column("text"), SPACES):
                 for found in sorted_sets(words, size):
                     sizes.append(len(found))
                     names.append(_node(found) if len(found) else None)
+                    maps.append(_parity(found))
                     np.add.at(crowd, (found & np.uint64(CROWD_BUCKETS - 1)).astype(np.int64), 1)
             rows = len(names)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array(sizes, pa.int64()), "node": pa.array(names, pa.int64()),
-                "slice": pa.nulls(rows, pa.int32()), "crowd": pa.nulls(rows, pa.binary()),
+                "map": pa.array(maps, pa.list_(pa.int64())), "slice": pa.nulls(rows, pa.int32()), "crowd": pa.nulls(rows, pa.binary()),
             })
         parts = crowd.reshape(CROWD_SLICES, -1)
         full = [i for i in range(CROWD_SLICES) if parts[i].any()]
         yield pa.record_batch({
             "doc_id": pa.nulls(len(full), pa.int64()), "n": pa.nulls(len(full), pa.int64()), "node": pa.nulls(len(full), pa.int64()),
-            "slice": pa.array(full, pa.int32()), "crowd": pa.array([_squeeze(parts[i]) for i in full], pa.binary()),
+            "map": pa.nulls(len(full), pa.list_(pa.int64())), "slice": pa.array(full, pa.int32()), "crowd": pa.array([_squeeze(parts[i]) for i in full], pa.binary()),
         })
 
     return run
@@ -367,10 +375,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     context = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    seen = durable(docs.mapInArrow(_profile(size), "doc_id long, n long, node long, slice int, crowd binary"))
+    seen = durable(docs.mapInArrow(_profile(size), "doc_id long, n long, node long, map array<long>, slice int, crowd binary"))
     rows = seen.where("slice is null").select("doc_id", "n", "node")
-    named = rows.where("doc_id is not null and n > 0")
-    heads = durable(named.groupBy("node", "n").agg(F.min("doc_id").alias("head")))
+    named = seen.where("doc_id is not null and n > 0")
+    heads = durable(named.groupBy("node", "n").agg(F.min("doc_id").alias("head"), *(F.max(F.col("map")[i]).alias(f"m{i}_") for i in range(MAP_WORDS))))  # equal sets have equal maps
 
     crowding = _crowding(seen.where("slice is not null"))
     limit = LARGEST_LIGHT * 100 // percent + 1
@@ -390,21 +398,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     named_pairs = listed.where(F.col("kind") == PAIR).select("node", "n", "node2", "n2").distinct().join(left, ["node", "n"]).join(right, ["node2", "n2"])
     links = _checked(named_pairs.select("a", "b").where("a <> b"), docs, size, percent)
     long = durable(listed.where(F.col("kind") == LONG).select("key", "node", "n", "pos").join(left, ["node", "n"]).select("key", F.col("a").alias("v"), "n", "pos").distinct())
-    found = _meet(long, merged(None, links), docs, size, percent)
+    maps = heads.select(F.col("head").alias("v"), *(f"m{i}_" for i in range(MAP_WORDS)), F.col("n"))
+    found = _meet(long, merged(None, links), maps, docs, size, percent)
 
-    out = rows.join(heads, ["node", "n"], "left").join(found.select(F.col("v").alias("head"), "component"), "head", "left")
+    out = rows.join(heads.select("node", "n", "head"), ["node", "n"], "left").join(found.select(F.col("v").alias("head"), "component"), "head", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _meet(long: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Compare the members of long lists that are in different components; returns the components after that.
 
     While that would be many pairs for each member, the members of each list are
     first compared with a few others of it (``CENTRES``, drawn anew each time),
     which joins most of what belongs together; this only saves work. In the end
-    all pairs of members of different components are compared.
+    all pairs of members of different components are compared. Pairs whose parity
+    maps differ in more bits than similar sets differ in shingles are left out.
     """
+    bits = [f"m{i}_" for i in range(MAP_WORDS)]
     if long.isEmpty():
         return found
     for turn in range(TURNS + 1):
@@ -414,15 +425,17 @@ def _meet(long: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent
         pairs, members = lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not members:
             return found
-        now = durable(now.join(lists.select("key"), "key"))
+        now = durable(now.join(lists.select("key"), "key").join(maps, ["v", "n"]))
         last = turn == TURNS or pairs <= 4 * members
-        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component")))
+        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component", *bits)))
         if not last:
             order = Window.partitionBy("key").orderBy(F.xxhash64("v2", F.lit(turn)), "v2", "n2", "pos2")
             other = other.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CENTRES)
         met = now.join(other, "key").where("component < component2" if last else "component <> component2")
         shares = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-        met = met.where((100 + percent) * shares >= percent * (F.col("n") + F.col("n2")))
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
+        both = F.col("n") + F.col("n2")
+        met = met.where(((100 + percent) * shares >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both))
         found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), docs, size, percent))
         if last:
             return found
@@ -437,4 +450,4 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     group = jaccard_components(docs, size, percent)
     gone = group.where("component_id < doc_id").select(F.col("doc_id").cast("bigint").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
