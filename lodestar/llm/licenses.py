@@ -24,18 +24,20 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Customary one-line notices of widely used licenses.
+# Customary one-line notices of widely used licenses, and where they
+# differ in one word from another's, only what tells them apart (short enough that
+# every word is needed).
 TEMPLATES = (
     ("Released under the MIT License", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("Licensed under the Apache License, Version 2.0", "apache-2"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
-    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "lgpl"),
+    ("Lesser General Public", "lgpl"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl-2"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("Creative Commons ShareAlike", "cc-by-sa"),
+    ("Creative Commons NonCommercial", "cc-by-nc"),
     ("Content available under CC BY-NC 4.0", "cc-by-nc"),
     ("This is free and unencumbered software released into the public domain", "unlicense"),
     ("All rights reserved. No part of this publication may be reproduced", "all-rights-reserved"),
