@@ -32,7 +32,8 @@ BOILERPLATE = (
     + r"|<!--.*?-->|<!doctype[^>]*>"
 )
 BLOCK_EDGE = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?>|<br\s*/?>|<img(?:\s[^>]*)?>"
-ANY_TAG = r"<[^>]*>"
+# A tag begins with a letter, a slash, or the sign of a declaration; any other "<" is text.
+ANY_TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 
 
 def strip_boilerplate(html: Column) -> Column:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,8 @@ def batch_topk(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    if pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py():
+        raise ValueError(f"a vector doesn't have the queries' length of {dim}")
     values = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -111,7 +114,9 @@ def knn(
     floor = None if min_score is None else (-min_score if metric == "euclid" else min_score)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
     c = filtered(corpus, filters).select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-    q, c = q.where("embedding is not null"), c.where("embedding is not null")
+    # Rows without a vector are dropped where the scores are made: as a condition here
+    # they would be computed twice where the vector is.
+    q = q.where("embedding is not null")
     id_types = q.schema["query_id"].dataType, c.schema["id"].dataType
     # At most broadcast_queries + 1 rows reach the driver, whatever the table holds.
     head = q.limit(broadcast_queries + 1).toPandas()
@@ -139,6 +144,7 @@ def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor
         query_ids, query_vectors = sent.value
         best = None
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -158,6 +164,7 @@ def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor
 
 def _score_cell(k: int, metric: str, floor: float | None):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["embedding"].notna()]
         if len(queries) == 0 or len(rows) == 0:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         qv = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])

@@ -110,8 +110,8 @@ def normalise_graph_hits(t):
 
 
 def rich_hits(t) -> DataFrame:
-    """Hits above a threshold with metadata; German contents are blank, French ones have no title."""
-    hits = with_content(t, content_hits(t, K).drop("content", "lang")).where("score >= 0.7")
+    """All hits, with metadata; German contents are blank, French ones have no title."""
+    hits = with_content(t, content_hits(t, K).drop("content", "lang"))
     title = F.when(F.col("lang") != "fr", F.concat(F.lit("doc "), F.col("id").cast("string")))
     entries = F.map_from_entries(
         F.filter(
@@ -132,7 +132,7 @@ def rich_hits(t) -> DataFrame:
 
 SQL_RICH = f"""SELECT h.query_id, h.id, h.rank, h.score, d.lang, CASE WHEN d.lang='de' THEN '  ' ELSE d.text END AS content,
     CASE WHEN d.lang <> 'fr' THEN 'doc ' || h.id END AS title, CASE WHEN d.lang='en' THEN 'vector' ELSE 'graph' END AS source_type
-  FROM ({SQL_VECTOR}) h JOIN documents d ON d.doc_id=h.id WHERE h.score >= 0.7"""
+  FROM ({SQL_VECTOR}) h JOIN documents d ON d.doc_id=h.id"""
 NL2 = "chr(10)||chr(10)"
 
 query("g08_format_context", f"""

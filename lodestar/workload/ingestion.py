@@ -86,10 +86,17 @@ for _style, _sql in (
     _open = "'PowerPoint Presentation:'||chr(10)||chr(10)||" if _style == "slides" else ""
     query(f"a05_assemble_{_style}", f"""
       SELECT conv_id, {_open}string_agg({_sql}, '' ORDER BY turn) AS text, count(*) AS n_parts
-      FROM conversations WHERE turn >= 1 AND turn <= 6 GROUP BY 1""")(
-        lambda t, style=_style: formats.assemble_parts(t("conversations"), "conv_id", "turn", "text", style, 1, 6)
+      FROM conversations GROUP BY 1""")(
+        lambda t, style=_style: formats.assemble_parts(t("conversations"), "conv_id", "turn", "text", style)
     )
 
+# A range of pages is asked for by the caller; without one all parts are assembled.
+query("a05_page_range", """
+  SELECT conv_id, string_agg(chr(10)||chr(10)||'--- Page '||turn||' ---'||chr(10)||chr(10)||text, '' ORDER BY turn) AS text, count(*) AS n_parts
+  FROM conversations WHERE turn >= 1 AND turn <= 3 GROUP BY 1""")(
+    lambda t: formats.assemble_parts(t("conversations"), "conv_id", "turn", "text", "pages", 1, 3)
+)
+
 
 @query("a06_csv_json_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def csv_json(t):

@@ -33,6 +33,19 @@ query("j03_purchase_history", f"""
     lambda t: A.purchase_history(t, F.col("o_orderstatus") == "F")
 )
 
+query("j02_product_sales_all", f"""
+  SELECT p_partkey, p_name, p_brand, sum(l_quantity) AS total_sold, round(sum({REV}),4) AS total_revenue,
+         round(avg(l_extendedprice/l_quantity),6) AS average_price, count(DISTINCT o_custkey) AS unique_customers
+  FROM part LEFT JOIN lineitem ON l_partkey=p_partkey LEFT JOIN orders ON o_orderkey=l_orderkey GROUP BY p_partkey, p_name, p_brand""")(
+    lambda t: A.product_sales(t, F.lit(True))
+)
+query("j03_purchase_history_all", f"""
+  SELECT c_custkey, c_name, r_name, count(DISTINCT o_orderkey) AS total_orders, round(sum(o_totalprice),2) AS total_spent,
+         max(o_orderdate) AS last_order_date, round(avg(o_totalprice),6) AS average_order_value
+  FROM {CUST} LEFT JOIN orders ON o_custkey=c_custkey GROUP BY c_custkey, c_name, r_name""")(
+    lambda t: A.purchase_history(t, F.lit(True))
+)
+
 query("j04_line_subtotals", """
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
          round(l_quantity*(l_extendedprice/l_quantity)*(1-l_discount),4) AS subtotal FROM lineitem""")(A.line_subtotals)
