@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of the learned vectors of its words and of their
-character n-grams, hashed into a table; a softmax over that mean gives the
-class. Trained by stochastic gradient descent in numpy on the driver, on a
+character n-grams, hashed into a table; a pair of equal words in a row has one
+entry whatever the word. A softmax over that mean gives the class. Trained by stochastic gradient descent in numpy on the driver, on a
 bounded sample of labelled rows. As the mean goes straight into the softmax,
 scoring needs one number for each entry of the table.
 """
@@ -22,6 +22,8 @@ SIZES = (2, 3, 4)
 DIMENSION = 12
 EPOCHS = 12
 RATE = 2.0
+#: The entry of a word that repeats the one before it, and how many of the others it counts as.
+REPEAT, REPEAT_SHARE = BUCKETS, 4
 #: Labelled rows of each class that a model is fitted on, at most.
 SAMPLE = 1500
 
@@ -34,6 +36,13 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, of, which
 
 
+def _repeats(words: Words) -> np.ndarray:
+    """How many words of each text repeat the one before."""
+    hashed, owner = words.hashes(), words.owner()
+    again = np.flatnonzero((hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1]))
+    return np.bincount(owner[again], minlength=len(words.first) - 1) * REPEAT_SHARE
+
+
 def _collect(batches):
     """Of each text its distinct features and their counts."""
     for batch in batches:
@@ -41,6 +50,8 @@ def _collect(batches):
         for _, words in pieces(batch.column("text"), SPACES, PLAIN, 1):  # a text at a time
             bucket, of, which = _features(words)
             times = np.bincount(which, minlength=of.max() + 1 if len(of) else 0)[of] if len(of) else np.zeros(0, np.int64)
+            if again := int(_repeats(words)[0]):
+                bucket, times = np.append(bucket, REPEAT), np.append(times, again)
             found, where = np.unique(bucket, return_inverse=True)
             ids.append(found.astype(np.int32))
             counts.append(np.bincount(where, weights=times, minlength=len(found)).astype(np.float32) if len(found) else np.zeros(0, np.float32))
@@ -64,15 +75,16 @@ class Model:
             sums = np.bincount(of, weights=self.weight[bucket])
             sizes = np.bincount(of)
             owner = words.owner()
-            total = np.bincount(owner, weights=sums[which], minlength=texts)
-            number = np.maximum(np.bincount(owner, weights=sizes[which], minlength=texts), 1)
+            again = _repeats(words)
+            total = np.bincount(owner, weights=sums[which], minlength=texts) + again * float(self.weight[REPEAT])
+            number = np.maximum(np.bincount(owner, weights=sizes[which], minlength=texts) + again, 1)
         return 1 / (1 + np.exp(-(total / number + self.bias)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, seed: int = 1) -> Model:
     """Gradient descent over (features, counts, label); ``prior`` the log odds of label 1 among all labels."""
     draw = np.random.default_rng(seed)
-    table = draw.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
+    table = draw.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS + 1, DIMENSION)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSION), np.float32), np.zeros(2, np.float32)
     rows = [(ids, (counts / counts.sum())[:, None].astype(np.float32), label) for ids, counts, label in rows if len(ids)]
     steps, done = EPOCHS * len(rows), 0
