@@ -20,7 +20,7 @@ from .classifier import remainder
 from .words import SPACES, Words, pieces, spelled
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words with their counts that every task holds.
+#: Words with their counts that every task holds, at most.
 FREQUENT = 1 << 16
 #: Training rows that the attention model is fitted on, and their tokens, at most.
 SAMPLE_ROWS = 1200
@@ -186,6 +186,23 @@ def _fit(docs: DataFrame, path: str) -> Attention:
     return model
 
 
+def _frequent(counts: DataFrame) -> list:
+    """The words from some count on, as many as ``FREQUENT`` allows.
+
+    The count is found from how many words each step of counts has, so that no task
+    sends more than its share of them to the driver.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}  # 16 for each doubling
+    least, room = None, FREQUENT
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at]
+        if room < 0:
+            break
+        least = at
+    return [] if least is None else counts.where(step >= least).select("word", "c").collect()
+
+
 def lm_scores(docs: DataFrame, training=None, tokenizer: str = TOKENIZER) -> DataFrame:
     """Score each text of ``docs`` (``doc_id``, ``text``).
 
@@ -215,7 +232,7 @@ def lm_scores(docs: DataFrame, training=None, tokenizer: str = TOKENIZER) -> Dat
         token_counts[row["token"]] = row["c"]
     token_counts[model.size - 2] = ends
 
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    top = _frequent(counts)
     hashed = [words.hashes() for _, words in pieces(pa.array([r["word"] for r in top], pa.string()), SPACES)]
     hashed = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
     order = np.argsort(hashed)
