@@ -8,17 +8,20 @@ from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import words
 from ..session import durable
+from .search import BLOCK_BYTES, best_rows, hit_batch, hit_schema, merged, scan_blocks, table_topk
 
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-BROADCAST_TERMS = 500_000
+BLOCK_PARTS = 4_000_000
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -34,7 +37,8 @@ def _idf(n: Column, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
-def _gain(tf: Column, length: Column, mean_length: Column) -> Column:
+def _gain(tf, length, mean_length):
+    """For columns and for arrays."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
 
 
@@ -76,43 +80,81 @@ def corpus_statistics(docs: DataFrame, text_col: str = "text") -> CorpusStatisti
 
 def bm25_corpus(
     queries: DataFrame, docs: DataFrame, k: int, query_text: str = "text", id_col: str = "doc_id", text_col: str = "text",
-    statistics: CorpusStatistics | None = None,
+    statistics: CorpusStatistics | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Top-k by BM25 with statistics of the whole corpus.
 
-    The corpus is tokenised once for the statistics and once for the scores; the
-    second pass drops every token that no query asks for before it counts
-    anything. Documents without a query term score 0 and fill up a short list in
-    id order (the first k ids are enough for that as long as the mean idf is not
-    negative, that is, unless the average term occurs in more than half of the
-    documents).
+    The corpus is tokenised once for the statistics and once for the scores. The
+    second pass scores whole documents against the weighted terms of a block of
+    queries and keeps each task's best k, so no pair of query and document leaves
+    its task. A document without a query term scores 0 and takes its place among
+    the others, also where scores are negative.
     """
     stats = statistics or corpus_statistics(docs, text_col)
     idf = _idf(F.lit(float(stats.n)), F.col("df"))
     weight = F.col("qtf") * F.when(idf < 0, F.lit(stats.floor)).otherwise(idf)
-    # One row per query and term, counted before it may be broadcast. Estimates from
-    # compressed file sizes would rather broadcast the postings of a small corpus.
-    terms = durable(query_terms(queries, query_text).join(stats.terms, "term").select("query_id", "term", weight.alias("weight")))
-    small = terms.count() <= BROADCAST_TERMS
-    terms = F.broadcast(terms) if small else terms
-    wanted = terms.select("term").distinct()
-    wanted = F.broadcast(wanted) if small else wanted
+    weighed = query_terms(queries, query_text).join(stats.terms, "term").select("query_id", "term", weight.alias("weight"))
+    # A query without a known term still gets its rows: the term NULL has no weight.
+    asked = queries.select("query_id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight"))
+    terms = durable(weighed.unionByName(asked))
     base = docs.select(F.col(id_col).alias("id"), _tokens(F.col(text_col)).alias("tokens"))
-    postings = (
-        # The outer form: the inner one would add a size filter that splits every text twice.
-        base.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("id", "term", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("id", "term", _gain(F.col("tf"), F.col("length"), F.lit(stats.mean_length)).alias("gain"))
+    schema = hit_schema(terms.schema["query_id"].dataType, base.schema["id"].dataType)
+    size = F.octet_length(F.col("query_id").cast("string")) + F.octet_length(F.coalesce("term", F.lit(""))) + 32
+    hits = scan_blocks(terms, base, size, block_bytes, lambda head, rows: _scan_bm25(head, rows, k, stats.mean_length, schema), schema)
+    return merged(hits, k)
+
+
+def _scan_bm25(head: pd.DataFrame, corpus: DataFrame, k: int, mean_length: float, schema: T.StructType):
+    """Hits of one block of (query_id, term, weight) rows, kept per task."""
+    place, query_ids = pd.factorize(head["query_id"])
+    known = head["term"].notna().to_numpy()
+    term, names = pd.factorize(head["term"][known])
+    order = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[order], np.arange(len(names) + 1))
+    sent = corpus.sparkSession.sparkContext.broadcast(
+        (np.asarray(query_ids), list(names), starts, place[known][order], head["weight"].to_numpy(dtype=float)[known][order])
     )
-    # k rows, whatever the corpus holds. They enter the sum as zeros, so a filler
-    # that also matches keeps its own score.
-    first_ids = base.select("id").orderBy("id").limit(k).agg(F.collect_list("id")).scalar()
-    filler = queries.select("query_id", F.explode(first_ids).alias("id")).withColumn("part", F.lit(0.0))
-    parts = postings.join(terms, "term").select("query_id", "id", (F.col("weight") * F.col("gain")).alias("part"))
-    scored = parts.unionByName(filler).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return _ranked(scored, k)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, starts, owners, weights = sent.value
+        wanted = pa.array(names, pa.string())
+        # Rows of the score table are documents: as many at a time as keep it small.
+        step = max(1, BLOCK_PARTS // max(1, len(ids)))
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                scores = _bm25_scores(piece.column(1), wanted, starts, owners, weights, len(ids), mean_length)
+                part = table_topk(piece.column(0).to_numpy(zero_copy_only=False), scores, k)
+                best = part if best is None else best_rows(pd.concat([best, part], ignore_index=True), k)
+        if best is not None and len(best):
+            yield hit_batch(best, ids)
+
+    return corpus.mapInArrow(scan, schema), sent
+
+
+def _bm25_scores(
+    tokens: pa.ListArray, wanted: pa.Array, starts: np.ndarray, owners: np.ndarray, weights: np.ndarray, n_queries: int, mean_length: float
+) -> np.ndarray:
+    """Scores of some documents (rows) for all queries of a block (columns)."""
+    n = len(tokens)
+    length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pc.index_in(tokens.flatten(), value_set=wanted)
+    hit = found.is_valid().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(n), length)[hit]
+    pair, tf = np.unique(doc * max(1, len(wanted)) + found.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+    doc, term = np.divmod(pair, max(1, len(wanted)))
+    gain = _gain(tf, length[doc], mean_length) if mean_length else np.zeros(len(doc))
+    fan = starts[term + 1] - starts[term]
+    scores = np.zeros(n * n_queries)
+    # Postings meet their queries' weights a bounded number at a time.
+    cuts = np.searchsorted(np.cumsum(fan), np.arange(BLOCK_PARTS, fan.sum() + BLOCK_PARTS, BLOCK_PARTS), side="right")
+    for a, b in zip([0, *cuts[:-1]], cuts):
+        many = fan[a:b]
+        at = np.repeat(starts[term[a:b]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        cell = np.repeat(doc[a:b], many) * n_queries + owners[at]
+        scores += np.bincount(cell, weights[at] * np.repeat(gain[a:b], many), n * n_queries)
+    return np.round(scores.reshape(n, n_queries), 6) + 0.0
 
 
 def bm25_candidates(hits: DataFrame, queries: DataFrame, k: int, query_text: str = "query_text") -> DataFrame:

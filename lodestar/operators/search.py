@@ -5,27 +5,33 @@ id. Scores are rounded to six decimals before ranking so that the order does not
 depend on the order of additions.
 
 Exact search scores with one matrix product per Arrow batch and keeps only each
-task's best k per query, so pairs never leave the worker. A query table small
-enough (counted, not assumed) is sent to all tasks and the corpus is scanned in
-place. A larger one is cut into blocks that meet bounded cells of the corpus.
+task's best k per query, so pairs never leave the worker and the corpus is never
+shuffled. The query table goes to the tasks in blocks of at most ``BLOCK_BYTES``,
+one scan of the corpus for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
+
 METRICS = ("cosine", "dot", "euclid")
-BROADCAST_QUERIES = 4096
-ROWS_PER_CELL = 50_000
-QUERIES_PER_BLOCK = 2_000
+BLOCK_BYTES = 64 << 20
+#: Bytes of vectors that one task of the approximate search holds, for each side.
+CELL_BYTES, PROBE_BYTES = 128 << 20, 16 << 20
+FETCH_BYTES = 32 << 20
+MERGE_PARTS = 32
 _SCORE_BLOCK = 256
 
 
@@ -46,24 +52,30 @@ def score_matrix(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.nda
     return np.round(s, 6) + 0.0
 
 
-def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_rows(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = frame.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
     return ordered.groupby("q", sort=False).head(k)
 
 
+def table_topk(ids: np.ndarray, scores: np.ndarray, k: int, floor: float | None = None) -> pd.DataFrame:
+    """Best k rows of each column of a score table (``q`` is the column's number)."""
+    n = len(ids)
+    keep = np.ones_like(scores, dtype=bool)
+    if n > k:
+        keep = scores >= np.partition(scores, n - k, axis=0)[n - k]
+    if floor is not None:
+        keep &= scores >= floor
+    rows, cols = np.nonzero(keep)
+    return best_rows(pd.DataFrame({"q": cols, "id": ids[rows], "score": scores[rows, cols]}), k)
+
+
 def batch_topk(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str, floor: float | None) -> pd.DataFrame:
     """Best k rows of one batch for each query (``q`` is the query's position)."""
     found = []
-    n = len(ids)
     for at in range(0, len(queries), _SCORE_BLOCK):
-        s = score_matrix(vectors, queries[at : at + _SCORE_BLOCK], metric)
-        keep = np.ones_like(s, dtype=bool)
-        if n > k:
-            keep = s >= np.partition(s, n - k, axis=0)[n - k]
-        if floor is not None:
-            keep &= s >= floor
-        rows, cols = np.nonzero(keep)
-        found.append(_best(pd.DataFrame({"q": cols + at, "id": ids[rows], "score": s[rows, cols]}), k))
+        part = table_topk(ids, score_matrix(vectors, queries[at : at + _SCORE_BLOCK], metric), k, floor)
+        part["q"] += at
+        found.append(part)
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": [], "id": [], "score": []})
 
 
@@ -79,6 +91,18 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def merged(hits: DataFrame, k: int) -> DataFrame:
+    """Rank what the tasks of a scan kept, in two levels.
+
+    Every task sends k rows for each query. Those of a query meet in
+    ``MERGE_PARTS`` groups first, so that no task gets all of them.
+    """
+    w = Window.partitionBy("query_id", "_part").orderBy(F.col("score").desc(), F.col("id"))
+    split = hits.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS)))
+    best = split.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return _rank(best.drop("_rn", "_part"), k)
+
+
 def _signed(hits: DataFrame, metric: str) -> DataFrame:
     """Distances were negated for ranking; show them as they are."""
     return hits.withColumn("score", F.abs("score")) if metric == "euclid" else hits
@@ -102,7 +126,7 @@ def knn(
     vec_col: str = "embedding",
     filters: dict | None = None,
     min_score: float | None = None,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact top-k. ``filters`` and ``min_score`` apply before ranking.
 
@@ -116,26 +140,49 @@ def knn(
     c = filtered(corpus, filters).select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
     # Rows without a vector are dropped where the scores are made: as a condition here
     # they would be computed twice where the vector is.
-    q = q.where("embedding is not null")
-    id_types = q.schema["query_id"].dataType, c.schema["id"].dataType
-    # At most broadcast_queries + 1 rows reach the driver, whatever the table holds.
-    head = q.limit(broadcast_queries + 1).toPandas()
-    if len(head) == 0:
-        hits = q.sparkSession.createDataFrame([], _hit_schema(*id_types))
-    elif len(head) <= broadcast_queries:
-        hits = _scan_topk(head, c, k, metric, floor, id_types)
-    else:
-        hits = _cell_topk(q, c, k, metric, floor, id_types)
-    return _signed(_rank(hits, k), metric)
+    schema = hit_schema(q.schema["query_id"].dataType, c.schema["id"].dataType)
+    q = durable(q).where("embedding is not null")
+    size = F.octet_length(F.col("query_id").cast("string")) + 8 * F.size("embedding")
+    hits = scan_blocks(q, c, size, block_bytes, lambda head, rows: _scan_topk(head, rows, k, metric, floor, schema), schema)
+    return _signed(merged(hits, k), metric)
 
 
-def _hit_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
+def hit_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())]
     )
 
 
-def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor: float | None, id_types) -> DataFrame:
+def scan_blocks(
+    q: DataFrame, corpus: DataFrame, size: Column, block_bytes: int,
+    scan: Callable[[pd.DataFrame, DataFrame], tuple[DataFrame, Broadcast]], schema: T.StructType,
+) -> DataFrame:
+    """Send the stored rows ``q`` to the tasks in blocks of bounded size, and scan the corpus once for each.
+
+    With several blocks the corpus is stored once before them, and a block's hits
+    are stored and its copies on the executors dropped before the next one is read.
+    """
+    total = q.agg(F.sum(size.cast("bigint"))).first()[0]
+    if total is None:
+        return q.sparkSession.createDataFrame([], schema)
+    if total <= block_bytes:
+        return scan(q.toPandas(), corpus)[0]
+    # Hashed blocks differ in size: they are made for half of the bound.
+    blocks = _parts(2 * total, block_bytes)
+    corpus, found = durable(corpus), []
+    for block in range(blocks):
+        head = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        if len(head):
+            hits, sent = scan(head, corpus)
+            found.append(durable(hits))
+            sent.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor: float | None, schema: T.StructType):
+    lengths = {len(v) for v in head["embedding"]}
+    if len(lengths) > 1:
+        raise ValueError(f"query vectors have the lengths {sorted(lengths)}")
     vectors = np.stack([np.asarray(v, dtype=np.float64) for v in head["embedding"]])
     sent = corpus.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), vectors))
     dim = vectors.shape[1]
@@ -149,17 +196,29 @@ def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             part = batch_topk(ids, _matrix(batch.column(1), dim), query_vectors, k, metric, floor)
-            best = part if best is None else _best(pd.concat([best, part], ignore_index=True), k)
+            best = part if best is None else best_rows(pd.concat([best, part], ignore_index=True), k)
         if best is not None and len(best):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array(query_ids[best["q"].to_numpy(dtype=int)]),
-                    "id": pa.array(best["id"].to_numpy()),
-                    "score": pa.array(best["score"].to_numpy(dtype=float)),
-                }
-            )
+            yield hit_batch(best, query_ids)
 
-    return corpus.mapInArrow(scan, _hit_schema(*id_types))
+    return corpus.mapInArrow(scan, schema), sent
+
+
+def hit_batch(best: pd.DataFrame, query_ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(
+        {
+            "query_id": pa.array(query_ids[best["q"].to_numpy(dtype=int)]),
+            "id": pa.array(best["id"].to_numpy()),
+            "score": pa.array(best["score"].to_numpy(dtype=float)),
+        }
+    )
+
+
+def _stacked(vectors: pd.Series, dim: int | None = None) -> np.ndarray:
+    """Vectors as rows; one of another length is an error, not a shifted row."""
+    dim = len(vectors.iloc[0]) if dim is None else dim
+    if any(len(v) != dim for v in vectors):
+        raise ValueError(f"a vector doesn't have the length of {dim}")
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
 def _score_cell(k: int, metric: str, floor: float | None):
@@ -167,8 +226,8 @@ def _score_cell(k: int, metric: str, floor: float | None):
         rows = rows[rows["embedding"].notna()]
         if len(queries) == 0 or len(rows) == 0:
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        qv = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
-        cv = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]])
+        qv = _stacked(queries["embedding"])
+        cv = _stacked(rows["embedding"], qv.shape[1])
         best = batch_topk(rows["id"].to_numpy(), cv, qv, k, metric, floor)
         names = queries["query_id"].to_numpy()[best["q"].to_numpy(dtype=int)]
         return pd.DataFrame({"query_id": names, "id": best["id"], "score": best["score"]})
@@ -180,20 +239,6 @@ def _parts(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def _cell_topk(q: DataFrame, c: DataFrame, k: int, metric: str, floor: float | None, id_types) -> DataFrame:
-    """Blocks of queries × cells of the corpus, both of bounded size."""
-    blocks, cells = _parts(q.count(), QUERIES_PER_BLOCK), _parts(c.count(), ROWS_PER_CELL)
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells - 1).cast("bigint"))))
-    c = c.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)))
-    c = c.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return (
-        q.groupBy("block", "cell")
-        .cogroup(c.groupBy("block", "cell"))
-        .applyInPandas(_score_cell(k, metric, floor), _hit_schema(*id_types))
-    )
-
-
 def knn_overfetch(queries: DataFrame, corpus: DataFrame, k: int, min_score: float, factor: int = 2, **options) -> DataFrame:
     """Ask for ``factor * k``, apply the threshold to those, keep k."""
     wide = knn(queries, corpus, factor * k, **options)
@@ -249,13 +294,14 @@ def knn_approx(
     """
     centroids = train_cells(corpus, cells, vec_col) if centroids is None else centroids
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
-    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding"))
-    id_types = q.schema["query_id"].dataType, c.schema["id"].dataType
+    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")).where("embedding is not null")
+    q = q.where("embedding is not null")
+    row_bytes = 8 * centroids.shape[1]
     c = c.withColumn("cell", F.get(nearest_cells(F.col("embedding"), centroids, 1), F.lit(0)))
     q = q.withColumn("cell", F.explode(nearest_cells(F.col("embedding"), centroids, nprobe)))
     # One count per cell: as many rows as centroids.
-    sizes = {r["cell"]: _parts(r["count"], ROWS_PER_CELL) for r in c.groupBy("cell").count().collect()}
-    probes = {r["cell"]: _parts(r["count"], QUERIES_PER_BLOCK) for r in q.groupBy("cell").count().collect()}
+    sizes = {r["cell"]: _parts(r["count"] * row_bytes, CELL_BYTES) for r in c.groupBy("cell").count().collect()}
+    probes = {r["cell"]: _parts(r["count"] * row_bytes, PROBE_BYTES) for r in q.groupBy("cell").count().collect()}
     splits, blocks = _lookup("cell", sizes), _lookup("cell", probes)
     one = F.lit(1).cast("bigint")
     zero = F.lit(0).cast("bigint")
@@ -267,7 +313,7 @@ def knn_approx(
     )
     keys = ["cell", "split", "block"]
     hits = (
-        q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_score_cell(k, "cosine", None), _hit_schema(*id_types))
+        q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(_score_cell(k, "cosine", None), hit_schema(q.schema["query_id"].dataType, c.schema["id"].dataType))
     )
     return _rank(hits, k)
 
@@ -301,10 +347,24 @@ def hybrid_search(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, vecto
 
 def shape_hits(hits: DataFrame, payloads: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
     """Payload ``text`` → content (missing → ''), the other keys → metadata."""
-    p = payloads.select(F.col(id_col).alias("id"), F.col(payload_col).alias("_payload"))
-    joined = hits.join(p, "id", "left")
+    joined = fetch(hits, payloads.select(F.col(id_col).alias("id"), F.col(payload_col).alias("_payload")), keep=True)
     return joined.select(
         *hits.columns,
         F.coalesce(F.try_element_at("_payload", F.lit("text")), F.lit("")).alias("content"),
         F.map_filter("_payload", lambda key, _: key != "text").alias("metadata"),
     )
+
+
+def fetch(hits: DataFrame, payloads: DataFrame, keep: bool = False, limit: int = FETCH_BYTES) -> DataFrame:
+    """Add the columns of ``payloads`` (id, …) to the hits; ``keep`` also keeps hits without any.
+
+    The ids of the hits are stored and measured. Up to ``limit`` bytes they go to
+    all tasks, where the payloads are scanned in place and only those asked for
+    move on. Beyond it, the planner joins the two.
+    """
+    hits = durable(hits)
+    ids = hits.select("id").distinct()
+    size = F.octet_length(F.col("id").cast("string")) + 16
+    small = (ids.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= limit
+    found = payloads.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    return hits.join(found, "id", "left" if keep else "inner")

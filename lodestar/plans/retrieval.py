@@ -40,7 +40,7 @@ class VectorRetriever:
                 hits = hits.where(F.col("score") >= self.min_score)
         else:
             hits = search.knn(asked, self.corpus, k, filters=self.filters, min_score=self.min_score)
-        return hits.join(self.corpus.select("id", "content"), "id").select(*LISTED)
+        return search.fetch(hits, self.corpus.select("id", "content")).select(*LISTED)
 
 
 @dataclass

@@ -63,14 +63,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The most that ``spread`` may shuffle, whatever the cluster.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Put a table that comes in far fewer partitions than there are cores on all of them.
+    """Put a small table that comes in fewer partitions than there are cores on all of them.
 
-    For work that is heavy per row. A table of full-sized splits is left alone:
-    it has more splits than there are cores, or is small next to the cluster.
+    A file of one row group is one task, however many cores wait. Only a table
+    of at most ``SPREAD_BYTES`` (the planner's size, as on disk) is moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df
+    context = df.sparkSession.sparkContext
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = size <= SPREAD_BYTES and df.rdd.getNumPartitions() < context.defaultParallelism
+    return df.repartition(context.defaultParallelism, key) if few else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -53,7 +53,7 @@ SQL_QUERIES = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
 
 
 def with_content(t, hits: DataFrame) -> DataFrame:
-    return hits.join(t.texts("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), "id")
+    return S.fetch(hits, t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"))
 
 
 def content_hits(t, k: int = 10) -> DataFrame:
@@ -169,6 +169,6 @@ def flagship(t):
     queries = text_queries(t)
     hits = S.knn(D.embed(queries, "query_text", DIM), D.embed(chunks, "text", DIM), 5)
     # At most k rows per query go on; the chunk text is fetched for those alone.
-    candidates = hits.join(chunks.withColumnRenamed("text", "content"), "id").select("query_id", "id", "content", "score")
+    candidates = S.fetch(hits, chunks.withColumnRenamed("text", "content")).select("query_id", "id", "content", "score")
     best = R.bm25_candidates(candidates, queries, 3)
     return X.format_context(queries, best)

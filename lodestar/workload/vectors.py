@@ -132,7 +132,7 @@ query("e06_knn_batch", sql_rank(f"SELECT * FROM ({sql_pairs('cosine', 'label = 3
     lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 5, filters={"label": 3}, min_score=0.1)
 )
 query("e06_knn_in_blocks", sql_rank(sql_pairs(), 10))(
-    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, broadcast_queries=1)
+    lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, block_bytes=1024)
 )
 query("e07_knn_overfetch", sql_rank(f"SELECT query_id, id, score FROM ({sql_rank(sql_pairs(), 20)}) WHERE score >= 0.25", 10))(
     lambda t: S.knn_overfetch(centroids(t), _vec(t, "embeddings"), 10, 0.25)
@@ -171,7 +171,7 @@ def shape(t):
     """German payloads come without their text here."""
     shown = F.create_map(F.lit("text"), F.col("text"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     payload = F.when(F.col("lang") == "de", F.map_filter(shown, lambda k, _: k != "text")).otherwise(shown)
-    points = t.texts("documents").select(F.col("doc_id").alias("id"), payload.alias("payload"))
+    points = t("documents").select(F.col("doc_id").alias("id"), payload.alias("payload"))
     shaped = S.shape_hits(document_hits(t), points)
     return shaped.select("query_id", "id", "score", "rank", "content", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import html as H
 from lodestar.operators import graph as G
+from lodestar.operators import rerank as R
 from lodestar.operators import search as S
 
 
@@ -19,15 +20,15 @@ def test_mentions_of_any_script(spark):
     assert found == {"São Paulo", "Brasil", "Hà Nội", "Việt Nam"}
 
 
-@pytest.mark.parametrize("limit", [4096, 0])
+@pytest.mark.parametrize("limit", [4096, 1])
 def test_vectors_of_other_lengths(spark, limit):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     good = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<double>")
-    hits = S.knn(queries, good, 2, broadcast_queries=limit).collect()
+    hits = S.knn(queries, good, 2, block_bytes=limit).collect()
     assert [r.id for r in sorted(hits, key=lambda r: r["rank"])] == [1, 3]
     ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "id long, embedding array<double>")
     with pytest.raises(Exception, match="length|shape"):
-        S.knn(queries, ragged, 2, broadcast_queries=limit).collect()
+        S.knn(queries, ragged, 2, block_bytes=limit).collect()
 
 
 def test_documents_are_embedded_once(spark, t):
@@ -35,3 +36,21 @@ def test_documents_are_embedded_once(spark, t):
 
     plan = workload.load()["e01_knn_documents"].run(spark, t.folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 1
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_bm25_where_most_documents_have_the_term(spark, limit):
+    docs = spark.createDataFrame([(i, "common word" if i < 8 else "word other") for i in range(10)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "common"), (2, "unheard")], "query_id long, query_text string")
+    hits = R.bm25_corpus(queries, docs, 3, query_text="query_text", block_bytes=limit).collect()
+    found = {q: [r.id for r in sorted(hits, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2)}
+    # The mean idf is negative, so the two documents without the term stand before the others.
+    assert found == {1: [8, 9, 0], 2: [0, 1, 2]}
+
+
+@pytest.mark.parametrize("name", ["f02_bm25_candidates", "e10_shape_hits"])
+def test_the_corpus_is_not_shuffled_for_texts(spark, t, name):
+    from lodestar import workload
+
+    plan = workload.load()[name].run(spark, t.folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" not in plan

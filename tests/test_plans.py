@@ -23,7 +23,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-NATIVE = [n for n in REGISTRY if n[0] in "bjkl" or n.startswith(("c03", "c05", "c06", "c07", "c08", "c09", "f02_bm25_corpus", "h01", "h04", "h07", "i01", "i09"))]
+NATIVE = [n for n in REGISTRY if n[0] in "bjkl" or n.startswith(("c03", "c05", "c06", "c07", "c08", "c09", "h01", "h04", "h07", "i01", "i09"))]
 
 
 @pytest.mark.parametrize("name", NATIVE)

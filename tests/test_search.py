@@ -49,17 +49,25 @@ def listed(hits):
 
 
 @pytest.mark.parametrize("metric", S.METRICS)
-@pytest.mark.parametrize("limit", [4096, 2])
+@pytest.mark.parametrize("limit", [1 << 20, 150])
 def test_exact_search(data, metric, limit):
     corpus, queries, c, q = data
-    assert listed(S.knn(q, c, 7, metric, broadcast_queries=limit)) == brute(corpus, queries, 7, metric)
+    assert listed(S.knn(q, c, 7, metric, block_bytes=limit)) == brute(corpus, queries, 7, metric)
 
 
-def test_small_blocks_and_cells(data, monkeypatch):
-    monkeypatch.setattr(S, "ROWS_PER_CELL", 40)
-    monkeypatch.setattr(S, "QUERIES_PER_BLOCK", 3)
+def test_a_block_for_each_query(data):
     corpus, queries, c, q = data
-    assert listed(S.knn(q, c, 7, broadcast_queries=0)) == brute(corpus, queries, 7, "cosine")
+    assert listed(S.knn(q, c, 7, block_bytes=1)) == brute(corpus, queries, 7, "cosine")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_fetch_by_either_way(data, limit):
+    _, _, c, q = data
+    hits = S.knn(q, c, 3)
+    got = S.fetch(hits, c.select("id", "label"), limit=limit)
+    assert sorted(map(tuple, got.select(*hits.columns, "label").collect())) == sorted(
+        map(tuple, hits.join(c.select("id", "label"), "id").select(*hits.columns, "label").collect())
+    )
 
 
 def test_filter_and_threshold_both_apply(data):
@@ -86,8 +94,8 @@ def test_approximate_search(t, monkeypatch):
     approx = S.knn_approx(queries, corpus, 10, cells=8, nprobe=4)
     assert S.recall_at_k(approx, exact).first().recall >= 0.8
     # All cells probed is exact, also when crowded cells are split.
-    monkeypatch.setattr(S, "ROWS_PER_CELL", 50)
-    monkeypatch.setattr(S, "QUERIES_PER_BLOCK", 2)
+    monkeypatch.setattr(S, "CELL_BYTES", 50 * 8 * 64)
+    monkeypatch.setattr(S, "PROBE_BYTES", 2 * 8 * 64)
     assert listed(S.knn_approx(queries, corpus, 10, cells=4, nprobe=4)) == listed(exact)
 
 
