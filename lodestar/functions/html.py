@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .strings import squeeze
 
-# Subtrees that carry no content, tags at whose edges words part,
-# and the entities that are unescaped (ampersand last).
+# Subtrees that carry no content, those of them that hold no markup,
+# tags at whose edges words part, and the commonest entities (ampersand last).
 BOILERPLATE_TAGS = ("script", "style", "header", "footer", "nav", "aside")
+RAW_TAGS = ("script", "style")
 BLOCK_TAGS = (
     "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "table", "ul", "ol", "article", "section",
 )
@@ -28,7 +32,8 @@ ENTITIES = (
 # expression engine reads it the same way.
 BOILERPLATE = (
     "(?is)"
-    + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in BOILERPLATE_TAGS)
+    # A script or style that is never closed goes on to the end of the page.
+    + "|".join(rf"<{t}(?:\s[^>]*)?>.*?" + (rf"(?:</{t}\s*>|\z)" if t in RAW_TAGS else rf"</{t}\s*>") for t in BOILERPLATE_TAGS)
     + r"|<!--.*?-->|<!doctype[^>]*>"
 )
 BLOCK_EDGE = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?>|<br\s*/?>|<img(?:\s[^>]*)?>"
@@ -40,10 +45,37 @@ def strip_boilerplate(html: Column) -> Column:
     return F.regexp_replace(html, BOILERPLATE, "")
 
 
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+# The commonest first, since a map is searched from its front. A hard space is a space here.
+_NAMED = {entity[1:-1]: char for entity, char in ENTITIES if entity[1] != "#"}
+_NAMED.update((name[:-1], char) for name, char in html5.items() if name.endswith(";") and name[:-1] not in _NAMED)
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a code point; what is none becomes U+FFFD."""
+    valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+    safe = F.when(valid, number).otherwise(0xFFFD)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(number == 0xA0, " ").otherwise(char)
+
+
 def unescape(col: Column) -> Column:
-    for entity, char in ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+    """Every named or numbered character reference, once; names that are unknown stay."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def char(name: Column) -> Column:
+        hexadecimal = F.conv(F.substring(name, 3, 6), 16, 10).cast("bigint")
+        decimal = F.substring(name, 2, 7).try_cast("bigint")
+        return (
+            F.when(F.lower(F.substring(name, 1, 2)) == "#x", _code_point(hexadecimal))
+            .when(F.startswith(name, F.lit("#")), _code_point(decimal))
+            .otherwise(F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name, F.lit(";"))))
+        )
+
+    # An entity ends the text before it; the last piece has none.
+    chars = F.transform(F.regexp_extract_all(col, F.lit(ENTITY), F.lit(1)), char)
+    pieces = F.zip_with(F.split(col, ENTITY, -1), chars, lambda text, c: F.concat(text, F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(pieces, "")).otherwise(col)
 
 
 def fragment_text(html: Column) -> Column:

@@ -15,12 +15,14 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """Union in which the highest ``order_col`` per key wins; updates win ties.
 
-    ``row_number() = 1`` lets the planner keep one candidate per key on the map
+    Of several updates with the same ``order_col`` the one with the greatest hash
+    of its whole row wins, whatever the order of the input. ``row_number() = 1`` lets the planner keep one candidate per key on the map
     side, so a key written many times does not pile up in one task.
     """
     both = base.withColumn("_src", F.lit(0)).unionByName(updates.withColumn("_src", F.lit(1)))
-    rest = [F.col(c) for c in base.columns if c not in keys and c != order_col and not _is_map(base, c)]
-    order = [F.col(order_col).desc(), F.col("_src").desc(), *[c.desc() for c in rest]]
+    # Maps have no hash and no order: their sorted entries stand for them.
+    whole = [F.array_sort(F.map_entries(F.col(c))) if _is_map(base, c) else F.col(c) for c in base.columns]
+    order = [F.col(order_col).desc(), F.col("_src").desc(), F.xxhash64(*whole).desc()]
     return latest_per_key(both, keys, order).drop("_src")
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .prefix import prefix_sum
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -81,40 +80,35 @@ def label_propagation(edges: DataFrame, rounds: int = 3, labels: DataFrame | Non
     return labels
 
 
-def communities(edges: DataFrame, max_size: int = 5, rounds: int = 3, levels: int = 2) -> DataFrame:
+def communities(edges: DataFrame, max_size: int = 5, rounds: int = 3) -> DataFrame:
     """(name, community_id): label propagation, repeated inside communities above ``max_size``.
 
-    What is still too large after ``levels`` repetitions is cut in name order.
-    Ranks come from ranged partial counts, so even one giant community is cut in
-    parallel.
+    It ends when none of those falls apart any more. What is still too large then
+    hangs together too closely to be split, and stays one community.
     """
     current = label_propagation(edges, rounds).select("name", F.col("label").alias("community_id"))
-    for level in range(levels):
-        sizes = current.groupBy("community_id").agg(F.count(F.lit(1)).alias("n"))
+    before = -1
+    while True:
+        sizes = durable(current.groupBy("community_id").agg(F.count(F.lit(1)).alias("n")))
+        # Each repetition makes more communities or is the last one.
+        number = sizes.count()
         big = sizes.where(F.col("n") > max_size).select("community_id")
+        if number == before or big.isEmpty():
+            return current
+        before = number
         inside = current.join(big, "community_id", "left_semi")
         a = inside.select(F.col("name").alias("subject"), F.col("community_id").alias("ca"))
         b = inside.select(F.col("name").alias("object"), F.col("community_id").alias("cb"))
         sub = durable(edges.select("subject", "object").join(a, "subject").join(b, "object").where("ca = cb").select("subject", "object"))
-        if sub.isEmpty():
-            break
-        split = label_propagation(sub, rounds)
+        # A community whose members all got one label keeps its name.
+        split = label_propagation(sub, rounds).join(current, "name")
+        parts = split.groupBy("community_id").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+        split = split.join(parts.where("_low <> _high"), "community_id").select(
+            "name", F.concat_ws("/", "community_id", "label").alias("_part")
+        )
         current = durable(
-            current.join(split, "name", "left").select(
-                "name",
-                F.when(F.col("label").isNull(), F.col("community_id"))
-                .otherwise(F.concat_ws("/", "community_id", "label"))
-                .alias("community_id"),
-            )
+            current.join(split, "name", "left").select("name", F.coalesce("_part", "community_id").alias("community_id"))
         )
-    ranked = prefix_sum(current.withColumn("_one", F.lit(1)), "_one", ["name"], ["community_id"], out="_pos")
-    part = F.floor(F.col("_pos") / max_size)
-    return ranked.select(
-        "name",
-        F.when(part == 0, F.col("community_id"))
-        .otherwise(F.concat(F.col("community_id"), F.lit("#"), part.cast("string")))
-        .alias("community_id"),
-    )
 
 
 def community_details(membership: DataFrame, edges: DataFrame) -> DataFrame:

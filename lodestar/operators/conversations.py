@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The modes a request may name, and the answer given when none could be made.
 MODES = ("vector", "graph", "hybrid_rag", "database", "hybrid")
 FALLBACK_ANSWER = "Tôi không thể xử lý câu hỏi của bạn lúc này. Vui lòng thử lại sau."
 
@@ -64,6 +65,7 @@ def step_latency(events: DataFrame, id_col: str, ts_col: str, step_col: str) ->
         F.count_distinct(step_col).alias("n_step_kinds"),
         F.min(ts_col).alias("started"),
         F.max(ts_col).alias("finished"),
+        (F.timestamp_diff("MICROSECOND", F.min(ts_col), F.max(ts_col)) / 1e6).alias("seconds"),
     )
 
 

@@ -32,8 +32,12 @@ def catalog_tables(
     return columns, relations
 
 
+#: Letters, digits and underscores of any script.
+WORD = r"[\p{L}\p{N}_]+"
+
+
 def _word_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
     return df.select(*keep, F.explode(found).alias("word"))
 
 
@@ -57,7 +61,7 @@ def rank_tables(questions: DataFrame, columns: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint").alias("score")
     every = tables.agg(F.collect_list(F.struct("table_no", "table_name", zero))).scalar()
     # Outer on both sides: a question without any known word keeps one empty row.
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     asked = questions.select("question_id", F.explode_outer(found).alias("word")).join(weights, "word", "left")
     scored = asked.groupBy("question_id", "table_name", "table_no").agg(F.sum("weight").alias("score"))
     hits = F.count("table_name").over(Window.partitionBy("question_id"))

@@ -52,8 +52,10 @@ def score_matrix(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.nda
     return np.round(s, 6) + 0.0
 
 
-def best_rows(frame: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_rows(frame: pd.DataFrame, k: int, once: bool = False) -> pd.DataFrame:
     ordered = frame.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
+    if once:
+        ordered = ordered.drop_duplicates(["q", "id"])
     return ordered.groupby("q", sort=False).head(k)
 
 
@@ -69,11 +71,18 @@ def table_topk(ids: np.ndarray, scores: np.ndarray, k: int, floor: float | None
     return best_rows(pd.DataFrame({"q": cols, "id": ids[rows], "score": scores[rows, cols]}), k)
 
 
-def batch_topk(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str, floor: float | None) -> pd.DataFrame:
+def batch_topk(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str, floor: float | None, once: bool = False) -> pd.DataFrame:
     """Best k rows of one batch for each query (``q`` is the query's position)."""
     found = []
+    if once:
+        # Rows of one id side by side, so that each id's best score is one reduction.
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids = ids[first]
     for at in range(0, len(queries), _SCORE_BLOCK):
-        part = table_topk(ids, score_matrix(vectors, queries[at : at + _SCORE_BLOCK], metric), k, floor)
+        scores = score_matrix(vectors, queries[at : at + _SCORE_BLOCK], metric)
+        part = table_topk(ids, np.maximum.reduceat(scores, first, axis=0) if once else scores, k, floor)
         part["q"] += at
         found.append(part)
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"q": [], "id": [], "score": []})
@@ -127,9 +136,13 @@ def knn(
     filters: dict | None = None,
     min_score: float | None = None,
     block_bytes: int = BLOCK_BYTES,
+    once: bool = False,
 ) -> DataFrame:
     """Exact top-k. ``filters`` and ``min_score`` apply before ranking.
 
+    With ``once``, an id that stands at several vectors counts once for each
+    query, with the best of them; otherwise ids are taken as different.
+
     For ``euclid`` the score is a distance, small first, and ``min_score`` is
     the largest distance allowed.
     """
@@ -143,7 +156,9 @@ def knn(
     schema = hit_schema(q.schema["query_id"].dataType, c.schema["id"].dataType)
     q = durable(q).where("embedding is not null")
     size = F.octet_length(F.col("query_id").cast("string")) + 8 * F.size("embedding")
-    hits = scan_blocks(q, c, size, block_bytes, lambda head, rows: _scan_topk(head, rows, k, metric, floor, schema), schema)
+    hits = scan_blocks(q, c, size, block_bytes, lambda head, rows: _scan_topk(head, rows, k, metric, floor, schema, once), schema)
+    if once:
+        hits = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return _signed(merged(hits, k), metric)
 
 
@@ -179,7 +194,7 @@ def scan_blocks(
     return reduce(DataFrame.unionByName, found)
 
 
-def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor: float | None, schema: T.StructType):
+def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor: float | None, schema: T.StructType, once: bool = False):
     lengths = {len(v) for v in head["embedding"]}
     if len(lengths) > 1:
         raise ValueError(f"query vectors have the lengths {sorted(lengths)}")
@@ -195,8 +210,8 @@ def _scan_topk(head: pd.DataFrame, corpus: DataFrame, k: int, metric: str, floor
             if batch.num_rows == 0:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            part = batch_topk(ids, _matrix(batch.column(1), dim), query_vectors, k, metric, floor)
-            best = part if best is None else best_rows(pd.concat([best, part], ignore_index=True), k)
+            part = batch_topk(ids, _matrix(batch.column(1), dim), query_vectors, k, metric, floor, once)
+            best = part if best is None else best_rows(pd.concat([best, part], ignore_index=True), k, once)
         if best is not None and len(best):
             yield hit_batch(best, query_ids)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,12 @@ def durable(df: DataFrame) -> DataFrame:
     temporary folder is chosen only for a local master, where driver and
     executors share one disk.
     """
-    spark = df.sparkSession
+    shared_base(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors can reach."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,7 +66,12 @@ def durable(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: The most that ``spread`` may shuffle, whatever the cluster.

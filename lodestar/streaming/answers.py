@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.conversations import FALLBACK_ANSWER
 
 OUTPUT = "conn_id bigint, answer string, n_chunks bigint, stream_success boolean"
-STATE = "seqs array<bigint>, chunks array<string>, err bigint"
+STATE = "seqs array<bigint>, chunks array<string>, err bigint, closed boolean"
 NO_ERROR = -1
 
 
@@ -30,11 +30,17 @@ def _answer(key: tuple, seqs: list, chunks: list, err: int, ended: bool) -> pd.D
 
 def _collect(timeout_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, chunks, err = state.get if state.exists else ([], [], NO_ERROR)
+        seqs, chunks, err, closed = state.get if state.exists else ([], [], NO_ERROR, False)
         seqs, chunks = list(seqs), list(chunks)
         if state.hasTimedOut:
             state.remove()
-            yield _answer(key, seqs, chunks, err, False)
+            if not closed:
+                yield _answer(key, seqs, chunks, err, False)
+            return
+        if closed:
+            # Late events of an answer that is out: they only keep the mark alive.
+            state.update(([], [], NO_ERROR, True))
+            state.setTimeoutDuration(timeout_ms)
             return
         ended = False
         for frame in frames:
@@ -47,12 +53,11 @@ def _collect(timeout_ms: int):
                 elif kind == "stream_end":
                     ended = True
         if ended:
-            if state.exists:
-                state.remove()
             yield _answer(key, seqs, chunks, err, True)
+            state.update(([], [], NO_ERROR, True))
         else:
-            state.update((seqs, chunks, err))
-            state.setTimeoutDuration(timeout_ms)
+            state.update((seqs, chunks, err, False))
+        state.setTimeoutDuration(timeout_ms)
 
     return run
 
@@ -60,7 +65,9 @@ def _collect(timeout_ms: int):
 def assemble_stream(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """Events (conn_id, seq, type, chunk) → one row when a connection ends or falls silent.
 
-    State holds one unfinished answer per open connection and is dropped with it.
+    State holds one unfinished answer per open connection. Of a finished one only
+    a mark stays until the timeout, so that a chunk that comes after the end is
+    dropped and no connection is answered twice.
     Timeouts need empty micro-batches; a run with ``availableNow`` ends only with
     ``spark.sql.streaming.noDataMicroBatches.enabled`` set to false.
     """

@@ -6,7 +6,7 @@ import importlib
 
 from .base import REGISTRY
 
-MODULES = ("relational", "ingestion", "chunks", "vectors", "ranking", "fusion", "graphs", "logs")
+MODULES = ("relational", "ingestion", "chunks", "vectors", "ranking", "fusion", "graphs", "logs", "hooks")
 
 
 def load() -> dict:

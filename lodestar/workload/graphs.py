@@ -177,7 +177,7 @@ query("h05_query_graph", f"""
     lambda t: G.query_graph(_loaded(t)[1], _loaded(t)[2], predicate="Nation", object="nation_1", limit=None)
 )
 query("h05_query_graph_limited", f"""
-  SELECT DISTINCT subject, predicate, object, description FROM ({SQL_T}) ORDER BY ALL LIMIT 100""")(lambda t: G.query_graph(_loaded(t)[1]))
+  SELECT DISTINCT subject, predicate, object, description FROM ({SQL_T}) ORDER BY ALL LIMIT 100""")(lambda t: G.query_graph(_loaded(t)[1], limit=100))
 
 
 def nation_questions(t, *parts) -> DataFrame:
@@ -239,7 +239,7 @@ SQL_H8 = f"""
   FROM ({SQL_T}) WHERE predicate='in_nation' AND (subject IN (SELECT name FROM e) OR object IN (SELECT name FROM e))"""
 query("h08_entity_relationships", SQL_H8)(lambda t: G.query_entity_relationships(_loaded(t)[1], *_listed(t), limit=None))
 query("h08_entity_relationships_limited", f"{SQL_H8} ORDER BY relevance_score DESC, subject, predicate, object, description LIMIT 20")(
-    lambda t: G.query_entity_relationships(_loaded(t)[1], *_listed(t))
+    lambda t: G.query_entity_relationships(_loaded(t)[1], *_listed(t), limit=20)
 )
 
 _NAME_Q = SQL_NATION_Q.format(x="n_name||' '||r_name")
@@ -290,8 +290,8 @@ query("h11_label_propagation", f"""
 
 @query("h11_communities")
 def capped(t):
-    """Size-capped communities have no SQL counterpart; the cap and the cover are tested."""
-    return M.communities(triplets(t), 5, 2, 1)
+    """As many rounds as it takes, so there is no SQL counterpart; the fixed point and the cover are tested."""
+    return M.communities(triplets(t), 5, 2)
 
 
 def by_nation(t) -> DataFrame:

@@ -248,6 +248,12 @@ query("l04_route_errors", """
     lambda t: V.route_requests(t("events"), "event_type")[1].select("event_id", "message")
 )
 query("l05_step_latency", """
-  SELECT user_id, count(*) AS n_steps, count(DISTINCT event_type) AS n_step_kinds, min(ts) AS started, max(ts) AS finished FROM events GROUP BY 1""")(
+  SELECT user_id, count(*) AS n_steps, count(DISTINCT event_type) AS n_step_kinds, min(ts) AS started, max(ts) AS finished,
+    date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds FROM events GROUP BY 1""")(
     lambda t: V.step_latency(t("events"), "user_id", "ts", "event_type")
 )
+query("l05_latency_quantiles", """
+  SELECT quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95 FROM (
+    SELECT date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds FROM events GROUP BY user_id)""")(
+    lambda t: V.latency_quantiles(V.step_latency(t("events"), "user_id", "ts", "event_type"), "seconds")
+)

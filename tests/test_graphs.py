@@ -70,18 +70,23 @@ def test_components_of_paths_and_rings(spark):
     assert got == {**{n: part[0] for part in parts for n in part}, "alone": "alone"}
 
 
-def test_communities_cover_all_and_respect_the_cap(spark):
+def test_communities_cover_all_and_none_can_be_split_further(spark):
     rng = random.Random(4)
     hub = [("hub", f"n{i:03d}") for i in range(80)]  # One node has most edges.
     rest = [(f"n{rng.randrange(80):03d}", f"n{rng.randrange(80):03d}") for _ in range(60)]
     edges = spark.createDataFrame([(a, "p", b, "") for a, b in hub + rest if a != b], EDGES)
-    rows = M.communities(edges, 5, 2, 1).collect()
+    found = M.communities(edges, 5, 2)
+    rows = found.collect()
     names = [r.name for r in rows]
     assert sorted(names) == sorted({x for a, b in hub + rest if a != b for x in (a, b)})
     sizes = {}
     for r in rows:
         sizes[r.community_id] = sizes.get(r.community_id, 0) + 1
-    assert max(sizes.values()) <= 5
+    for name, size in sizes.items():
+        if size > 5:
+            members = [r.name for r in rows if r.community_id == name]
+            inner = edges.where(F.col("subject").isin(members) & F.col("object").isin(members))
+            assert M.label_propagation(inner, 2).select("label").distinct().count() == 1
 
 
 def test_prefix_sum_by_group(spark):
