@@ -74,7 +74,8 @@ def ingest_stream(t) -> DataFrame:
     """The documents arrive as a stream; its chunks are those of the batch plan."""
     sink, marks = shared_folder(t.spark, "ingest"), shared_folder(t.spark, "ingest-marks")
     schema = t("documents").schema
-    source = f"{t.folder}/documents.parquet"
+    # A pattern, since a stream lists folders and a table may be one file.
+    source = f"{t.folder}/documents.parquet*"
     ingest.ingest_stream(t.spark, source, schema, sink, marks, size=200, overlap=20).awaitTermination()
     return ingest.current(t.spark, sink).select("doc_id", "chunk_index", "text")
 
