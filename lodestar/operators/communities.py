@@ -100,8 +100,9 @@ def communities(edges: DataFrame, max_size: int = 5, rounds: int = 3) -> DataFra
         a = inside.select(F.col("name").alias("subject"), F.col("community_id").alias("ca"))
         b = inside.select(F.col("name").alias("object"), F.col("community_id").alias("cb"))
         sub = durable(edges.select("subject", "object").join(a, "subject").join(b, "object").where("ca = cb").select("subject", "object"))
-        # A community whose members all got one label keeps its name.
-        split = label_propagation(sub, rounds).join(current, "name")
+        # A member without an edge to another one stands alone. A community whose members
+        # all got one label keeps its name.
+        split = inside.join(label_propagation(sub, rounds), "name", "left").withColumn("label", F.coalesce("label", "name"))
         parts = split.groupBy("community_id").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
         split = split.join(parts.where("_low <> _high"), "community_id").select(
             "name", F.concat_ws("/", "community_id", "label").alias("_part")
