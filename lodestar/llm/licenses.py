@@ -113,7 +113,7 @@ def _scan(index: Index):
         base: list[set[str]] = [set() for _ in range(texts)]
         for phrase, label in index.phrases:
             last = len(phrase) - 1
-            start = np.flatnonzero(at[: len(at) - last or None] == phrase[0])
+            start = np.flatnonzero(at[: max(0, len(at) - last)] == phrase[0])
             for k in range(1, last + 1):
                 start = start[at[start + k] == phrase[k]]
             start = start[owner[start] == owner[start + last]]

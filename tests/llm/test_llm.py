@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,16 @@ def test_licenses(spark, odd, none):
     assert licenses.license_labels(none).count() == 0
 
 
+def test_licenses_of_parts_of_a_phrase():
+    """A text may end inside a phrase."""
+    index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in licenses.TEMPLATES + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
+    for phrase, _ in licenses.PHRASES:
+        words = phrase.split()
+        for n in range(len(words) + 1):
+            batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([" ".join(words[:n])])})
+            assert [b.column("n_base").to_pylist() for b in licenses._scan(index)([batch])] == [[int(n == len(words))]]
+
+
 def test_classifier(spark, none):
     docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/../sf0.01/labels.parquet")
