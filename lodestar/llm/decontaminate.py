@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .words import LOWER, MARKS
 
-#: Bytes of item texts that one automaton is built from; larger tables are met in several passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts that one automaton is built from (some 450 bytes of memory for each); larger tables are met in several passes.
+BLOCK_BYTES = 1 << 20
 
 _NORMAL = bytes(32 if MARKS[b] else LOWER[b] for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -125,7 +125,7 @@ def _drop(shared, size: int):
 
 def _blocks(benchmark: DataFrame) -> list:
     """The items in blocks of about BLOCK_BYTES, each small enough to send to all tasks."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // BLOCK_BYTES) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
