@@ -41,6 +41,8 @@ LARGEST_LIGHT = 12
 #: Members of a long list that all of it is compared with at a time, and how often at most before all pairs are.
 CENTRES = 8
 TURNS = 2
+#: Members of a long list that one task compares with the others, about.
+LOT = 256
 #: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
 MAP_WORDS = 16
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
@@ -425,13 +427,17 @@ def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, s
         pairs, members = lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not members:
             return found
-        now = durable(now.join(lists.select("key"), "key").join(maps, ["v", "n"]))
+        now = durable(now.join(lists.select("key", F.ceil(F.col("s") / LOT).cast("int").alias("lots")), "key").join(maps, ["v", "n"]))
         last = turn == TURNS or pairs <= 4 * members
-        other = now.select("key", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component", *bits)))
-        if not last:
+        other = now.select("key", "lots", *(F.col(c).alias(f"{c}2") for c in ("v", "n", "pos", "component", *bits)))
+        if last:  # adaptive execution splits long lists
+            met = now.drop("lots").join(other.drop("lots"), "key").where("component < component2")
+        else:  # the members of a long list are dealt over tasks, and its few centres go to each of them
             order = Window.partitionBy("key").orderBy(F.xxhash64("v2", F.lit(turn)), "v2", "n2", "pos2")
             other = other.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CENTRES)
-        met = now.join(other, "key").where("component < component2" if last else "component <> component2")
+            other = other.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+            dealt = now.withColumn("lot", F.pmod(F.xxhash64("v", "n"), F.col("lots")).cast("int")).drop("lots")
+            met = dealt.join(other, ["key", "lot"]).where("component <> component2")
         shares = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
         apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
         both = F.col("n") + F.col("n2")
@@ -445,8 +451,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id; all columns stay.
 
     Rows without words are all kept, as they are similar to nothing, and so are
-    rows without doc_id. Of rows that repeat the smallest doc_id, all stay that have
-    the group's text.
+    rows without doc_id. Rows that repeat a doc_id stay or go together: they go if the
+    text of one of them is similar to that of a smaller doc_id.
     """
     group = jaccard_components(docs, size, percent)
     gone = group.where("component_id < doc_id").select(F.col("doc_id").cast("bigint").alias("_gone")).distinct()

@@ -84,8 +84,10 @@ def test_jaccard_against_brute_force(spark, odd, none):
     assert sorted(kept, key=str) == sorted([1, 3, 4, 5, 6, 8, 10, None], key=str)
 
 
-def test_jaccard_of_families(spark):
+@pytest.mark.parametrize("lot", [7, jaccard.LOT])
+def test_jaccard_of_families(spark, monkeypatch, lot):
     """Long lists of near copies whose members are similar to some of the others only."""
+    monkeypatch.setattr(jaccard, "LOT", lot)
     draw = np.random.default_rng(0)
     rows, n = [], 0
     for family in range(3):
