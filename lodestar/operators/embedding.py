@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import is_blank
-
+from ..session import durable
 
 MEMO = 200_000
 
@@ -90,13 +90,14 @@ def embed_cached(
 ) -> tuple[DataFrame, DataFrame]:
     """(df + embedding, new cache rows). Each distinct unknown text is embedded once.
 
-    A cached vector of another length counts as a miss.
+    A cached vector of another length counts as a miss. The new rows are stored,
+    so that using them and keeping them embeds no text again.
     """
     keyed = df.withColumn("cache_key", cache_key(F.col(text_col), namespace))
     known = cache.where(F.size("embedding") == dim).select("cache_key", "embedding")
     distinct = keyed.groupBy("cache_key").agg(F.min(text_col).alias("_text"))
     missing = distinct.join(known, "cache_key", "left_anti")
-    fresh = missing.select("cache_key", (embedder or hash_embedder(dim))(F.col("_text")).alias("embedding"))
+    fresh = durable(missing.select("cache_key", (embedder or hash_embedder(dim))(F.col("_text")).alias("embedding")))
     return keyed.join(known.unionByName(fresh), "cache_key", "left"), fresh
 
 

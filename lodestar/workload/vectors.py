@@ -14,6 +14,7 @@ from ..operators import embedding as D
 from ..functions import vectors as V
 from ..operators import search as S
 from ..operators.collections import check_dimension, index_documents
+from ..session import durable
 from .base import query
 from .chunks import SQL_WORDS
 
@@ -93,7 +94,7 @@ def cache_counts(t):
 def embed_cached(t):
     docs = t.texts("documents").select("doc_id", "text", "lang")
     english = docs.where("lang = 'en'").groupBy(D.cache_key(F.col("text"), "hash").alias("cache_key")).agg(F.min("text").alias("text"))
-    cache = D.embed(english, "text", DIM).select("cache_key", "embedding")
+    cache = durable(D.embed(english, "text", DIM).select("cache_key", "embedding"))
     vectors, _ = D.embed_cached(docs, "text", cache, "hash", DIM)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return vectors.select("doc_id", "cache_key", F.round(total, 4).alias("total"))
