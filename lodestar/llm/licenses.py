@@ -24,23 +24,56 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-# Customary one-line notices of widely used licenses, and where they
-# differ in one word from another's, only what tells them apart (short enough that
-# every word is needed).
+# Customary headers and one-line notices of widely used licenses, and
+# where they differ in one word from another's, only what tells them apart (short
+# enough that every word is needed: "Released under the MIT License" would be met by
+# "Released under the BSD License").
 TEMPLATES = (
-    ("Released under the MIT License", "mit"),
+    ("MIT License", "mit"),
+    ("Released under the MIT", "mit"),
+    ("Licensed under the MIT", "mit"),
+    ("License Identifier MIT", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("Licensed under the Apache License, Version 2.0", "apache-2"),
+    ("Apache License, Version 2", "apache-2"),
+    ("Apache License 2.0", "apache-2"),
+    ("Apache Version 2.0", "apache-2"),
+    ("License Identifier Apache", "apache-2"),
+    ("BSD License", "bsd"),
+    ("BSD style license", "bsd"),
+    ("BSD 2 Clause", "bsd"),
+    ("BSD 3 Clause", "bsd"),
+    ("License Identifier BSD", "bsd"),
     ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
+    ("GNU General Public", "gpl"),
+    ("GNU GPL", "gpl"),
+    ("under the GPL", "gpl"),
+    ("under the GPLv2", "gpl"),
+    ("under the GPLv3", "gpl"),
+    ("License Identifier GPL", "gpl"),
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
     ("Lesser General Public", "lgpl"),
+    ("Library General Public", "lgpl"),
+    ("GNU LGPL", "lgpl"),
+    ("under the LGPL", "lgpl"),
+    ("License Identifier LGPL", "lgpl"),
+    ("Affero General Public", "agpl"),
+    ("GNU AGPL", "agpl"),
+    ("under the AGPL", "agpl"),
+    ("License Identifier AGPL", "agpl"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License", "mpl-2"),
+    ("Mozilla Public License", "mpl-2"),
+    ("License Identifier MPL", "mpl-2"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("Creative Commons ShareAlike", "cc-by-sa"),
+    ("Commons Attribution ShareAlike", "cc-by-sa"),
+    ("Commons Attribution Share Alike", "cc-by-sa"),
+    ("CC BY SA", "cc-by-sa"),
     ("Creative Commons NonCommercial", "cc-by-nc"),
-    ("Content available under CC BY-NC 4.0", "cc-by-nc"),
+    ("Commons Attribution NonCommercial", "cc-by-nc"),
+    ("Commons Attribution Non Commercial", "cc-by-nc"),
+    ("CC BY NC", "cc-by-nc"),
     ("This is free and unencumbered software released into the public domain", "unlicense"),
-    ("All rights reserved. No part of this publication may be reproduced", "all-rights-reserved"),
+    ("All rights reserved", "all-rights-reserved"),
 )
 
 

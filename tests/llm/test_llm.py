@@ -148,6 +148,23 @@ def test_licenses(spark, odd, none):
     assert licenses.license_labels(none).count() == 0
 
 
+@pytest.mark.parametrize(("notice", "label"), [
+    # every kind of notice that stands in the tables
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("All rights reserved.", "all-rights-reserved"),
+    ("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+    # and notices that name only the license
+    ("Released under the GPL.", "gpl"), ("Distributed under the GNU GPL v2 or later", "gpl"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl"),
+    ("Licensed under the GNU LGPL", "lgpl"), ("SPDX-License-Identifier: LGPL-2.1", "lgpl"), ("Released under the BSD License.", "bsd"),
+    ("BSD 3-Clause License", "bsd"), ("Licensed under the Mozilla Public License, Version 2.0", "mpl-2"), ("Content available under CC BY-SA 4.0", "cc-by-sa"),
+])
+def test_licenses_of_one_line(notice, label):
+    """Each gives its own label and no other."""
+    index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in licenses.TEMPLATES + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
+    batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([f"some words\n{notice}\nmore"])})
+    (found,) = licenses._scan(index)([batch])
+    assert (found.column("labels").to_pylist(), found.column("score").to_pylist()) == ([label], [1.0])
+
+
 def test_licenses_of_parts_of_a_phrase():
     """A text may end inside a phrase."""
     index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in licenses.TEMPLATES + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
