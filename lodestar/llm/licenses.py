@@ -1,11 +1,14 @@
 """License scans: an exact containment join of text blocks with license templates.
 
-A block is a line. Of a template with n distinct words a block must hold
-``need = ceil(threshold * n)``. Template words are ordered by how often they
-stand in the whole corpus, rarest first. A block that meets the threshold holds
-one of the first n - need + 1 words of the template (prefix filter), has at least
-need words (length filter), and when its first shared word is the p-th, n - p are
-left to share (position filter). What passes is checked on the whole block.
+A block is a window of words, wherever lines end. Of a template with n distinct words
+a block must hold ``need = ceil(threshold * n)``, and it has at most
+length / threshold words (length: those of the template, repeated ones included), so
+that wrapped notices are found and words strewn over a text are not. Template words
+are ordered by how often they stand in the whole corpus, rarest first. A block that
+meets the threshold holds one of the first n - need + 1 words of the template (prefix
+filter; their positions leave n - p >= need words to share, which is the position
+filter), so only the words within a window's length of such a word are looked at, and
+of these only runs with need different template words (length filter).
 Phrases that stand word by word in the text are found beside that.
 """
 
@@ -65,6 +68,9 @@ TEMPLATES = (
     ("License Identifier MPL", "mpl-2"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("Creative Commons ShareAlike", "cc-by-sa"),
+    ("NonCommercial ShareAlike", "cc-by-sa"),
+    ("Non Commercial Share Alike", "cc-by-sa"),
+    ("CC BY NC SA", "cc-by-sa"),
     ("Commons Attribution ShareAlike", "cc-by-sa"),
     ("Commons Attribution Share Alike", "cc-by-sa"),
     ("CC BY SA", "cc-by-sa"),
@@ -75,6 +81,16 @@ TEMPLATES = (
     ("This is free and unencumbered software released into the public domain", "unlicense"),
     ("All rights reserved", "all-rights-reserved"),
 )
+# Told apart from others (CC BY 4.0 from CC BY-NC 4.0) only where the words
+# stand together. The SQL, which takes whole lines, does not have them.
+CLOSE = (
+    ("Commons Attribution 4", "cc-by"),
+    ("Commons Attribution 3", "cc-by"),
+    ("Commons Attribution License", "cc-by"),
+    ("Commons Attribution International", "cc-by"),
+    ("CC BY 4", "cc-by"),
+    ("CC BY 3", "cc-by"),
+)
 
 
 def _hashes(texts) -> list[np.ndarray]:
@@ -113,29 +129,60 @@ class Index:
         self.phrases = [(_lookup(vocabulary, h), label) for h, (_, label) in zip(_hashes(p for p, _ in phrases), phrases)]
         rank = np.empty(len(vocabulary), np.int64)
         rank[np.lexsort((vocabulary, times))] = np.arange(len(vocabulary))
-        self.words, self.need, self.lists = [], [], {}
+        self.member, self.need, self.longest, self.size, self.lists = [], [], [], [], {}
         for number, hashed in enumerate(_hashes(t for t, _ in templates)):
             ordered = sorted(set(_lookup(vocabulary, hashed).tolist()), key=lambda w: rank[w])
-            need = int(np.ceil(threshold * len(ordered) - 1e-9))
-            self.words.append(frozenset(ordered))
+            need = max(1, int(np.ceil(threshold * len(ordered) - 1e-9)))
+            self.member.append(np.zeros(len(vocabulary) + 1, bool))
+            self.member[-1][ordered] = True
             self.need.append(need)
-            for position, word in enumerate(ordered[: len(ordered) - need + 1]):
-                self.lists.setdefault(word, []).append((number, position))
+            self.longest.append(int(len(hashed) / threshold + 1e-9))
+            self.size.append(len(ordered))
+            for word in ordered[: len(ordered) - need + 1]:
+                self.lists.setdefault(word, []).append(number)
         self.rare = np.zeros(len(vocabulary) + 1, bool)  # the last entry stands for other words
         self.rare[list(self.lists)] = True
 
-    def matches(self, block: set[int], size: int) -> list[tuple[int, float]]:
-        """(template, containment) of all templates that a block of ``size`` distinct words meets."""
-        first: dict[int, int] = {}
-        for word in block:
-            for number, position in self.lists.get(word, ()):
-                first[number] = min(position, first.get(number, position))
-        out = []
-        for number, position in first.items():
-            n, need = len(self.words[number]), self.need[number]
-            if size >= need and n - position >= need and (shared := len(self.words[number] & block)) >= need:
-                out.append((number, shared / n))
-        return out
+    def spans(self, at: np.ndarray, first: np.ndarray, owner: np.ndarray):
+        """(template, text, from, to): the words in which a window that meets the template can lie."""
+        open_: dict[int, tuple[int, int, int]] = {}
+        for place in np.flatnonzero(self.rare[at]).tolist():
+            text = int(owner[place])
+            for number in self.lists[int(at[place])]:
+                low, high = max(int(first[text]), place - self.longest[number] + 1), min(int(first[text + 1]), place + self.longest[number])
+                had = open_.get(number)
+                if had and had[0] == text and low <= had[2]:
+                    low = had[1]
+                elif had:
+                    yield number, *had
+                open_[number] = text, low, high
+        for number, had in open_.items():
+            yield number, *had
+
+    def matches(self, number: int, at: np.ndarray, low: int, high: int) -> list[tuple[int, int, float]]:
+        """(first word, last word, containment) where windows of ``at[low:high]`` meet a template; of windows that overlap, the best."""
+        places = np.flatnonzero(self.member[number][at[low:high]]) + low
+        words, places = at[places].tolist(), places.tolist()
+        need, longest = self.need[number], self.longest[number]
+        if len(set(words)) < need:
+            return []
+        held: dict[int, int] = {}
+        out: list[tuple[int, int, int]] = []
+        left, reach = 0, -1  # the window's first template word, and the last word of the last window that met
+        for place, word in zip(places, words):
+            held[word] = held.get(word, 0) + 1
+            while places[left] <= place - longest or held[words[left]] > 1:
+                held[words[left]] -= 1
+                if not held[words[left]]:
+                    del held[words[left]]
+                left += 1
+            if len(held) >= need:
+                if places[left] > reach:
+                    out.append((places[left], place, len(held)))
+                elif len(held) > out[-1][2]:
+                    out[-1] = (places[left], place, len(held))
+                reach = place
+        return [(a, b, shared / self.size[number]) for a, b, shared in out]
 
 
 def _scan(index: Index):
@@ -160,15 +207,11 @@ def _scan(index: Index):
         found: list[set[str]] = [set(b) for b in base]
         score = [1.0 if b else 0.0 for b in base]
         blocks: list[list[dict]] = [[] for _ in range(texts)]
-        if len(at):
-            line = np.searchsorted(np.flatnonzero(words.data == 10), words.starts) + owner
-            for wanted in np.unique(line[index.rare[at]]):
-                a, b = np.searchsorted(line, [wanted, wanted + 1])
-                text = owner[a]
-                for number, share in index.matches(set(at[a:b].tolist()) - {-1}, len(set(hashed[a:b].tolist()))):
-                    found[text].add(index.labels[number])
-                    score[text] = max(score[text], share)
-                    blocks[text].append({"label": index.labels[number], "first": int(a - words.first[text]), "words": int(b - a), "containment": share})
+        for number, text, a, b in index.spans(at, words.first, owner):
+            for first, last, share in index.matches(number, at, a, b):
+                found[text].add(index.labels[number])
+                score[text] = max(score[text], share)
+                blocks[text].append({"label": index.labels[number], "first": first - int(words.first[text]), "words": last - first + 1, "containment": share})
         for text in range(texts):
             yield n_base[text], low[text] if n_base[text] else None, high[text] if n_base[text] else None, ",".join(sorted(base[text])), ",".join(sorted(found[text])), score[text], blocks[text]
 
@@ -189,16 +232,17 @@ def _scan(index: Index):
     return run
 
 
-def license_labels(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def license_labels(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES + CLOSE, phrases=PHRASES) -> DataFrame:
     """License labels of ``docs`` (``doc_id``, ``text``).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
     Returns for each row ``doc_id``, ``n_words``; of the phrases ``n_base`` (places
     where one stands, of all phrases), ``first_word`` and ``last_word`` (their
     least and largest first word, NULL without any), ``base_labels``; ``labels``
-    (those, and those of all templates of which a line holds at least
-    ``threshold`` of the distinct words); ``score`` (1 with a phrase, else the
-    largest share met, else 0); ``blocks`` (each line that meets a template).
+    (those, and those of all templates of which a window of at most the template's
+    length / ``threshold`` words holds at least ``threshold`` of the distinct words);
+    ``score`` (1 with a phrase, else the largest share met, else 0); ``blocks`` (where
+    windows meet a template; those that overlap are one, and the best of them is given).
 
     NULL and empty texts have no words and no labels ('' and score 0). Repeated
     rows are each judged; other columns are ignored. ``templates`` and ``phrases``

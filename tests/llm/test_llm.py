@@ -159,12 +159,51 @@ def test_licenses(spark, odd, none):
 ])
 def test_licenses_of_one_line(notice, label):
     """Each gives its own label and no other."""
-    index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in licenses.TEMPLATES + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
+    templates = licenses.TEMPLATES + licenses.CLOSE
+    index = licenses.Index(templates, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in templates + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
     batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array([f"some words\n{notice}\nmore"])})
     (found,) = licenses._scan(index)([batch])
     assert (found.column("labels").to_pylist(), found.column("score").to_pylist()) == ([label], [1.0])
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public\n# License as published by",
+    "bsd": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.",
+    "lgpl": "the GNU Lesser\nGeneral Public License",
+    "": "the lesser of two evils was shown to a general audience and then to the public",
+}
+
+
+def test_licenses_of_wrapped_notices(spark):
+    """Notices that run over line ends are found, words strewn over a line are none."""
+    docs = spark.createDataFrame([(label, f"int x;\n{text}\nint y;") for label, text in WRAPPED.items()], "doc_id string, text string")
+    rows = licenses.license_labels(docs).collect()
+    assert {r.doc_id: r.labels for r in rows} == {label: label for label in WRAPPED}
+    header = [b for r in rows if r.doc_id == "bsd" for b in r.blocks]
+    assert [(b.label, b.first, b.words, b.containment) for b in header] == [("bsd", 2, 21, 1.0)]
+
+
+def test_licenses_against_all_windows():
+    """The filters and the sliding window against every window of every text."""
+    draw = np.random.default_rng(5)
+    templates = (("a b c d e", "one"), ("c d a a f g h i j k", "two"), ("e f", "three"), ("k", "four"))
+    for threshold in (0.5, 0.8, 1.0):
+        vocabulary = np.unique(np.concatenate(licenses._hashes(t for t, _ in templates)))
+        index = licenses.Index(templates, (), vocabulary, draw.integers(0, 9, len(vocabulary)), threshold)
+        texts = [" ".join(draw.choice(list("abcdefghijkxyz\n"), draw.integers(0, 40))) for _ in range(300)]
+        (found,) = licenses._scan(index)([pa.record_batch({"doc_id": pa.array(range(300)), "text": pa.array(texts)})])
+        for text, labels, score in zip(texts, found.column("labels").to_pylist(), found.column("score").to_pylist()):
+            words, best = text.split(), {}
+            for template, label in templates:
+                own, span = set(template.split()), int(len(template.split()) / threshold + 1e-9)
+                share = max((len(own & set(words[i : i + span])) / len(own) for i in range(len(words))), default=0)
+                if share >= np.ceil(threshold * len(own) - 1e-9) / len(own):
+                    best[label] = share
+            assert (labels, score) == (",".join(sorted(best)), max(best.values(), default=0.0)), text
+
+
 def test_licenses_of_parts_of_a_phrase():
     """A text may end inside a phrase."""
     index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, vocabulary := np.unique(np.concatenate(licenses._hashes(t for t, _ in licenses.TEMPLATES + licenses.PHRASES))), np.ones(len(vocabulary), int), 0.8)
