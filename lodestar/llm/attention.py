@@ -55,15 +55,25 @@ def _mask() -> np.ndarray:
     return np.where(np.arange(2 * BLOCK)[None, :] > BLOCK + np.arange(BLOCK)[:, None], _FUTURE, np.float32(0))
 
 
-def token_classes(tokens: np.ndarray, size: int, end: int, seed: int = 3) -> np.ndarray:
-    """Group ids by their neighbours in the sample (k-means); ids that it lacks share a class, and so does ``end``."""
-    sides, draw = 96, np.random.default_rng(seed)
-    fold = draw.integers(0, sides, size)
-    near = np.zeros((size, 2 * sides), np.float32)
-    np.add.at(near, (tokens[1:], fold[tokens[:-1]]), 1)
-    np.add.at(near, (tokens[:-1], sides + fold[tokens[1:]]), 1)
-    times = np.bincount(tokens, minlength=size)
-    seen = np.flatnonzero(times > 2)
+#: Neighbours of an id are counted in so many buckets on either side.
+SIDES = 96
+
+
+def neighbours(near: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, seed: int = 3) -> None:
+    """Add the neighbours of each id within its text to ``near`` (size, 2 * SIDES)."""
+    size = len(near)
+    fold = np.random.default_rng(seed).integers(0, SIDES, size)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    left, right = tokens[inner].astype(np.int64), tokens[inner + 1].astype(np.int64)
+    near[:, :SIDES] += np.bincount(right * SIDES + fold[left], minlength=size * SIDES).reshape(size, SIDES)
+    near[:, SIDES:] += np.bincount(left * SIDES + fold[right], minlength=size * SIDES).reshape(size, SIDES)
+
+
+def token_classes(near: np.ndarray, times: np.ndarray, end: int) -> np.ndarray:
+    """Group ids by their neighbours (k-means); ids that never stand share a class, and so does ``end``."""
+    size = len(near)
+    seen = np.flatnonzero(times > 0)
     seen = seen[seen != end]
     out = np.full(size, CLASSES - 2)
     out[end] = CLASSES - 1
@@ -128,25 +138,36 @@ class Attention:
             "near": d_score.sum(axis=0), "out": flat(mixed).T @ flat(d_logit), "bias": flat(d_logit).sum(axis=0),
         }
 
-    def fit(self, window, target, scored, epochs: int = 2, batch: int = 256, rate: float = 0.01, seed: int = 9) -> list[float]:
-        """Adam over batches of windows; returns the loss of each step."""
-        draw, losses, step = np.random.default_rng(seed), [], 0
+    def fit(self, windows, rate: float, batch: int = 256, seed: int = 9) -> tuple[np.ndarray, int]:
+        """Adam over batches of the windows that ``windows`` hands out; returns how often each id was met, and the scored tokens."""
+        draw, step = np.random.default_rng(seed), 0
+        met, tokens = np.zeros(self.size, np.int64), 0
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        total = epochs * max(1, -(-len(window) // batch))
-        for _ in range(epochs):
-            order = draw.permutation(len(window))
-            for i in range(0, len(order), batch):
-                pick = order[i : i + batch]
-                loss, slopes = self.gradients(window[pick], target[pick], scored[pick])
-                losses.append(loss)
+        for window, target, scored in windows:
+            met += np.bincount(window.reshape(-1), minlength=self.size)
+            tokens += int(scored.sum())
+            for pick in np.array_split(draw.permutation(len(window)), max(1, -(-len(window) // batch))):
+                _, slopes = self.gradients(window[pick], target[pick], scored[pick])
                 step += 1
-                speed = rate * (1 - (step - 1) / total) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                speed = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 for name, slope in slopes.items():
-                    first[name] = 0.9 * first[name] + 0.1 * slope
-                    second[name] = 0.99 * second[name] + 0.01 * slope * slope
+                    first[name] += np.float32(0.1) * (slope - first[name])
+                    second[name] += np.float32(0.01) * (slope * slope - second[name])
                     self.p[name] -= np.float32(speed) * first[name] / (np.sqrt(second[name]) + np.float32(1e-6))
-        return losses
+        return met, tokens
+
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of ``WIDTH``: the embeddings by id, then the others."""
+        return np.concatenate([self.p["embed"], np.concatenate([v.reshape(-1) for k, v in self.p.items() if k != "embed"]).reshape(-1, WIDTH)])
+
+    def put(self, rows: np.ndarray) -> None:
+        self.p["embed"] = rows[: self.size].astype(np.float32)
+        rest, at = rows[self.size :].reshape(-1).astype(np.float32), 0
+        for name, value in self.p.items():
+            if name != "embed":
+                self.p[name] = rest[at : at + value.size].reshape(value.shape).copy()
+                at += value.size
 
     def freeze(self, counts: np.ndarray) -> "Scorer":
         """Tables for scoring; ``counts`` of all ids in the corpus."""

@@ -2,8 +2,10 @@
 
 Word counts are taken over all training rows and joined back to the words of each
 text. Frequent words (``FREQUENT`` of them) are looked up in a table that every
-task holds; only the others are shuffled. The attention model is trained
-on the driver on a bounded sample; its token counts come from the whole corpus.
+task holds; only the others are shuffled. The attention model is trained on all
+training rows: in a few rounds each task goes through its share of them from the
+same parameters, and their mean by tokens (of an id's embedding, by how often the
+task met the id) is summed on Spark. Only sums as large as the model reach the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import Attention, grid, token_classes
+from .attention import SIDES, WIDTH, Attention, grid, neighbours, token_classes
 from .base import durable
 from .classifier import remainder
 from .words import SPACES, Words, pieces, spelled
@@ -22,9 +24,15 @@ from .words import SPACES, Words, pieces, spelled
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words with their counts that every task holds, at most.
 FREQUENT = 1 << 16
-#: Training rows that the attention model is fitted on, and their tokens, at most.
-SAMPLE_ROWS = 1200
-SAMPLE_TOKENS = 1_500_000
+#: Rounds of the fit: (from, to) in 16ths of the training rows, and the step size. Each row
+#: is in one; the first are short, so that the tasks' models do not drift apart.
+ROUNDS = ((0, 1, 0.01), (1, 4, 0.01), (4, 16, 0.005))
+#: Training tables of fewer words are gone through so often that this many are met.
+LEAST_WORDS = 2_000_000
+#: Words for each task of the fit, at least (where there are more tasks than cores).
+TASK_WORDS = 1_000_000
+#: Groups over which rows of the model are summed.
+SUMS = 512
 #: Words whose ids, or counts, a task keeps before it starts anew.
 MEMO = 400_000
 
@@ -165,24 +173,98 @@ def _score(shared, path: str):
     return run
 
 
-def _fit(docs: DataFrame, path: str) -> Attention:
-    """Train on the rows with the least hash, as many as the bounds say."""
+_PART = "id long, weight double, data binary"
+
+
+def _part(ids: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    rows = np.ascontiguousarray(rows, np.float32)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * rows.shape[1])
+    data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+    return pa.record_batch({"id": pa.array(ids.astype(np.int64)), "weight": pa.array(weight.astype(float)), "data": data})
+
+
+def _values(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+
+
+def _summed(parts: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, rows): sums by id over all tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, which = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        total = np.zeros((len(ids), width))
+        np.add.at(total, which, _values(table.column("data"), width))
+        return pa.Table.from_batches([_part(ids, np.bincount(which, weights=table.column("weight").to_numpy()), total)])
+
+    weight, rows = np.zeros(size), np.zeros((size, width), np.float32)
+    for r in parts.groupBy(F.col("id") % SUMS).applyInArrow(add, _PART).collect():  # a row for each id of the tokenizer
+        weight[r["id"]] = r["weight"]
+        rows[r["id"]] = np.frombuffer(r["data"], np.float32)
+    return weight, rows
+
+
+def _token_texts(batches, path: str):
+    """(ids, bounds by text) of runs of texts."""
+    subwords = Subwords(path)
+    for batch in batches:
+        for _, words in pieces(batch.column("text"), SPACES):
+            yield subwords.ids(words, words.hashes())
+
+
+def _near(path: str, size: int):
+    """Of each id how often it stands, and its neighbours."""
+
+    def run(batches):
+        near, times = np.zeros((size, 2 * SIDES), np.float32), np.zeros(size, np.int64)
+        for tokens, bounds in _token_texts(batches, path):
+            neighbours(near, tokens, bounds)
+            times += np.bincount(tokens, minlength=size)
+        seen = np.flatnonzero(times)
+        for i in range(0, len(seen), 4096):
+            some = seen[i : i + 4096]
+            yield _part(some, times[some], near[some])
+
+    return run
+
+
+def _learn(shared, path: str, rate: float):
+    """One task's parameters after its rows, times their weight."""
+
+    def run(batches):
+        model: Attention = shared.value
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        start = model.rows()
+        grids = (grid(tokens, bounds, model.size - 1, model.size - 2)[:3] for tokens, bounds in _token_texts(batches, path))
+        met, tokens = model.fit(grids, rate)
+        rows = model.rows()
+        shared.value.put(start)  # other tasks of this worker start from the same
+        weight = np.concatenate((met, np.full(len(rows) - model.size, tokens)))
+        some = np.flatnonzero(weight)
+        for i in range(0, len(some), 4096):
+            at = some[i : i + 4096]
+            yield _part(at, weight[at], rows[at] * weight[at, None])
+
+    return run
+
+
+def _fit(docs: DataFrame, path: str, words: int) -> Attention:
+    """Train on all rows of ``docs``, which have ``words`` words."""
     size = _tokenizer(path).get_piece_size() + 2
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.join(F.broadcast(durable(chosen)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS)
-    subwords, tokens, bounds = Subwords(path), [], [0]
-    column = pa.array([r["text"] for r in texts.select("text").collect()], pa.string())
-    for _, words in pieces(column, SPACES):
-        found, ends = subwords.ids(words, words.hashes())
-        for a, b in zip(ends[:-1], ends[1:]):
-            if bounds[-1] + b - a <= SAMPLE_TOKENS:
-                tokens.append(found[a:b])
-                bounds.append(bounds[-1] + int(b - a))
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-    model = Attention(size, token_classes(flat, size, size - 2) if len(flat) > 1 else np.where(np.arange(size) == size - 2, 31, 30).astype(np.int32))
-    if len(bounds) > 1:
-        window, target, scored, _ = grid(flat, np.array(bounds), size - 1, size - 2)
-        model.fit(window, target, scored)
+    context = docs.sparkSession.sparkContext
+    docs = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).alias("part"))
+    times, near = _summed(docs.mapInArrow(_near(path, size), _PART), size, 2 * SIDES)
+    model = Attention(size, token_classes(near, times, size - 2))
+    dealt = docs.coalesce(max(context.defaultParallelism, words // TASK_WORDS))
+    again = min(10, -(-LEAST_WORDS // max(1, words)) - 1) if words else 0
+    for low, high, rate in (*ROUNDS[:-1], *[(0, 16, ROUNDS[0][2])] * again, ROUNDS[-1]):
+        shared = context.broadcast(model)
+        some = dealt.where((F.col("part") >= low) & (F.col("part") < high))
+        rows = model.rows()
+        weight, total = _summed(some.mapInArrow(_learn(shared, path, rate), _PART), len(rows), WIDTH)
+        met = weight > 0
+        rows[met] = total[met] / weight[met, None]
+        model.put(rows)
+        shared.unpersist()
     return model
 
 
@@ -215,7 +297,8 @@ def lm_scores(docs: DataFrame, training=None, tokenizer: str = TOKENIZER) -> Dat
 
     A text that is NULL or empty is its end alone. Rows without doc_id, and repeated
     rows, are each scored. With no training rows all counts are 0 and the
-    model is untrained. Other columns are ignored.
+    model is untrained. The model, not the counts, depends slightly on how rows are
+    dealt over tasks. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
@@ -225,7 +308,7 @@ def lm_scores(docs: DataFrame, training=None, tokenizer: str = TOKENIZER) -> Dat
     found = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (found[0] or 0) + ends, found[1] + (ends > 0)
 
-    model = _fit(learned, tokenizer)
+    model = _fit(learned, tokenizer, total - ends)
     token_counts = np.zeros(model.size - 1)
     of = counts.mapInArrow(_count_tokens(tokenizer, model.size - 1), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     for row in of.collect():  # a row for each id of the tokenizer

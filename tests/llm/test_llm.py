@@ -338,6 +338,20 @@ def test_base_scores(spark):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
 
 
+def test_model_learns_from_all_rows(spark):
+    """A rare word in the longest, last row of many has its place and class; long texts are not skipped."""
+    rare = "zyzzyva quixotry"
+    rows = [(i, f"the cat sat on a mat {i}") for i in range(2000)] + [(5000 + i, f"the {rare} sat " * 40) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    model = lm._fit(docs, lm.TOKENIZER, sum(len(t.split()) for _, t in rows))
+    ids = sorted(set(lm._tokenizer(lm.TOKENIZER).encode(rare)))
+    start = attention.Attention(model.size, model.classes).p["embed"]
+    assert (abs(model.p["embed"][ids] - start[ids]).max(axis=1) > 0).all()
+    assert (model.classes[ids] < attention.CLASSES - 2).all()
+    unseen = np.flatnonzero((model.p["embed"] == start).all(axis=1))
+    assert len(unseen) > model.size / 2
+
+
 def test_attention_gradients_and_windows():
     draw = np.random.default_rng(0)
     model = attention.Attention(12, draw.integers(0, 4, 12).astype(np.int32))
