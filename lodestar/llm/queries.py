@@ -11,6 +11,7 @@ from .chat import conversation_digests, format_turns
 from .classifier import quality_scores, remainder, train
 from .decontaminate import benchmark_hits
 from .jaccard import jaccard_components
+from .lexical import rank_documents
 from .licenses import license_labels
 from .lm import held_out, lm_scores
 from .mixing import mixing_plan
@@ -96,6 +97,11 @@ def scoring(t) -> DataFrame:
     return scored.withColumn("held_out", ~learned)
 
 
+@query("op11_lexical_search", sql.LEXICAL)
+def lexical(t) -> DataFrame:
+    return rank_documents(t("documents"), t("benchmark"), 20)
+
+
 @query("pipeline")
 def pipeline(t) -> DataFrame:
     import corpus_pipeline

@@ -114,3 +114,18 @@ g AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN g USING (rid)
 """
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w))::BIGINT AS nt FROM d),
+asked AS (SELECT q, t, count(*) AS c FROM (SELECT q, unnest(w) AS t FROM b) GROUP BY q, t),
+held AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY rid, t),
+f AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM held, s GROUP BY t, nd),
+x AS (SELECT rid, t, doc_id, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * nd) // nt))) AS part FROM held JOIN d USING (rid) JOIN f USING (t), s),
+z AS (SELECT q, rid, doc_id, sum(c * part)::BIGINT AS score FROM asked JOIN x USING (t) GROUP BY ALL HAVING sum(c * part) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM z)
+SELECT item_id, rank, doc_id, score FROM r JOIN b USING (q) WHERE rank <= 20
+"""
