@@ -16,6 +16,7 @@ from .licenses import license_labels
 from .lm import held_out, lm_scores
 from .mixing import mixing_plan
 from .rules import quality_rules
+from .simhash import simhash_components
 from .urls import judge_urls
 from .warc import read_captures, write_warc
 
@@ -102,6 +103,11 @@ def lexical(t) -> DataFrame:
     return rank_documents(t("documents"), t("benchmark"), 20)
 
 
+@query("op12_simhash_components")
+def simhash(t) -> DataFrame:
+    return simhash_components(t("documents"))
+
+
 @query("pipeline")
 def pipeline(t) -> DataFrame:
     import corpus_pipeline
