@@ -17,6 +17,7 @@ from .lm import held_out, lm_scores
 from .mixing import mixing_plan
 from .rules import quality_rules
 from .simhash import simhash_components
+from .spelling import spelling_variants
 from .urls import judge_urls
 from .warc import read_captures, write_warc
 
@@ -108,6 +109,11 @@ def simhash(t) -> DataFrame:
     return simhash_components(t("documents"))
 
 
+@query("op13_spelling_variants", sql.SPELLING)
+def spelling(t) -> DataFrame:
+    return spelling_variants(t("documents"))
+
+
 @query("pipeline")
 def pipeline(t) -> DataFrame:
     import corpus_pipeline

@@ -129,3 +129,20 @@ z AS (SELECT q, rid, doc_id, sum(c * part)::BIGINT AS score FROM asked JOIN x US
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM z)
 SELECT item_id, rank, doc_id, score FROM r JOIN b USING (q) WHERE rank <= 20
 """
+
+#: CRC-32 from its polynomial, byte by byte; words one edit apart share a word with one letter masked, or one is the other with a letter taken out.
+SPELLING = rf"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc),
+runs AS (SELECT d, r, count(*) AS n FROM (SELECT doc_id::VARCHAR AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY d, r),
+coded AS (SELECT r, n, hex(encode(coalesce(d, '') || ':' || r)) AS x FROM runs),
+hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda h, b: xor(h >> 8, crc[(xor(h, b) & 255) + 1])), 4294967295) AS h FROM coded, c),
+kept AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS less, length(word) AS l FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.l = b.l AND a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.less = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.less = w.word),
+ranked AS (SELECT near.word, other, n, row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS r, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN w ON w.word = other),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN ranked.n >= 2 * w.n THEN other END AS form, CASE WHEN ranked.n >= 2 * w.n THEN ranked.n END AS form_n FROM w LEFT JOIN ranked ON w.word = ranked.word AND r = 1),
+walk AS (SELECT word, word AS root FROM formed UNION SELECT walk.word, form FROM walk JOIN formed ON walk.root = formed.word WHERE form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT word, root FROM walk JOIN (SELECT word AS root FROM formed WHERE form IS NULL) USING (root)) USING (word)
+"""
