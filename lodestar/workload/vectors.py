@@ -7,14 +7,16 @@ of labels and the work grows linearly with the table. Text queries are the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import embedding as D
 from ..functions import vectors as V
 from ..operators import search as S
+from ..operators import vector_index as I
 from ..operators.collections import check_dimension, index_documents
-from ..session import durable
+from ..session import durable, shared_folder
 from .base import query
 from .chunks import SQL_WORDS
 
@@ -146,6 +148,54 @@ def approx(t):
     return S.knn_approx(centroids(t), _vec(t, "embeddings"), 10, cells=16, nprobe=6)
 
 
+def sql_fixed_index(nprobe: int, rescored: int, k: int) -> str:
+    """The search over cells around the label means, with the first 16 vectors' residuals as code books."""
+    return f"""
+  WITH c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY query_id) - 1 AS cell, q AS c FROM ({SQL_CENTROIDS})),
+  v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings),
+  a AS MATERIALIZED (SELECT vec_id, v, u, cell, c, list_transform(range(1, 65), lambda i: u[i] - c[i]) AS r FROM v, c
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(c, c) - 2 * list_inner_product(u, c), 9), cell) = 1),
+  b AS MATERIALIZED (SELECT p, vec_id AS e, r[4*p+1:4*p+4] AS b FROM a, range(16) t(p) WHERE vec_id < 16),
+  code AS MATERIALIZED (SELECT vec_id, p, b FROM (SELECT vec_id, b.p, e, b, row_number() OVER (PARTITION BY vec_id, b.p ORDER BY round(list_inner_product(b, b) - 2 * list_inner_product(a.r[4*b.p+1:4*b.p+4], b), 9), e) AS n FROM a, b) WHERE n = 1),
+  q AS MATERIALIZED (SELECT query_id, q, list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))) AS u FROM ({SQL_CENTROIDS})),
+  near AS (SELECT query_id, q, u, cell, c FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(c, c) - 2 * list_inner_product(u, c), 9), cell) <= {nprobe}),
+  s AS (SELECT query_id, vec_id, any_value(q) AS q, any_value(a.v) AS v, round(sum(list_inner_product(near.u[4*p+1:4*p+4], b)) + any_value(list_inner_product(near.u, near.c)), 6) AS score
+    FROM near JOIN a USING (cell) JOIN code USING (vec_id) GROUP BY query_id, vec_id),
+  best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {rescored})
+  {sql_rank("SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, v), 6) AS score FROM best", k)}"""
+
+
+@query("e08_index_fixed", sql_fixed_index(4, 40, 10))
+def fixed_index(t):
+    """The stored index with cells and code books that SQL can follow; written, opened again and searched."""
+    asked = centroids(t)
+    centres = np.array([r["embedding"] for r in asked.orderBy("query_id").collect()])  # a row for each label
+    first = t("embeddings").where("vec_id < 16").orderBy("vec_id").select("embedding")
+    unit = S._unit(np.array([r["embedding"] for r in first.collect()], float))
+    bare = I.Books(centres, np.zeros((16, 1, 4)))
+    books = (unit - centres[bare.cell_of(unit)]).reshape(16, 16, 4).transpose(1, 0, 2)
+    path = shared_folder(t.spark, "vector-index")
+    I.build_index(_vec(t, "embeddings"), path, I.Books(centres, books))
+    return I.VectorIndex.open(t.spark, path).search(asked, 10, nprobe=4, rescored=40)
+
+
+@query("e08_index_recall")
+def index_recall(t):
+    """One stored index, searched with two tables of queries: recall@10 against exact search, and the share of vector bytes scored."""
+    corpus = _vec(t, "embeddings")
+    path = shared_folder(t.spark, "vector-index")
+    I.build_index(corpus, path, I.train_books(corpus, cells=32))
+    index = I.VectorIndex.open(t.spark, path)
+    each = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    rows = []
+    for name, asked in (("labels", centroids(t)), ("vectors", each)):
+        found = index.search(asked, 10, nprobe=24, rescored=50)
+        recall = S.recall_at_k(found, S.knn(asked, corpus, 10)).first()[0]
+        cost = index.bytes_read(asked, 24, 50).agg(F.sum(F.col("code_bytes") + F.col("vector_bytes")) / F.sum("all_bytes")).first()[0]
+        rows.append((name, recall, round(cost, 6)))
+    return t.spark.createDataFrame(rows, "queries string, recall double, bytes_share double")
+
+
 def text_queries(t) -> DataFrame:
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
