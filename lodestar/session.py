@@ -62,7 +62,7 @@ def shared_base(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
+        elif context.master == "local" or context.master.startswith("local["):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
@@ -74,6 +74,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written below the checkpoint folder and read again.
+
+    For loops of many rounds: a checkpointed table keeps the planner's estimate
+    of its size, which joins multiply in every round; a written one has the size of its files.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: The most that ``spread`` may shuffle, whatever the cluster.
 SPREAD_BYTES = 1 << 30
 

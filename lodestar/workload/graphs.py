@@ -10,6 +10,8 @@ from ..operators import collections as C
 from ..operators import communities as M
 from ..operators import embedding as D
 from ..operators import graph as G
+from ..operators import modularity as Q
+from ..session import durable
 from .base import query
 from .ranking import lower_words
 from .vectors import DIM, sql_embed, sql_rank
@@ -295,13 +297,50 @@ def capped(t):
 
 
 def by_nation(t) -> DataFrame:
-    """(name, community_id): everyone belongs to a nation's community."""
-    local = triplets(t).where("predicate = 'in_nation'")
-    return local.select(F.explode(F.array("subject", "object")).alias("name"), F.col("object").alias("community_id")).distinct()
+    """(name, community_id): customers and suppliers belong to their nation's community, regions are one each."""
+    every = triplets(t)
+    local = F.col("predicate") == "in_nation"
+    members = every.where(local).select(F.col("subject").alias("name"), F.col("object").alias("community_id"))
+    hubs = every.select(F.explode(F.when(local, F.array("object")).otherwise(F.array("subject", "object"))).alias("name"))
+    return members.unionByName(hubs.select("name", F.col("name").alias("community_id"))).distinct()
 
 
 SQL_MEMBERS = f"""(SELECT subject AS name, object AS community_id FROM ({SQL_T}) WHERE predicate='in_nation'
-  UNION SELECT object, object FROM ({SQL_T}) WHERE predicate='in_nation')"""
+  UNION SELECT object, object FROM ({SQL_T}) UNION SELECT subject, subject FROM ({SQL_T}) WHERE predicate='in_region')"""
+
+
+def sql_modularity(members: str) -> str:
+    """Modularity of a table of (name, c), the number of communities and the size of the largest."""
+    return f"""SELECT round(sum(inner_) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 6) AS modularity, count(*) AS n_communities, max(n) AS largest FROM (
+      SELECT m.c AS c, count(DISTINCT m.name) AS n, count(*)::DOUBLE AS total, count(*) FILTER (m.c = o.c)::DOUBLE AS inner_
+      FROM {SQL_WAYS} w JOIN {members} m ON m.name = w.src JOIN {members} o ON o.name = w.dst GROUP BY m.c)"""
+
+
+query("h11_modularity", sql_modularity(f"(SELECT name, community_id AS c FROM {SQL_MEMBERS})"))(
+    lambda t: Q.modularity(Q.weighted_ways(triplets(t)), by_nation(t))
+)
+
+
+@query("h11_modular_communities")
+def modular(t):
+    """Seeded rounds without a SQL counterpart; ``h11_modular_gain`` compares what they reach."""
+    return Q.modular_communities(triplets(t), 5)
+
+
+@query("h11_modular_gain", f"""
+  WITH l0 AS (SELECT name, name AS label FROM ({SQL_NAMES})), l1 AS ({sql_round('l0')}), l2 AS ({sql_round('l1')}), l3 AS MATERIALIZED ({sql_round('l2')}),
+  p AS (SELECT modularity FROM ({sql_modularity('(SELECT name, label AS c FROM l3)')}))
+  SELECT (SELECT count(*) FROM ({SQL_NAMES})) AS names, modularity AS propagated, true AS gains FROM p""")
+def modular_gain(t):
+    """Every name has a community, of a modularity no lower than that of propagated labels."""
+    edges = triplets(t)
+    ways = Q.weighted_ways(edges)
+    found = durable(Q.modular_communities(edges).select("name", "community_id"))
+    labels = M.label_propagation(edges, 3).select("name", F.col("label").alias("community_id"))
+    reached = Q.modularity(ways, found).first()["modularity"]
+    propagated = Q.modularity(ways, labels).select(F.col("modularity").alias("propagated"), (F.lit(reached) >= F.col("modularity")).alias("gains"))
+    return propagated.select(F.lit(found.count()).cast("bigint").alias("names"), "propagated", "gains")
+
 SQL_DETAILS = f"""SELECT DISTINCT community_id, m.name, neighbour, m.name||' -> '||neighbour||' -> '||predicate||' -> '||description AS detail FROM (
   SELECT subject AS name, object AS neighbour, predicate, description FROM ({SQL_T}) UNION ALL SELECT object, subject, predicate, description FROM ({SQL_T})) e
   JOIN {SQL_MEMBERS} m ON m.name = e.name"""
