@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import chunking as K
 from ..operators import context as X
 from ..operators import embedding as D
+from ..operators import inverted_index as N
 from ..operators import rerank as R
 from ..operators import search as S
+from ..session import shared_folder
 from .base import query
 from .chunks import SQL_WORDS, sql_windows
 from .vectors import DIM, _vec, centroids, document_hits, sql_document_pairs, sql_embed, sql_pairs, sql_rank, text_queries
@@ -71,6 +73,16 @@ def rerank_default(t):
 query("f02_bm25_corpus", sql_bm25_corpus(5))(
     lambda t: R.bm25_corpus(text_queries(t), t.texts("documents"), 5, query_text="query_text")
 )
+
+
+@query("f02_bm25_index", sql_bm25_corpus(5))
+def bm25_index(t):
+    """The same rows from a stored index, written and opened again."""
+    path = shared_folder(t.spark, "text-index")
+    N.build_index(t.texts("documents"), path)
+    return N.TextIndex.open(t.spark, path).search(text_queries(t), 5, "query_text")
+
+
 query("f02_bm25_candidates", sql_bm25_candidates(SQL_CONTENT_HITS, SQL_QUERIES, 5))(
     lambda t: R.rerank(content_hits(t), text_queries(t), "bm25", 5).select("query_id", "id", "score", "rank")
 )
