@@ -1,4 +1,4 @@
-"""Web pages to text: regular expressions over the whole page, inside the JVM."""
+"""Web pages to text: elements by a token stream, entities and spaces by expressions inside the JVM."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import element_text, element_texts, without_elements
 from .strings import squeeze
 
-# Subtrees that carry no content, those of them that hold no markup,
+# Subtrees that carry no content,
 # tags at whose edges words part, and the commonest entities (ampersand last).
 BOILERPLATE_TAGS = ("script", "style", "header", "footer", "nav", "aside")
-RAW_TAGS = ("script", "style")
 BLOCK_TAGS = (
     "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "table", "ul", "ol", "article", "section",
 )
@@ -28,21 +28,15 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 
-# One alternative per tag instead of a back-reference, so that any regular
-# expression engine reads it the same way.
-BOILERPLATE = (
-    "(?is)"
-    # A script or style that is never closed goes on to the end of the page.
-    + "|".join(rf"<{t}(?:\s[^>]*)?>.*?" + (rf"(?:</{t}\s*>|\z)" if t in RAW_TAGS else rf"</{t}\s*>") for t in BOILERPLATE_TAGS)
-    + r"|<!--.*?-->|<!doctype[^>]*>"
-)
+WORD_EDGES = (*BLOCK_TAGS, "br", "img")
 BLOCK_EDGE = r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?>|<br\s*/?>|<img(?:\s[^>]*)?>"
 # A tag begins with a letter, a slash, or the sign of a declaration; any other "<" is text.
 ANY_TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 
 
 def strip_boilerplate(html: Column) -> Column:
-    return F.regexp_replace(html, BOILERPLATE, "")
+    """The page without its boilerplate elements, nested or never closed ones too, and without comments."""
+    return without_elements(html, BOILERPLATE_TAGS)
 
 
 ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
@@ -85,7 +79,7 @@ def fragment_text(html: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    return fragment_text(strip_boilerplate(html))
+    return squeeze(unescape(element_text(html, BOILERPLATE_TAGS, WORD_EDGES)))
 
 
 def tag_pattern(tag: str) -> str:
@@ -94,9 +88,7 @@ def tag_pattern(tag: str) -> str:
 
 def extract_tags(html: Column, tags: list[str]) -> Column:
     """Text inside the given tags: in the order of the list, then of the page."""
-    body = strip_boilerplate(html)
-    found = [F.regexp_extract_all(body, F.lit(tag_pattern(t)), F.lit(1)) for t in tags]
-    texts = F.transform(F.concat(*found), fragment_text)
+    texts = F.transform(element_texts(html, tags, BOILERPLATE_TAGS, WORD_EDGES), lambda x: squeeze(unescape(x)))
     return F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
 
 

@@ -20,7 +20,15 @@ def sql_quote(text: str) -> str:
     return text.replace("'", "''")
 
 
-SQL_STRIP = "regexp_replace({x}, '" + sql_quote(H.BOILERPLATE) + "', '', 'g')"
+#: Pages cut at each "<": what stands before the first, then the name and the rest of each tag; and how deep it is in boilerplate.
+SQL_PIECES = f"""(SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM (
+  SELECT *, CASE WHEN name IN ({', '.join(f"'{t}'" for t in H.BOILERPLATE_TAGS)}) THEN 1 WHEN name IN ({', '.join(f"'/{t}'" for t in H.BOILERPLATE_TAGS)}) THEN -1 ELSE 0 END AS step
+  FROM (SELECT page_id, i, s, CASE WHEN i = 1 THEN '' ELSE lower(split_part(split_part(s, '>', 1), ' ', 1)) END AS name,
+    CASE WHEN i = 1 THEN s WHEN starts_with(s, '!--') THEN substr(s, instr(s, '-->') + 3) ELSE substr(s, instr(s, '>') + 1) END AS rest
+    FROM (SELECT page_id, unnest(string_split(html, '<')) AS s, generate_subscripts(string_split(html, '<'), 1) AS i FROM pages))))"""
+SQL_STRIPPED = f"""(SELECT page_id, string_agg(CASE WHEN i = 1 OR step = -1 OR starts_with(s, '!') THEN rest ELSE '<' || s END, '' ORDER BY i) AS x FROM {SQL_PIECES} WHERE depth = 0 GROUP BY page_id)"""
+_EDGES = ", ".join(f"'{t}', '/{t}'" for t in H.WORD_EDGES)
+SQL_TEXT = f"""(SELECT page_id, string_agg(CASE WHEN name IN ({_EDGES}) THEN ' ' || rest ELSE rest END, '' ORDER BY i) AS x FROM {SQL_PIECES} WHERE depth = 0 GROUP BY page_id)"""
 
 
 def sql_unescape(x: str) -> str:
@@ -29,15 +37,6 @@ def sql_unescape(x: str) -> str:
     return x
 
 
-def sql_fragment(x: str) -> str:
-    spaced = f"regexp_replace({x}, '{sql_quote(H.BLOCK_EDGE)}', ' ', 'g')"
-    return sql_squeeze(sql_unescape(f"regexp_replace({spaced}, '{H.ANY_TAG}', '', 'g')"))
-
-
-def sql_page_text(x: str) -> str:
-    return sql_fragment(SQL_STRIP.format(x=x))
-
-
 def sql_paragraphs(x: str) -> str:
     lines = f"string_split(replace({sql_squeeze(x)}, '. ', '.' || chr(10)), chr(10))"
     return f"array_to_string(list_filter(list_transform({lines}, lambda l: trim(l)), lambda l: l <> ''), chr(10)||chr(10))"
@@ -115,19 +114,20 @@ def json_xml(t):
 
 
 query("b01_strip_boilerplate", f"""
-  SELECT page_id, md5(x) AS html_md5, CAST(length(x) AS INTEGER) AS n FROM (SELECT page_id, {SQL_STRIP.format(x='html')} AS x FROM pages)""")(
+  SELECT page_id, md5(x) AS html_md5, CAST(length(x) AS INTEGER) AS n FROM {SQL_STRIPPED}""")(
     lambda t: t.texts("pages").select("page_id", H.strip_boilerplate(F.col("html")).alias("x")).select(
         "page_id", F.md5("x").alias("html_md5"), F.length("x").alias("n")
     )
 )
-query("b02_html_to_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")(
+query("b02_html_to_text", f"SELECT page_id, {sql_squeeze(sql_unescape('x'))} AS text FROM {SQL_TEXT}")(
     lambda t: t.texts("pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
 )
 query("b03_extract_tags", f"""
-  SELECT page_id, array_to_string(list_filter(list_transform(
-      list_concat(regexp_extract_all(x, '{H.tag_pattern("h1")}', 1), regexp_extract_all(x, '{H.tag_pattern("title")}', 1)),
-      lambda f: {sql_fragment('f')}), lambda f: f <> ''), chr(10)||chr(10)) AS text
-  FROM (SELECT page_id, {SQL_STRIP.format(x='html')} AS x FROM pages)""")(
+  WITH p AS MATERIALIZED {SQL_PIECES},
+  inside AS (SELECT page_id, tag, i, rest, sum(CASE name WHEN tag THEN 1 ELSE 0 END) OVER w AS n, sum(CASE name WHEN tag THEN 1 WHEN '/' || tag THEN -1 ELSE 0 END) OVER w AS open
+    FROM p, (VALUES ('h1'), ('title')) AS v(tag) WHERE depth = 0 WINDOW w AS (PARTITION BY page_id, tag ORDER BY i)),
+  found AS (SELECT page_id, tag, n, {sql_squeeze(sql_unescape("string_agg(rest, '' ORDER BY i)"))} AS x FROM inside WHERE open = 1 GROUP BY ALL)
+  SELECT page_id, coalesce(string_agg(x, chr(10)||chr(10) ORDER BY tag, n) FILTER (x <> ''), '') AS text FROM pages LEFT JOIN found USING (page_id) GROUP BY page_id""")(
     lambda t: t.texts("pages").select("page_id", H.extract_tags(F.col("html"), ["h1", "title"]).alias("text"))
 )
 query("b04_normalise_paragraphs", f"SELECT doc_id, md5({sql_paragraphs('text')}) AS text_md5 FROM documents")(
