@@ -1,13 +1,10 @@
-"""Queries of this subpackage, and the folder for what they hand on."""
+"""Queries of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import durable, ship, table  # noqa: F401  (handed on to the operators)
+from ..session import durable, shared_folder, ship, stored, table  # noqa: F401  (handed on to the operators)
 from ..workload.base import Entry, Tables
 
 REGISTRY: dict[str, Entry] = {}
@@ -25,13 +22,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return wrap
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="lodestar-shared-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -23,7 +23,8 @@ PART = "array<struct<kind:string,text:string,ref:string,units:double>>"
 # (an image's tiles, an audio's seconds, a document's pages), and at least.
 EXPANSION = {"image": (170, 85), "audio": (25, 25), "document": (600, 600)}
 
-_TURN = re.compile(r"### ((?:[^\\:]+|\\.)*): ((?:[^\\<]+|\\.|<[a-z]+:\d+>)*) </turn>\n", re.DOTALL)
+#: Possessive, so that a malformed turn is given up in one pass; the text takes the space before the mark with it.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<[a-z]+:\d+>)*+)</turn>\n", re.DOTALL)
 _PLACE = re.compile(r"\\.|<[a-z]+:\d+>", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -88,9 +89,9 @@ def format_turn(role: str | None, text: str | None, parts: list[dict] | None, le
 def parse_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of a formatted turn, placeholders left out."""
     found = _TURN.fullmatch(formatted)
-    if not found:
+    if not found or not found[2].endswith(" "):
         raise ValueError("not a formatted turn")
-    text = _PLACE.sub(lambda m: m[0][1] if m[0][0] == "\\" else "", found[2])
+    text = _PLACE.sub(lambda m: m[0][1] if m[0][0] == "\\" else "", found[2][:-1])
     return unescape(found[1]), text
 
 

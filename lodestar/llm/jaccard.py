@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import durable
+from .base import durable, stored
 from .components import merged
 from .words import SPACES, mix, pieces, salts, sorted_sets
 
@@ -43,6 +43,8 @@ CENTRES = 8
 TURNS = 2
 #: Members of a long list that one task compares with the others, about.
 LOT = 256
+#: Postings that a task holds at a time, about.
+POSTINGS = 1 << 18
 #: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
 MAP_WORDS = 16
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
@@ -222,24 +224,7 @@ def _postings(size: int, percent: int, light: int, crowd):
             at.append(np.arange(take, dtype=np.int32))
         return np.concatenate(out), np.concatenate(at)
 
-    def run(batches):
-        crowding, factor = crowd.value, salts(2, 31)
-        seen: set[tuple[int, int]] = set()
-        key, node, n, pos = [], [], [], []
-        for batch in batches:
-            for _, words in pieces(batch.column("text"), SPACES):
-                for found in sorted_sets(words, size):
-                    name = (_node(found), len(found)) if len(found) else None
-                    if name is None or name in seen:
-                        continue
-                    seen.add(name)
-                    k, p = keys(found, crowding, factor)
-                    key.append(k)
-                    pos.append(p)
-                    node.append(np.full(len(k), name[0], np.int64))
-                    n.append(np.full(len(k), name[1], np.int32))
-        if not key:
-            return
+    def rows(key, node, n, pos):
         key, node, n, pos = (np.concatenate(x) for x in (key, node, n, pos))
         order = np.lexsort((node, key))
         key, node, n, pos = _signed(key[order]), node[order], n[order], pos[order]
@@ -259,22 +244,36 @@ def _postings(size: int, percent: int, light: int, crowd):
             s = slice(i, i + 100_000)
             yield _rows(POST, node[s], n[s], key[s], pos[s], dest=key[s])
 
+    def run(batches):
+        crowding, factor = crowd.value, salts(2, 31)
+        seen: set[tuple[int, int]] = set()
+        key, node, n, pos, held = [], [], [], [], 0
+        for batch in batches:
+            for _, words in pieces(batch.column("text"), SPACES):
+                for found in sorted_sets(words, size):
+                    name = (_node(found), len(found)) if len(found) else None
+                    if name is None or name in seen:
+                        continue
+                    seen.add(name)
+                    k, p = keys(found, crowding, factor)
+                    key.append(k)
+                    pos.append(p)
+                    node.append(np.full(len(k), name[0], np.int64))
+                    n.append(np.full(len(k), name[1], np.int32))
+                    held += len(k)
+                    if held >= POSTINGS:
+                        yield from rows(key, node, n, pos)
+                        key, node, n, pos, held = [], [], [], [], 0
+        if held:
+            yield from rows(key, node, n, pos)
+
     return run
 
 
 def _lists(percent: int):
-    """Read inverted lists: pairs of the short ones, stars of the long ones, and the members of the long ones."""
+    """Read inverted lists, sorted by key: pairs of the short ones, stars of the long ones, and the members of the long ones."""
 
-    def run(batches):
-        posts = []
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            if (kind >= LONG).any():
-                yield batch.filter(pa.array(kind >= LONG))
-            posts.append(batch.filter(pa.array(kind < LONG)))
-        if not sum(map(len, posts)):
-            return
-        table = pa.Table.from_batches(posts)
+    def whole(table: pa.Table):
         key, node, n, pos, kind = (table.column(c).to_numpy() for c in ("key", "node", "n", "pos", "kind"))
         order = np.lexsort((n, node, key))
         key, node, n, pos, kind = key[order], node[order], n[order], pos[order], kind[order]
@@ -300,6 +299,24 @@ def _lists(percent: int):
             found.append((node[i], n[i], node[i + step], n[i + step]))
         yield _rows(PAIR, **_pairs(*(np.concatenate(x) for x in zip(*found))))
 
+    def run(batches):
+        posts, rows = [], 0
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            if (kind >= LONG).any():
+                yield batch.filter(pa.array(kind >= LONG))
+                batch = batch.filter(pa.array(kind < LONG))
+            posts.append(batch)
+            rows += batch.num_rows
+            if rows >= POSTINGS:
+                table = pa.Table.from_batches(posts)
+                last = int(np.searchsorted(table.column("key").to_numpy(), table.column("key")[-1].as_py()))  # the last list may go on
+                if last:
+                    yield from whole(table.slice(0, last))
+                posts, rows = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
+        if rows:
+            yield from whole(pa.Table.from_batches(posts))
+
     return run
 
 
@@ -392,6 +409,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     listed = durable(
         texts.mapInArrow(_postings(size, percent, light, crowd), _POSTING)
         .repartition(parts, "dest")
+        .sortWithinPartitions("key")
         .mapInArrow(_lists(percent), _POSTING)
         .select("key", "node", "n", "pos", "kind", "node2", "n2")
     )
@@ -448,12 +466,21 @@ def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, s
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id; all columns stay.
+    """Of each group of similar rows the one with the smallest doc_id (NULL last); all columns stay.
 
-    Rows without words are all kept, as they are similar to nothing, and so are
-    rows without doc_id. Rows that repeat a doc_id stay or go together: they go if the
-    text of one of them is similar to that of a smaller doc_id.
+    Every row has an identity of its own, so rows without doc_id or with a
+    repeated one, of any type, are reduced like others; which of equal ones stays
+    is left open. Rows without words are all kept, as they are similar to nothing.
     """
-    group = jaccard_components(docs, size, percent)
-    gone = group.where("component_id < doc_id").select(F.col("doc_id").cast("bigint").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    group = jaccard_components(rows.select(F.col(name).alias("doc_id"), "text"), size, percent)
+    group = group.select(F.col("doc_id").alias("_i"), F.col("component_id").alias("_group"))
+    # Rows that are alone need no comparison; the others meet without their texts.
+    many = group.join(group.where("_i <> _group").select("_group").distinct(), "_group", "left_semi")
+    ranked = rows.select(name, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", name).alias("_place")).join(many, F.col(name) == F.col("_i"))
+    first = ranked.groupBy("_group").agg(F.min("_place").alias("_first"))
+    gone = ranked.join(first, "_group").where(F.col("_place") != F.col("_first")).select("_i")
+    return rows.join(gone, rows[name] == gone["_i"], "left_anti").drop(name)

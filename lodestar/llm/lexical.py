@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import durable, shared_folder
+from .base import durable, stored
 from .words import MARKS, pieces
 
 #: Documents of a block and items of a bundle, about.
@@ -34,14 +34,6 @@ MAP_BITS = 23
 SCALE = 1_000_000_000
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -196,11 +188,11 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     pairs = pairs.withColumn("bundle", F.pmod(F.xxhash64("q"), F.lit(bundles)))
 
     bits = spark.sparkContext.broadcast(_bit_map(pairs.select("term").distinct()))  # 2^MAP_BITS bits
-    read = _stored(docs.mapInArrow(_terms("doc_id", bits), f"doc_id long, {listed}"), "lexical-terms")
+    read = stored(docs.mapInArrow(_terms("doc_id", bits), f"doc_id long, {listed}"), "lexical-terms")
     n_docs, n_terms, n_found = read.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.size("terms") > 0)).first()
     blocks = max(1, -(-n_found // BLOCK_DOCS))
     dealt = read.where("size(terms) > 0").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-    index = _stored(
+    index = stored(
         dealt.groupBy("block").applyInArrow(_inverted(n_docs, max(1, n_terms)), "block long, term long, top int, places array<int>, shares array<int>, ids array<long>"),
         "lexical-index",
     )
@@ -235,7 +227,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         if last:
             best = met.applyInArrow(_stage(k, True), "q long, doc_id long, score long")
         else:
-            state = _stored(met.applyInArrow(_stage(k, False), "bundle long, block long, q long, places array<int>, scores array<long>, best array<long>"), f"lexical-stage-{stage}")
+            state = stored(met.applyInArrow(_stage(k, False), "bundle long, block long, q long, places array<int>, scores array<long>, best array<long>"), f"lexical-stage-{stage}")
             order = Window.partitionBy("q").orderBy(F.desc("score"))
             top = state.select("q", F.explode("best").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
             least = durable(top.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).alias("least")))  # a row an item

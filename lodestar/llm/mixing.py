@@ -58,21 +58,21 @@ def mixing_plan(docs: DataFrame, share_percent: int = 150, most: int = 2, weight
 
     A NULL or empty text has size 0; rows without source are a source of their
     own. Equal rows get equal copies; a row without doc_id is told apart by its
-    text. In a source without words nothing is taken. Columns of those four names
-    are replaced.
+    text. In a source without words nothing is taken. Columns of those four names,
+    and of ``_source_size_of``, are replaced.
     """
-    docs = docs.drop("_size", "_source_size", "_target", "_copies").withColumn("_size", text_size(F.col("text")))
+    docs = docs.drop("_size", "_source_size", "_source_size_of", "_target", "_copies").withColumn("_size", text_size(F.col("text")))
     targets = source_targets(docs.select("source", F.col("_size").alias("size")), share_percent, most, weights)
-    targets = durable(targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")))
-    size = targets.agg(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + 32)).first()[0] or 0
+    targets = durable(targets.select(F.struct(F.col("source").alias("name")).alias("_source_size_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")))
+    size = targets.agg(F.sum(F.coalesce(F.octet_length("_source_size_of.name"), F.lit(0)) + 32)).first()[0] or 0
     side = F.broadcast(targets) if size <= BROADCAST_BYTES else targets
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     once = (coin(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
-    joined = docs.join(side, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copies", F.floor(rate) + once).drop("_source")
+    joined = docs.join(side, docs["source"].eqNullSafe(side["_source_size_of"]["name"]))
+    return joined.withColumn("_copies", F.floor(rate) + once).drop("_source_size_of")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with a number for each copy in ``copy``."""
+    """The documents of the mix, each as often as it is taken, with a number for each copy in ``copy`` (a column of that name is replaced)."""
     plan = mixing_plan(docs, **how).where("_copies > 0")
     return plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_size", "_source_size", "_target", "_copies")

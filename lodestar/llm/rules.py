@@ -21,6 +21,9 @@ STOP_WORDS = (
     "der", "die", "und", "den", "von", "zu", "das", "mit", "sich", "dem", "ist", "im", "nicht", "ein", "eine", "auf", "auch", "als",
 )
 
+#: Words of scripts that the list has no words of count as common ones.
+OTHER_SCRIPT = r"^[^A-Za-z]*[^\x00-\x7F][^A-Za-z]*$"
+
 #: (name, measure, least, most): a text is kept if all measures lie within their bounds; NULL is no bound.
 RULES = (
     ("word_length", "word_chars / n_words", 1.5, 15.0),
@@ -70,7 +73,7 @@ def measures(text: Column) -> Column:
         return F.struct(F.size(found).cast("long").alias("n_lines"), (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"))
 
     def counts(w: Column) -> Column:
-        stop = F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS)))
+        stop = F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS) | F.regexp_like(x, F.lit(OTHER_SCRIPT))))
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), _repeated(w).cast("long").alias("n_repeat_words"),

@@ -6,7 +6,7 @@ import re
 
 from .licenses import PHRASES, TEMPLATES
 from .rules import RULES as THRESHOLDS
-from .rules import STOP_WORDS, WINDOW
+from .rules import OTHER_SCRIPT, STOP_WORDS, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -45,7 +45,7 @@ covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i,
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (length(text) - length(replace(text, '!', '')))::BIGINT AS n_exclamations,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-  len([x FOR x IN w IF lower(x) IN ({', '.join(f"'{x}'" for x in STOP_WORDS)})]) AS n_stop_words
+  len([x FOR x IN w IF lower(x) IN ({', '.join(f"'{x}'" for x in STOP_WORDS)}) OR regexp_matches(x, '{OTHER_SCRIPT}')]) AS n_stop_words
   FROM d LEFT JOIN covered USING (rid)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict()} AS kept FROM f
