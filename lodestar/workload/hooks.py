@@ -13,10 +13,12 @@ from ..plans.ingestion import index_chunks
 from ..plans.retrieval import create_retriever, process
 from ..session import shared_folder
 from ..sources import files
-from ..streaming import ingest
+from ..streaming import appended, ingest
+from ..streaming.answers import OUTPUT
 from .base import REGISTRY, query
 from .chunks import SQL_WORDS, sql_windows
 from .graphs import SQL_MEMBERS, SQL_SUMMARY, _NAME_Q, _loaded, by_nation, nation_questions, relation_notes, summaries, triplets
+from .logs import SQL_ANSWERS, chat_events
 from .ranking import SQL_CONTENT_HITS, SQL_QUERIES, sql_bm25_candidates
 from .vectors import DIM, sql_embed, sql_rank, text_queries
 
@@ -102,3 +104,29 @@ def windows_in_sql(t) -> DataFrame:
     registry.register_sql_functions(t.spark)
     t.texts("documents").createOrReplaceTempView("documents_for_windows")
     return t.spark.sql("SELECT d.doc_id, w.* FROM documents_for_windows d, LATERAL token_windows(d.text, 50, 10) w")
+
+
+#: Answers that got their end; a stream gives the others out when they have been silent for long enough.
+SQL_ENDED = f"SELECT * FROM ({SQL_ANSWERS}) WHERE conn_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant')"
+
+
+@query("l02_stream_answers", SQL_ENDED)
+def stream_answers(t) -> DataFrame:
+    """The events of ``conversations`` arrive in three deliveries, out of order but for the ends, and state is appended between them."""
+    events = chat_events(t)
+    source, marks, out = (shared_folder(t.spark, name) for name in ("events", "event-marks", "answers"))
+    late = F.when(F.col("type") == "stream_end", 2).otherwise(F.pmod(F.xxhash64("conn_id", "seq"), F.lit(2)))
+    # State timeouts ask for empty batches without end; a run that should stop forgoes them.
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = t.spark.conf.get(empty)
+    t.spark.conf.set(empty, "false")
+    try:
+        for delivery in range(3):
+            events.where(late == delivery).write.mode("append").parquet(source)
+            stream = t.spark.readStream.schema(events.schema).parquet(source)
+            with appended.rocksdb(t.spark):
+                query = appended.assemble_appended(stream, 3_600_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+                query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(empty, before)
+    return t.spark.read.schema(OUTPUT).parquet(out)

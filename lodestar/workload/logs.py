@@ -226,11 +226,12 @@ def chat_events(t) -> DataFrame:
     return turns.select("conn_id", "seq", "type", F.when(F.col("type") == "stream_chunk", F.col("text")).alias("chunk"))
 
 
-query("l02_assemble_stream", f"""
+SQL_ANSWERS = f"""
   SELECT conn_id, CASE WHEN err IS NOT NULL AND n = 0 THEN '{V.FALLBACK_ANSWER}' ELSE answer END AS answer, n AS n_chunks, ended AND NOT (err IS NOT NULL AND n = 0) AS stream_success FROM (
     SELECT conv_id AS conn_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role='user' AND text <> '' AND (err IS NULL OR turn > err)), '') AS answer,
            count(*) FILTER (role='user' AND text <> '' AND (err IS NULL OR turn > err)) AS n, bool_or(role='assistant') AS ended, any_value(err) AS err
-    FROM (SELECT *, max(CASE WHEN role='system' THEN turn END) OVER (PARTITION BY conv_id) AS err FROM conversations) GROUP BY 1)""")(
+    FROM (SELECT *, max(CASE WHEN role='system' THEN turn END) OVER (PARTITION BY conv_id) AS err FROM conversations) GROUP BY 1)"""
+query("l02_assemble_stream", SQL_ANSWERS)(
     lambda t: V.assemble_stream(chat_events(t))
 )
 query("l03_trim_history", """

@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..operators import search as S
 from ..operators import vector_index as I
 from ..operators.collections import check_dimension, index_documents
+from ..operators.keyed_store import KeyedStore, index_changed
 from ..session import durable, shared_folder
 from .base import query
 from .chunks import SQL_WORDS
@@ -237,6 +238,39 @@ def index(t):
     return both.select("id", "version", F.md5(F.col("payload")["text"]).alias("text_md5"), F.col("payload")["lang"].alias("lang"), F.size("vector").alias("dim"))
 
 
+_SECOND = "(SELECT doc_id, lang, CASE WHEN lang = 'en' THEN text || ' again' ELSE text END AS text FROM documents)"
+
+
+def _deliveries(t) -> tuple[DataFrame, DataFrame]:
+    """All documents; and once more all of them, of which the English ones have changed."""
+    docs = t.texts("documents").select("doc_id", "lang", "text")
+    text = F.when(F.col("lang") == "en", F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    return docs.withColumn("version", F.lit(1)), docs.withColumn("text", text).withColumn("version", F.lit(2))
+
+
+@query("a09_upsert_parts", """
+  SELECT doc_id, lang, md5(CASE WHEN lang = 'en' THEN text || ' again' ELSE text END) AS text_md5, CAST(CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS INTEGER) AS version FROM documents""")
+def upsert_parts(t):
+    """All documents, then the changed ones: only their parts are read and written again."""
+    first, second = _deliveries(t)
+    store = KeyedStore(t.spark, shared_folder(t.spark, "keyed"), "doc_id", "version")
+    store.upsert(first)
+    store.upsert(second.where("lang = 'en'"))
+    return store.read().select("doc_id", "lang", F.md5("text").alias("text_md5"), "version")
+
+
+@query("a11_index_changed", f"""
+  SELECT id AS doc_id, CAST(2 AS INTEGER) AS version, CAST(i AS INTEGER) AS slot, round(x,6) AS value FROM (
+    SELECT id, unnest(v) AS x, unnest(range({DIM})) AS i FROM ({sql_embed(_SECOND, 'doc_id', 'text')})) WHERE x <> 0""")
+def index_values(t):
+    """Both deliveries are indexed; the second embeds the texts that changed. The values of all vectors are compared."""
+    store = KeyedStore(t.spark, shared_folder(t.spark, "indexed"), "doc_id", "version")
+    for delivery in _deliveries(t):
+        index_changed(store, delivery, D.hash_embedder(DIM))
+    slots = store.read().select("doc_id", "version", F.posexplode_outer("vector").alias("slot", "x")).where("x <> 0")
+    return slots.select("doc_id", "version", "slot", F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
 query("a09_wrong_dimension", "SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")(
     lambda t: check_dimension(t("embeddings"), "embedding", 64).select("vec_id")
 )

@@ -1,8 +1,11 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators.conversations import FALLBACK_ANSWER, assemble_stream
 from lodestar.plans.ingestion import index_chunks, pages_to_documents
-from lodestar.streaming import answers, ingest
+from lodestar.streaming import answers, appended, ingest
 
 DOC = "doc_id long, text string"
 
@@ -49,7 +52,8 @@ def test_pages_feed_the_same_plan(t):
 EVENTS = "conn_id long, seq long, type string, chunk string"
 
 
-def test_answers_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("assemble", [answers.assemble_stream, appended.assemble_appended])
+def test_answers_across_batches(spark, tmp_path, assemble):
     # State timeouts ask for empty batches without end; a run that should stop forgoes them.
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     first = [(1, 1, "stream_chunk", "Hel"), (2, 1, "stream_chunk", "lost"), (1, 3, "stream_chunk", "!"), (3, 1, "error", None), (1, 0, "stream_start", None)]
@@ -59,12 +63,30 @@ def test_answers_across_batches(spark, tmp_path):
     for part in (first, second, third):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-    query = (
-        answers.assemble_stream(stream).writeStream.format("memory").queryName("assembled").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(60)
+    with appended.rocksdb(spark):
+        query = (
+            assemble(stream).writeStream.format("memory").queryName("assembled").outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        assert query.awaitTermination(60)
     got = sorted(map(tuple, spark.table("assembled").collect()))
     want = assemble_stream(spark.createDataFrame(first + second + third, EVENTS))
     assert got == sorted(map(tuple, want.collect()))
     assert (1, "Hello!", 3, True) in got and (2, "fallback", 1, True) in got and (3, FALLBACK_ANSWER, 0, False) in got
+
+
+def test_a_silent_connection_is_given_out_and_late_events_are_dropped(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+
+    def deliver(rows):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(source)
+        with appended.rocksdb(spark):
+            stream = appended.assemble_appended(spark.readStream.schema(EVENTS).parquet(source), 1500)
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    deliver([(1, 1, "stream_chunk", "half"), (2, 1, "stream_chunk", "whole"), (2, 2, "stream_end", None)])
+    time.sleep(2)
+    deliver([(2, 3, "stream_chunk", "late"), (3, 1, "stream_chunk", "x"), (3, 2, "stream_end", None)])
+    got = sorted((r.conn_id, r.answer, r.stream_success) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "half", False), (2, "whole", True), (3, "x", True)]
