@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The modes a request may name, and the answer given when none could be made.
@@ -74,3 +74,25 @@ def latency_quantiles(latencies: DataFrame, seconds_col: str) -> DataFrame:
         F.percentile_approx(seconds_col, 0.5).alias("p50"),
         F.percentile_approx(seconds_col, 0.95).alias("p95"),
     )
+
+
+def latency_sketches(events: DataFrame, ts_col: str, seconds_col: str, unit: str = "hour", k: int = 200) -> DataFrame:
+    """(span, n, sketch): a KLL sketch of the latencies of each ``unit`` of time.
+
+    Sketches are a few kilobytes, however many values they hold, and merge: store
+    them once and ask for any span. A rank is off by about 1.33 % for k = 200.
+    """
+    span = events.select(F.date_trunc(unit, F.col(ts_col)).alias("span"), F.col(seconds_col).cast("double").alias("x")).where("x IS NOT NULL")
+    return span.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("x", k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, quantiles: list[float], by: list[Column] | None = None) -> DataFrame:
+    """``n`` and the quantiles (``p50`` for 0.5, …) of the merged sketches, over all spans or by groups of them."""
+    merged = sketches.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_all"))
+    named = [F.kll_sketch_get_quantile_double("_all", F.lit(float(q))).alias(f"p{round(100 * q):02d}") for q in quantiles]
+    return merged.select(*(c for c in merged.columns if c != "_all"), *named)
+
+
+def rank_of(sketches: DataFrame, value: float) -> DataFrame:
+    """One row: the share of values up to ``value`` by the merged sketches."""
+    return sketches.agg(F.kll_sketch_get_rank_double(F.kll_merge_agg_double("sketch"), F.lit(float(value))).alias("rank"))

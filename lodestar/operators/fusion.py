@@ -1,7 +1,7 @@
 """Combining ranked lists of two sources.
 
 Lists are (query_id, id, content, score, rank, …). Duplicate contents are found
-by the first hundred characters, within one query.
+within one query, by their first ``prefix`` characters, or as a whole (``None``).
 """
 
 from __future__ import annotations
@@ -22,24 +22,25 @@ def minmax(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.withColumn("score", scaled)
 
 
-def prefix_key(content: Column) -> Column:
-    return F.lower(F.substring(strip(F.coalesce(content, F.lit(""))), 1, PREFIX))
+def prefix_key(content: Column, prefix: int | None = PREFIX) -> Column:
+    text = strip(F.coalesce(content, F.lit("")))
+    return F.lower(text if prefix is None else F.substring(text, 1, prefix))
 
 
-def dedup_prefix(hits: DataFrame, order: list[str], by: str = "query_id") -> DataFrame:
+def dedup_prefix(hits: DataFrame, order: list[str], by: str = "query_id", prefix: int | None = PREFIX) -> DataFrame:
     """First row in ``order`` for each (query, content prefix).
 
     ``row_number() = 1`` is cut on the map side, so a passage copied a million
     times sends one row per task.
     """
     w = Window.partitionBy(by, "_key").orderBy(*order)
-    keyed = hits.withColumn("_key", prefix_key(F.col("content")))
+    keyed = hits.withColumn("_key", prefix_key(F.col("content"), prefix))
     return keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_key")
 
 
-def dedup_prefix_global(docs: DataFrame, order: str) -> DataFrame:
+def dedup_prefix_global(docs: DataFrame, order: str, prefix: int | None = PREFIX) -> DataFrame:
     """The same over one whole table of documents."""
-    return dedup_prefix(docs.withColumn("query_id", F.lit(0)), [order]).drop("query_id")
+    return dedup_prefix(docs.withColumn("query_id", F.lit(0)), [order], prefix=prefix).drop("query_id")
 
 
 def _tag(vector: DataFrame, graph: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def _placed(hits: DataFrame) -> DataFrame:
     return hits.withColumnRenamed("rank", "_in_rank")
 
 
-def fuse_weighted(vector: DataFrame, graph: DataFrame, k: int, vector_weight: float = 0.5, graph_weight: float = 0.5, dedup: bool = True) -> DataFrame:
+def fuse_weighted(vector: DataFrame, graph: DataFrame, k: int, vector_weight: float = 0.5, graph_weight: float = 0.5, dedup: bool = True, prefix: int | None = PREFIX) -> DataFrame:
     """Normalise each list, weigh, merge, best k. Equal scores keep vector first, then list order."""
     for weight in (vector_weight, graph_weight):
         if not 0 <= weight <= 1:
@@ -66,19 +67,19 @@ def fuse_weighted(vector: DataFrame, graph: DataFrame, k: int, vector_weight: fl
     g = minmax(graph, ["query_id"]).withColumn("score", F.col("score") * graph_weight)
     merged = _placed(_tag(v, g))
     if dedup:
-        merged = dedup_prefix(merged, ["_source", "_in_rank"])
+        merged = dedup_prefix(merged, ["_source", "_in_rank"], prefix=prefix)
     return _top(merged, [F.col("score").desc(), F.col("_source"), F.col("_in_rank")], k)
 
 
-def fuse_ensemble(vector: DataFrame, graph: DataFrame, k: int, dedup: bool = True) -> DataFrame:
+def fuse_ensemble(vector: DataFrame, graph: DataFrame, k: int, dedup: bool = True, prefix: int | None = PREFIX) -> DataFrame:
     """Interleave: first of each list, then second of each; scores stay as they are."""
     merged = _placed(_tag(vector, graph))
     if dedup:
-        merged = dedup_prefix(merged, ["_in_rank", "_source"])
+        merged = dedup_prefix(merged, ["_in_rank", "_source"], prefix=prefix)
     return _top(merged, [F.col("_in_rank"), F.col("_source")], k)
 
 
-def fuse_cascade(vector: DataFrame, graph: DataFrame, k: int, threshold: float = 0.7, dedup: bool = True) -> DataFrame:
+def fuse_cascade(vector: DataFrame, graph: DataFrame, k: int, threshold: float = 0.7, dedup: bool = True, prefix: int | None = PREFIX) -> DataFrame:
     """Vector hits alone where there are k of them with a mean score above ``threshold``; else both lists."""
     gate = vector.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.when(F.col("rank") <= k, F.col("score"))).alias("_mean")
@@ -90,7 +91,7 @@ def fuse_cascade(vector: DataFrame, graph: DataFrame, k: int, threshold: float =
     if dedup:
         # A list that stands alone is passed on as it is.
         w = Window.partitionBy("query_id", "_key").orderBy("_source", "_in_rank")
-        merged = merged.withColumn("_key", prefix_key(F.col("content"))).withColumn("_rn", F.row_number().over(w))
+        merged = merged.withColumn("_key", prefix_key(F.col("content"), prefix)).withColumn("_rn", F.row_number().over(w))
         merged = merged.where(alone | (F.col("_rn") == 1)).drop("_rn", "_key")
     return _top(merged.drop("_good"), [F.col("_source"), F.col("_in_rank")], k)
 

@@ -33,8 +33,9 @@ SQL_VECTOR = SQL_CONTENT_HITS
 SQL_GRAPH = f"SELECT h.*, d.text AS content FROM ({sql_bm25_corpus(K)}) h JOIN documents d ON d.doc_id = h.id"
 
 
-def sql_key(x: str) -> str:
-    return f"lower(substr(regexp_replace(coalesce({x},''), '^{WS}+|{WS}+$', '', 'g'), 1, 100))"
+def sql_key(x: str, prefix: int | None = 100) -> str:
+    stripped = f"regexp_replace(coalesce({x},''), '^{WS}+|{WS}+$', '', 'g')"
+    return f"lower({stripped})" if prefix is None else f"lower(substr({stripped}, 1, {prefix}))"
 
 
 def sql_minmax(source: str, weight: float = 1.0) -> str:
@@ -84,6 +85,10 @@ query("g06_dedup_prefix", f"""
   SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {sql_key('text')} ORDER BY doc_id) = 1""")(
     lambda t: U.dedup_prefix_global(t.texts("documents").select("doc_id", F.col("text").alias("content")), "doc_id").select("doc_id")
 )
+query("g06_dedup_whole", f"""
+  SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {sql_key('text', None)} ORDER BY doc_id) = 1""")(
+    lambda t: U.dedup_prefix_global(t.texts("documents").select("doc_id", F.col("text").alias("content")), "doc_id", None).select("doc_id")
+)
 
 
 @query("g07_normalise_graph_hits", """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import norm_predicate
+from ..functions.strings import norm_predicate, strip
+from ..functions.triplet_parser import parsed, register_triplet_parser
 from ..operators import collections as C
 from ..operators import communities as M
 from ..operators import embedding as D
@@ -130,6 +131,24 @@ for _mode in ("strict", "lenient"):
         lambda t, m=_mode: G.parse_triplets(responses(t), "s_suppkey", "response", m, "source_text")
     )
 
+
+
+@query("n_triplet_column", sql_triplets("strict"))
+def triplet_column(t) -> DataFrame:
+    """The parser as a column of arrays."""
+    usable = responses(t).where(F.length(strip(F.col("source_text"))) >= G.MIN_TEXT)
+    found = usable.select(F.col("s_suppkey").alias("doc_id"), G.triplets_of(G.triplet_fields(F.col("response"))).alias("found"))
+    return found.select("doc_id", F.inline("found"))
+
+
+@query("n_triplet_function", sql_triplets("strict"))
+def triplet_function(t) -> DataFrame:
+    """A parser of the user's own as a table function in SQL."""
+    responses(t).where(F.length(strip(F.col("source_text"))) >= G.MIN_TEXT).createOrReplaceTempView("responses_to_parse")
+    register_triplet_parser(t.spark, "bracketed_triplets")
+    return parsed(t.spark, "bracketed_triplets", "responses_to_parse", "s_suppkey", "response")
+
+
 query("h02_norm_predicate", """
   SELECT doc_id, replace(lower(strip_accents(replace(replace(replace(replace(w,'ß','ss'),'æ','ae'),'œ','oe'),'Œ','OE'))),' ','_') AS predicate
   FROM (SELECT doc_id, substr(text, 1, length(text)) AS w FROM documents)""")(

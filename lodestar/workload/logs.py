@@ -13,6 +13,7 @@ from ..functions import sqltext
 from ..operators import conversations as V
 from ..operators import embedding as D
 from ..operators import querylog as L
+from ..session import stored
 from ..sources import files
 from .base import query
 from .vectors import DIM, sql_embed, sql_rank
@@ -253,6 +254,26 @@ query("l05_step_latency", """
     date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds FROM events GROUP BY 1""")(
     lambda t: V.step_latency(t("events"), "user_id", "ts", "event_type")
 )
+
+
+@query("l05_latency_sketches", """
+  WITH s AS (SELECT date_trunc('hour', min(ts)) AS span, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS x FROM events GROUP BY user_id)
+  SELECT 'all' AS name, count(*) AS n, true AS p50_near, true AS p95_near FROM s
+  UNION ALL SELECT 'spans', count(DISTINCT span), true, true FROM s""")
+def latency_sketches(t):
+    """Sketches by hour are stored, opened again and merged; their quantiles stand within 2 % of the exact ranks."""
+    latency = V.step_latency(t("events"), "user_id", "ts", "event_type")
+    kept = stored(V.latency_sketches(latency, "started", "seconds"), "sketches")
+    total = V.merged_quantiles(kept, [0.5, 0.95]).first()
+    ranks = [F.avg((F.col("seconds") <= total[p]).cast("double")) for p in ("p50", "p95")]
+    below = [F.avg((F.col("seconds") < total[p]).cast("double")) for p in ("p50", "p95")]
+    # A quantile is near if the ranks that its value holds come within 2 % of the one asked for.
+    near = [(low - 0.02 <= q) & (high + 0.02 >= q) for low, high, q in zip(below, ranks, (0.5, 0.95))]
+    row = latency.agg(near[0].alias("p50_near"), near[1].alias("p95_near"))
+    every = row.select(F.lit("all").alias("name"), F.lit(total["n"]).cast("bigint").alias("n"), "p50_near", "p95_near")
+    return every.unionByName(kept.agg(F.lit("spans").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("p50_near"), F.lit(True).alias("p95_near")))
+
+
 query("l05_latency_quantiles", """
   SELECT quantile_disc(seconds, 0.5) AS p50, quantile_disc(seconds, 0.95) AS p95 FROM (
     SELECT date_diff('microsecond', min(ts), max(ts)) / 1e6 AS seconds FROM events GROUP BY user_id)""")(

@@ -134,13 +134,12 @@ query("k02_documents_without_label", """
     lambda t: Q.check_not_null(t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", "quality"), ["quality"])
 )
 query("k03_orphan_lines", """
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem
-  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus='F')""")(
-    lambda t: Q.check_fk(
-        t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"),
-        t("orders").where("o_orderstatus = 'F'"),
-        [("l_orderkey", "o_orderkey")],
-    )
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem l
+  WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)""")(
+    lambda t: Q.check_fk(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), t("orders"), [("l_orderkey", "o_orderkey")])
+)
+query("k03_unlabelled_documents", "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")(
+    lambda t: Q.check_fk(t("documents").select("doc_id", "lang", "source"), t("labels"), [("doc_id", "doc_id")])
 )
 query("k04_status_outside_set", """
   SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT (o_orderstatus IN ('F','P') AND o_totalprice > 0)""")(
