@@ -44,7 +44,7 @@ TURNS = 2
 #: Members of a long list that one task compares with the others, about.
 LOT = 256
 #: Postings that a task holds at a time, about.
-POSTINGS = 1 << 18
+POSTINGS = 1 << 17
 #: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
 MAP_WORDS = 16
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.

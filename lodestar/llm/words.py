@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 1 << 20
+#: Bytes of text that are worked on at a time: some 60 bytes of memory for each.
+BATCH_BYTES = 1 << 18
 
 #: Breaks between words: white space only, or all ASCII that is no letter or digit.
 SPACES = np.zeros(256, bool)
@@ -44,11 +45,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; no more of them than a batch needs are kept by the worker."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, BATCH_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        _POWERS[base] = have[: BATCH_BYTES + 1].copy()
     return have[:n]
 
 
@@ -90,7 +93,8 @@ class Words:
         n = len(self.data)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE[self.data] * _powers(_BASE, n), out=sums[1:])
+        np.multiply(_BYTE[self.data], _powers(_BASE, n), out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
         found = (sums[self.ends] - sums[self.starts]) * _powers(_INVERSE, n)[self.starts]
         return mix(found ^ (self.ends - self.starts).astype(np.uint64))
 
