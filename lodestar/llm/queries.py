@@ -68,7 +68,7 @@ def classifier(t) -> DataFrame:
 def warc(t) -> DataFrame:
     path = shared_folder(t.spark, "warc")
     write_warc(t("pages").select("page_id", "url", "html"), path, least_bytes=0)
-    return read_captures(t.spark, path, payloads=False).select(
+    return read_captures(t.spark, path, payloads=False).where("capture is not null").select(
         "metadata.page_id", "capture.payload_bytes", "capture.payload_digest", F.col("capture.type").alias("record_type"), "capture.refers_to"
     )
 

@@ -152,12 +152,12 @@ def _read(payloads: bool):
             size, digest = len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()
             if one("warc-payload-digest") != f"sha1:{digest}":
                 raise ValueError(f"payload of {one('warc-record-id')} doesn't have its digest")
-            payload = body.decode() if payloads else None
+            payload = body.decode(errors="replace") if payloads else None
         elif kind == "revisit":
             head, _, _ = block.partition(_END)
             size, digest = int(head.rpartition(b": ")[2]), one("warc-payload-digest").removeprefix("sha1:")
-        elif kind == "metadata":
-            fields = block.decode()
+        elif kind in ("request", "metadata"):
+            fields = block.decode(errors="replace")
         return kind, one("warc-record-id"), one("warc-target-uri"), headers.get("warc-concurrent-to", []), one("warc-refers-to"), size, digest, payload, fields
 
     def run(batches):
@@ -181,22 +181,42 @@ def read_captures(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """One nested row for each capture in the archives below ``path``.
 
     ``capture`` (type, record, uri, payload_bytes, payload_digest, payload, and for a
-    revisit the page it refers to), ``request`` and ``metadata`` (their record
-    names; page_id). The joins go by record names, which are unique for requests and
-    metadata, so repeated pages stay apart. A revisit has the size and digest of the
-    payload it stands for, and no payload. ``payloads=False`` leaves payloads out.
+    revisit the page it refers to), ``request`` (record, fields: its lines) and
+    ``metadata`` (record, page_id, fields). Records belong together where one names
+    the other in a concurrent-to header, in either direction and any order; what
+    the capture names itself comes before what names it, and of several of a
+    kind the smallest name stays. A partner that is missing is NULL. A request
+    or metadata record without a capture of its own is a row with a NULL capture,
+    so no record goes without a trace. Captures with one name stay apart. A
+    revisit has the size and digest of the payload it stands for, and no payload.
+    ``payloads=False`` leaves payloads out. Bytes that are not UTF-8 become U+FFFD.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_read(payloads), _READ)
-    found = durable(found)  # the archives are read once
-    main = found.where("type in ('response', 'revisit')").withColumns({"request": F.get("concurrent", F.lit(0)), "metadata": F.get("concurrent", F.lit(1))})
-    requests = found.where("type = 'request'").select(F.col("record").alias("request"))
-    page = F.regexp_extract("fields", r"page-id: (-?\d+)", 1)
-    about = found.where("type = 'metadata'").select(F.col("record").alias("metadata"), F.when(page != "", page.cast("long")).alias("page_id"))
-    joined = main.join(requests, "request").join(about, "metadata")
+    found = durable(found).withColumn("_n", F.monotonically_increasing_id())  # the archives are read once
+    main = found.where("type in ('response', 'revisit')")
+    others = found.where("type in ('request', 'metadata')").select(F.col("record").alias("name"), F.col("type").alias("kind"), "fields", F.col("concurrent").alias("names"), F.col("_n").alias("_p"))
+    partner = F.struct("far", "name", "fields", "_p").alias("partner")
+    named = main.select("_n", F.explode("concurrent").alias("name")).join(others.drop("names"), "name").withColumn("far", F.lit(0))
+    names = others.withColumn("record", F.explode("names")).join(main.select("record", F.col("_n").alias("_n")), "record").withColumn("far", F.lit(1))
+    ties = named.select("_n", "kind", partner).unionByName(names.select("_n", "kind", partner))
+    tied = ties.groupBy("_n").agg(*(F.min(F.when(F.col("kind") == k, F.col("partner"))).alias(k) for k in ("request", "metadata")))
+    joined = main.join(tied, "_n", "left")
+    page = F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1)
+    joined = joined.withColumn("page_id", F.when(page != "", page.cast("long")))
     firsts = joined.where("type = 'response'").groupBy("record").agg(F.max("page_id").alias("refers_to")).withColumnRenamed("record", "refers")
-    named = joined.where("type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined.where("type = 'revisit'").join(firsts, "refers", "left"))
-    return named.select(
-        F.struct("type", "record", "uri", "payload_bytes", "payload_digest", "payload", "refers_to").alias("capture"),
-        F.struct(F.col("request").alias("record")).alias("request"),
-        F.struct(F.col("metadata").alias("record"), "page_id").alias("metadata"),
-    )
+    whole = joined.where("type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined.where("type = 'revisit'").join(firsts, "refers", "left").select(*joined.columns, "refers_to"))
+
+    def nested(df: DataFrame, capture: Column, request: Column, metadata: Column) -> DataFrame:
+        return df.select(capture.alias("capture"), request.alias("request"), metadata.alias("metadata"))
+
+    request = F.when(F.col("request").isNotNull(), F.struct(F.col("request.name").alias("record"), F.col("request.fields").alias("fields")))
+    metadata = F.when(F.col("metadata").isNotNull(), F.struct(F.col("metadata.name").alias("record"), "page_id", F.col("metadata.fields").alias("fields")))
+    captures = nested(whole, F.struct("type", "record", "uri", "payload_bytes", "payload_digest", "payload", "refers_to"), request, metadata)
+
+    used = tied.select(F.explode(F.array("request._p", "metadata._p")).alias("_p"))
+    alone = others.join(used, "_p", "left_anti").withColumnRenamed("name", "record")
+    page = F.regexp_extract("fields", r"page-id: (-?\d+)", 1)
+    alone = alone.withColumn("page_id", F.when(page != "", page.cast("long")))
+    none = F.lit(None).cast(captures.schema["capture"].dataType)
+    rest = nested(alone, none, F.when(F.col("kind") == "request", F.struct("record", "fields")), F.when(F.col("kind") == "metadata", F.struct("record", "page_id", "fields")))
+    return captures.unionByName(rest)

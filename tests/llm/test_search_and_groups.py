@@ -1,5 +1,8 @@
 """Lexical search, SimHash and spelling against brute force, and on odd input."""
 
+import base64
+import gzip
+import hashlib
 import itertools
 import math
 import re
@@ -12,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from lodestar.llm import chat, jaccard, lexical, mixing, rules, simhash, spelling
+from lodestar.llm import chat, jaccard, lexical, mixing, rules, simhash, spelling, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,3 +226,34 @@ def test_keep_one_without_ids(spark):
         docs = spark.createDataFrame([(None if i is None else i if kind == "long" else f"d{i}", t, 1) for i, t in rows], f"doc_id {kind}, text string, _row int")
         kept = jaccard.keep_one(docs)
         assert kept.columns == docs.columns and Counter(str(r.text).strip() for r in kept.collect()) == {text: 1, rows[3][1]: 1, "None": 1, "": 1}
+
+
+def archive(folder, records):
+    folder.mkdir()
+    blocks = [
+        "WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in headers) + f"Content-Length: {len(block.encode())}\r\n\r\n{block}\r\n\r\n" for headers, block in records
+    ]
+    (folder / "one.warc.gz").write_bytes(b"".join(gzip.compress(b.encode()) for b in blocks))
+    return str(folder)
+
+
+def record(kind, name, *others, block=""):
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Target-URI", "http://x/")] + [("WARC-Concurrent-To", o) for o in others]
+    if kind == "response":
+        block = "HTTP/1.1 200 OK\r\n\r\n" + block
+        headers.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block.partition("\r\n\r\n")[2].encode()).digest()).decode()))
+    return headers, block
+
+
+def test_captures_of_other_archives(spark, tmp_path):
+    path = archive(tmp_path / "a", [
+        record("response", "r1", "m1", "q1", block="swapped"), record("request", "q1", block="GET /1 HTTP/1.1\r\n\r\n"), record("metadata", "m1", block="page-id: 1\r\n"),
+        record("response", "r2", "q2", "m2", block="no metadata"), record("request", "q2", block="GET /2"),
+        record("response", "r3", block="named by the request"), record("request", "q3", "r3", block="GET /3"), record("metadata", "m3", "r3", block="page-id: 3"),
+        record("response", "r4", block="alone"),
+        record("request", "q5", "r5", block="GET /5"), record("metadata", "m6", block="other: x"),
+    ])
+    rows = warc.read_captures(spark, path).collect()
+    got = {(r.capture and r.capture.record, r.request and r.request.record, r.metadata and r.metadata.record, r.metadata and r.metadata.page_id) for r in rows}
+    assert got == {("r1", "q1", "m1", 1), ("r2", "q2", None, None), ("r3", "q3", "m3", 3), ("r4", None, None, None), (None, "q5", None, None), (None, None, "m6", None)}
+    assert {r.request.fields.split()[1] for r in rows if r.request} == {"/1", "/2", "/3", "/5"} and len(rows) == 6
