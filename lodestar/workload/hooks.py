@@ -12,7 +12,7 @@ from ..plans import registry
 from ..plans.ingestion import index_chunks
 from ..plans.retrieval import create_retriever, process
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, json_lines
 from ..streaming import appended, ingest
 from ..streaming.answers import OUTPUT
 from .base import REGISTRY, query
@@ -71,6 +71,15 @@ def jsonl_sink(t) -> DataFrame:
     return t.spark.read.schema("doc_id bigint, text string, lang string").json(path)
 
 
+@query("a08_chunk_lines", f"SELECT doc_id, chunk_index, text FROM ({sql_windows(200, 20)})")
+def chunk_lines(t) -> DataFrame:
+    """All chunks through the data source: written with one commit, and read again."""
+    path = shared_folder(t.spark, "chunk-lines")
+    chunks = K.chunk_tokens(t.texts("documents"), size=200, overlap=20).select("doc_id", "chunk_index", "text")
+    json_lines.write_lines(chunks, path)
+    return json_lines.read_lines(t.spark, path, chunks.schema)
+
+
 @query("l01_ingest_stream", f"SELECT doc_id, chunk_index, text FROM ({sql_windows(200, 20)})")
 def ingest_stream(t) -> DataFrame:
     """The documents arrive as a stream; its chunks are those of the batch plan."""
