@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embedding as D
 from ..functions import vectors as V
+from ..operators import pivots as P
 from ..operators import search as S
 from ..operators import vector_index as I
 from ..operators.collections import check_dimension, index_documents
@@ -132,6 +133,17 @@ query("e04_knn_filtered", sql_rank(sql_pairs("cosine", "label = 3"), 10))(
 query("e05_knn_threshold", sql_rank(f"SELECT * FROM ({sql_pairs()}) WHERE score >= 0.2", 10))(
     lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 10, min_score=0.2)
 )
+
+
+@query("e05_range_pivots", sql_rank(f"SELECT * FROM ({sql_pairs()}) WHERE score >= 0.2", 10))
+def range_pivots(t):
+    """The same rows from a stored table with distances to pivots."""
+    path = shared_folder(t.spark, "pivots")
+    corpus = _vec(t, "embeddings")
+    P.build_pivots(corpus, path, P.choose_pivots(corpus))
+    return P.PivotIndex.open(t.spark, path).search(centroids(t), 0.2, 10)
+
+
 query("e06_knn_batch", sql_rank(f"SELECT * FROM ({sql_pairs('cosine', 'label = 3')}) WHERE score >= 0.1", 5))(
     lambda t: S.knn(centroids(t), _vec(t, "embeddings"), 5, filters={"label": 3}, min_score=0.1)
 )
@@ -216,6 +228,17 @@ def sql_document_pairs() -> str:
 query("e01_knn_documents", sql_rank(sql_document_pairs(), 10))(document_hits)
 
 
+@query("e05_document_range", sql_rank(f"""SELECT * FROM (SELECT q.id AS query_id, d.id AS id, round(list_cosine_similarity(q.v, d.v),6) AS score
+  FROM ({sql_embed('(SELECT * FROM documents WHERE doc_id % 20 = 0)', 'doc_id', 'text')}) q, ({sql_embed('documents', 'doc_id', 'text')}) d) WHERE score >= 0.9""", 50))
+def document_range(t):
+    """Documents within a cosine of 0.9 of every twentieth: what pivots rule out is never scored."""
+    docs = durable(D.embed(t.texts("documents").select(F.col("doc_id").alias("id"), "text"), "text", DIM).select("id", "embedding"))
+    path = shared_folder(t.spark, "document-pivots")
+    P.build_pivots(docs, path, P.choose_pivots(docs, 12))
+    asked = docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return P.PivotIndex.open(t.spark, path).search(asked, 0.9, 50)
+
+
 @query("e10_shape_hits", f"""
   SELECT h.query_id, h.id, h.score, h.rank, CASE WHEN lang='de' THEN '' ELSE text END AS content, lang, source
   FROM ({sql_rank(sql_document_pairs(), 10)}) h JOIN documents d ON d.doc_id = h.id""")
