@@ -17,7 +17,8 @@ from ..streaming import appended, ingest
 from ..streaming.answers import OUTPUT
 from .base import REGISTRY, query
 from .chunks import SQL_WORDS, sql_windows
-from .graphs import SQL_MEMBERS, SQL_SUMMARY, _NAME_Q, _loaded, by_nation, nation_questions, relation_notes, summaries, triplets
+from .fusion import sql_both, sql_dedup, sql_minmax, sql_top
+from .graphs import SQL_MEMBERS, SQL_RETRIEVED, SQL_SUMMARY, _NAME_Q, _loaded, by_nation, nation_questions, relation_notes, summaries, triplets
 from .logs import SQL_ANSWERS, chat_events
 from .ranking import SQL_CONTENT_HITS, SQL_QUERIES, sql_bm25_candidates
 from .vectors import DIM, sql_embed, sql_rank, text_queries
@@ -63,6 +64,22 @@ def process_communities(t) -> DataFrame:
     return process(_questions(t), retriever, 3)[0].select(*LISTED)
 
 
+SQL_NEAR_NOTES = f"""SELECT h.query_id, h.id, h.score, h.rank, note AS content FROM ({sql_rank(f"""
+    SELECT q.id AS query_id, d.id AS id, round(list_cosine_similarity(q.v, d.v),6) AS score
+    FROM ({sql_embed(_NAME_Q, 'n_nationkey', 'q')}) q, ({sql_embed(f'({SQL_NOTES})', 'id', 'note')}) d""", 5)}) h JOIN ({SQL_NOTES}) n ON n.id = h.id"""
+_SQL_FACTS = f"SELECT query_id, id, content, score, rank FROM ({SQL_RETRIEVED})"
+
+
+@query("g01_process_hybrid", sql_top(sql_dedup(sql_both(sql_minmax(SQL_NEAR_NOTES, 0.5), sql_minmax(_SQL_FACTS, 0.5)), "src, p"), "score DESC, src, p", 5))
+def process_hybrid(t) -> DataFrame:
+    """Notes by vector and facts by graph, fused by weight."""
+    notes = relation_notes(t).select(F.col("s_suppkey").cast("string").alias("id"), F.col("note").alias("content"))
+    vector = create_retriever("vector", corpus=D.embed(notes, "content", DIM), embedder=D.hash_embedder(DIM))
+    facts = create_retriever("graph_v2", entities=D.entity_vectors(triplets(t), DIM), edges=_loaded(t)[1], embedder=D.hash_embedder(DIM))
+    hits, _ = process(_questions(t), create_retriever("hybrid", vector=vector, graph=facts), 5, strategy=None)
+    return hits.select("query_id", "id", "source_type", F.round("score", 6).alias("score"), "rank")
+
+
 @query("a08_jsonl_sink", "SELECT doc_id, text, lang FROM documents")
 def jsonl_sink(t) -> DataFrame:
     """Written as JSON lines and read again."""
