@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,31 @@ from .base import durable
 EDGES_PER_PARTITION = 200_000
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same vertices as those given do: each vertex but the smallest of its component to that one."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[u], label[v])
+        if (label[u] == least).all() and (label[v] == least).all():
+            break
+        np.minimum.at(label, label[u], least)
+        np.minimum.at(label, label[v], least)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def _contracted(batches):
+    """The edges of a partition, about ``EDGES_PER_PARTITION``, as stars."""
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if held:
+        a, b = stars(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Point the neighbours of every vertex at the smallest of them (or the vertex).
 
@@ -34,7 +61,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``v``, ``component``: for each vertex of edges (``a``, ``b``) the smallest one it is connected with.
 
-    Each round writes its edges to the checkpoint folder. The end is reached when
+    Each round writes its edges to the checkpoint folder. Every partition of them is
+    contracted by itself first, which is all there is to do where one holds them all. The end is reached when
     they are stars: each vertex has one edge down, to one that has none.
     Self-loops and repeated edges do no harm; an empty table gives an empty one.
     """
@@ -46,7 +74,9 @@ def components(edges: DataFrame) -> DataFrame:
         # Every edge points down once it has been through a star; before that it may not.
         if not rows or (not odd and now.where("a < b").isEmpty()):
             return now.select(F.col("a").alias("v"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        now = durable(_star(_star(now.coalesce(-(-rows // EDGES_PER_PARTITION)), True), False))
+        parts = -(-rows // EDGES_PER_PARTITION)
+        local = now.coalesce(parts).mapInArrow(_contracted, "a long, b long")  # a vertex of several partitions has an edge in each
+        now = durable(local if parts == 1 else _star(_star(local, True), False))
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import durable
-from .components import components
+from .components import components, stars
 from .words import LOWER
 
 BITS = 64
@@ -125,22 +125,7 @@ def _stars(found_a: np.ndarray, found_b: np.ndarray, radius: int) -> tuple[np.nd
     a, b = np.concatenate(left), np.concatenate(right)
     differ = a != b
     a, b = a[differ], b[differ]
-    if len(a) < 2:
-        return a, b
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        least = np.minimum(label[u], label[v])
-        if (label[u] == least).all() and (label[v] == least).all():
-            break
-        np.minimum.at(label, label[u], least)
-        np.minimum.at(label, label[v], least)
-        label = label[label]
-    while (label[label] != label).any():
-        label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(names)))
-    return names[moved], names[label[moved]]
+    return (a, b) if len(a) < 2 else stars(a, b)
 
 
 def _compared(radius: int):

@@ -81,7 +81,7 @@ def test_jaccard_against_brute_force(spark, odd, none):
     assert [r[2] for r in got if r[0] is None] == [None]
     assert jaccard.jaccard_components(none).count() == 0
     kept = [r.doc_id for r in jaccard.keep_one(odd).collect()]
-    assert sorted(kept, key=str) == sorted([1, 3, 4, 5, 6, 8, 10, None], key=str)
+    assert sorted(kept) == [1, 3, 4, 5, 6, 8, 10]  # the row without an id is a copy of the first
 
 
 @pytest.mark.parametrize("lot", [7, jaccard.LOT])
