@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from lodestar.llm import chat, jaccard, lexical, mixing, rules, simhash, spelling, warc
+from lodestar.llm import chat, jaccard, lexical, mixing, rules, simhash, spelling, urls, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -257,3 +257,19 @@ def test_captures_of_other_archives(spark, tmp_path):
     got = {(r.capture and r.capture.record, r.request and r.request.record, r.metadata and r.metadata.record, r.metadata and r.metadata.page_id) for r in rows}
     assert got == {("r1", "q1", "m1", 1), ("r2", "q2", None, None), ("r3", "q3", "m3", 3), ("r4", None, None, None), (None, "q5", None, None), (None, None, "m6", None)}
     assert {r.request.fields.split()[1] for r in rows if r.request} == {"/1", "/2", "/3", "/5"} and len(rows) == 6
+
+
+def test_url_model_decides_on_urls_it_has_not_seen(spark):
+    model = urls.fit()
+    false, missed = urls.errors(model, urls.labelled_urls(1000, 99))
+    assert false < 0.02 and missed < 0.2
+    cases = [("http://casino-bonus.win/free-spins?ref=1", "block"), ("http://mega-casino.bet/slots", "block"), ("https://best-pills.shop/buy", "block"),
+             ("https://city.library.org/en/books", "allow"), ("https://de.wikipedia.org/wiki/Berlin", "allow"), ("https://therwh.example.org/de/6611", "allow"), (None, "allow"), ("no scheme", "allow")]
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.rule) for r in urls.judge_urls(table).collect()}
+    assert got == {i: (v, None) for i, (_, v) in enumerate(cases)}
+    rules = urls.Rules(urls.RULES)
+    for host in ("example.com", "www.example.com", "a.www.example.com", "x.net", "com", "net.org", ""):
+        for path in ("", "/", "/en/", "/en", "/es/1", "/fr/"):
+            fits = [(len(r), r, v) for r, v in urls.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+            assert rules.match(host, path) == (max(fits)[1:] if fits else (None, None))
