@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqltext import SAFETY_REASON, tables_used, unsafe_keyword
 from .collections import upsert
+from .keyed_store import KeyedStore
 from .search import knn
 
 MAX_RESULT_CHARS = 1000
@@ -125,8 +126,8 @@ def safety_flags(df: DataFrame, sql_col: str) -> DataFrame:
     return flagged.withColumn("reason", F.concat(F.lit(SAFETY_REASON), F.col("flag_substring")))
 
 
-def cache_rows(log: DataFrame, embedder) -> DataFrame:
-    """Successful log rows as cache entries: id from database and question, vector of the question, result cut to size."""
+def cache_rows(log: DataFrame, embedder, result_chars: int | None = MAX_RESULT_CHARS) -> DataFrame:
+    """Successful log rows as cache entries: id from database and question, vector of the question, result cut to ``result_chars`` (None: whole)."""
     good = log.where(F.col("execution_success"))
     return good.select(
         F.md5(F.concat_ws("|", "database_name", "natural_query")).alias("id"),
@@ -134,7 +135,7 @@ def cache_rows(log: DataFrame, embedder) -> DataFrame:
         "sql_query",
         tables_used(F.col("sql_query")).alias("tables_used"),
         "database_name",
-        F.substring(F.col("execution_result"), 1, MAX_RESULT_CHARS).alias("execution_result"),
+        (F.col("execution_result") if result_chars is None else F.substring(F.col("execution_result"), 1, result_chars)).alias("execution_result"),
         "execution_time",
         "timestamp",
         embedder(F.col("natural_query")).alias("embedding"),
@@ -147,6 +148,11 @@ def cache_store(log: DataFrame, cache: DataFrame | None, embedder) -> DataFrame:
     return upsert(fresh.limit(0) if cache is None else cache, fresh, ["id"], "timestamp")
 
 
+def cache_into(store: KeyedStore, log: DataFrame, embedder, result_chars: int | None = MAX_RESULT_CHARS) -> list[int]:
+    """``cache_store`` into a stored cache (keyed by ``id``, ordered by ``timestamp``): only the parts of the log's questions are read and written."""
+    return store.upsert(cache_rows(log, embedder, result_chars))
+
+
 def cache_lookup(questions: DataFrame, cache: DataFrame, database: str | None = None, k: int = 5, min_score: float = 0.85) -> DataFrame:
     """Similar cached questions of a question table (query_id, embedding)."""
     filters = {"database_name": database} if database else None
@@ -154,12 +160,22 @@ def cache_lookup(questions: DataFrame, cache: DataFrame, database: str | None =
     return hits.join(cache.select("id", "natural_query", "sql_query", "database_name"), "id")
 
 
-def fold_attempts(attempts: DataFrame) -> DataFrame:
+def fold_attempts(attempts: DataFrame, retries: int | None = MAX_RETRIES) -> DataFrame:
     """Attempts (question_id, attempt_no, sql_query, success, error, seconds) → one outcome per question.
 
-    At most the first try and two retries count; the outcome is the last of them.
+    At most the first try and ``retries`` more count (None: all); the outcome is the last of them.
+    ``dropped_attempts`` says how many more a question has.
     """
-    used = attempts.where(F.col("attempt_no") <= MAX_RETRIES)
+    used = attempts if retries is None else attempts.where(F.col("attempt_no") <= retries)
+    return _folded(used)
+
+
+def dropped_attempts(attempts: DataFrame, retries: int = MAX_RETRIES) -> DataFrame:
+    """``question_id``, ``dropped``: the attempts that ``fold_attempts`` leaves out, for questions that have any."""
+    return attempts.where(F.col("attempt_no") > retries).groupBy("question_id").agg(F.count(F.lit(1)).alias("dropped"))
+
+
+def _folded(used: DataFrame) -> DataFrame:
     no = F.col("attempt_no")
     folded = used.groupBy("question_id").agg(
         F.max_by("sql_query", no).alias("sql_query"),

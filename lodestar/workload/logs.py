@@ -13,7 +13,8 @@ from ..functions import sqltext
 from ..operators import conversations as V
 from ..operators import embedding as D
 from ..operators import querylog as L
-from ..session import stored
+from ..operators.keyed_store import KeyedStore
+from ..session import shared_folder, stored
 from ..sources import files
 from .base import query
 from .vectors import DIM, sql_embed, sql_rank
@@ -165,6 +166,16 @@ query("i07_cache_store", f"SELECT id, natural_query, sql_query, database_name, m
 )
 
 
+@query("i07_cache_parts", f"SELECT id, natural_query, sql_query, database_name, md5(execution_result) AS result_md5, execution_time, timestamp FROM ({SQL_CACHE})")
+def cache_parts(t):
+    """The same cache, stored, after two deliveries of the log; later ones read and write the parts of their questions only."""
+    store = KeyedStore(t.spark, shared_folder(t.spark, "cache"), "id", "timestamp")
+    late = F.pmod(F.xxhash64("timestamp", "natural_query"), F.lit(2))
+    for delivery in (0, 1):
+        L.cache_into(store, query_log(t).where(late == delivery), D.hash_embedder(DIM))
+    return store.read().select("id", "natural_query", "sql_query", "database_name", F.md5("execution_result").alias("result_md5"), "execution_time", "timestamp")
+
+
 def asked(t) -> DataFrame:
     """One question per event type: its commonest wording, less the number."""
     kinds = t("events").groupBy("event_type").agg(F.min("event_id").alias("query_id"))
@@ -206,6 +217,14 @@ SQL_FOLDED = f"""
 query("i09_fold_attempts", f"SELECT question_id, sql_query, success, error, retries, round(execution_time,4) AS execution_time FROM ({SQL_FOLDED})")(
     lambda t: L.fold_attempts(attempts(t)).drop("tables_used").withColumn("execution_time", F.round("execution_time", 4))
 )
+query("i09_dropped_attempts", f"""
+  SELECT question_id, count(*) AS dropped FROM (SELECT user_id||'/'||strftime(ts, '%Y-%m-%d') AS question_id,
+    row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS a FROM ({SQL_LOG})) WHERE a > 2 GROUP BY 1""")(
+    lambda t: L.dropped_attempts(attempts(t))
+)
+query("i09_fold_all_attempts", f"SELECT question_id, sql_query, success, error, retries, round(execution_time,4) AS execution_time FROM ({SQL_FOLDED.replace('WHERE a <= 2', '')})")(
+    lambda t: L.fold_attempts(attempts(t), None).drop("tables_used").withColumn("execution_time", F.round("execution_time", 4))
+)
 query("i10_batch_summary", f"""
   SELECT count(*) AS total, round(avg(execution_time),6) AS mean_time, round(count(*) FILTER (success)::DOUBLE/count(*),6) AS success_rate,
          CAST(sum(retries) AS BIGINT) AS retries FROM ({SQL_FOLDED})""")(lambda t: L.batch_summary(L.fold_attempts(attempts(t))))
