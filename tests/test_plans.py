@@ -23,7 +23,9 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-NATIVE = [n for n in REGISTRY if n[0] in "bjkl" or n.startswith(("c03", "c05", "c06", "c07", "c08", "c09", "h01", "h04", "h07", "i01", "i09"))]
+# Elements of web pages need a stack, which built-in functions don't have.
+STACKED = ("b01", "b02", "b03")
+NATIVE = [n for n in REGISTRY if n[0] in "bjkl" and not n.startswith(STACKED) or n.startswith(("c03", "c05", "c06", "c07", "c08", "c09", "h01", "h04", "h07", "i01", "i09"))]
 
 
 @pytest.mark.parametrize("name", NATIVE)
