@@ -45,6 +45,8 @@ TURNS = 2
 LOT = 256
 #: Postings that a task holds at a time, about.
 POSTINGS = 1 << 17
+#: Numbers of rows that go, sent to all tasks up to so many of them (16 bytes each); more are joined.
+GONE = 1 << 19
 #: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
 MAP_WORDS = 16
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
@@ -482,5 +484,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     many = group.join(group.where("_i <> _group").select("_group").distinct(), "_group", "left_semi")
     ranked = rows.select(name, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", name).alias("_place")).join(many, F.col(name) == F.col("_i"))
     first = ranked.groupBy("_group").agg(F.min("_place").alias("_first"))
-    gone = ranked.join(first, "_group").where(F.col("_place") != F.col("_first")).select("_i")
-    return rows.join(gone, rows[name] == gone["_i"], "left_anti").drop(name)
+    gone = durable(ranked.join(first, "_group").where(F.col("_place") != F.col("_first")).select("_i"))
+    few = gone.count() <= GONE  # then the texts need not move
+    return rows.join(F.broadcast(gone) if few else gone, rows[name] == gone["_i"], "left_anti").drop(name)
