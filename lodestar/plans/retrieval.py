@@ -24,13 +24,14 @@ def _embedded(queries: DataFrame, embedder: Callable[[Column], Column]) -> DataF
 
 @dataclass
 class VectorRetriever:
-    """``corpus``: (id, content, embedding, payload columns used in filters)."""
+    """``corpus``: (id, content, embedding, payload columns used in filters). ``nan_first``: as in exact search."""
 
     corpus: DataFrame
     embedder: Callable[[Column], Column]
     filters: dict = field(default_factory=dict)
     min_score: float | None = None
     approximate: bool = False
+    nan_first: bool = False
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         asked = _embedded(queries, self.embedder)
@@ -39,7 +40,7 @@ class VectorRetriever:
             if self.min_score is not None:
                 hits = hits.where(F.col("score") >= self.min_score)
         else:
-            hits = search.knn(asked, self.corpus, k, filters=self.filters, min_score=self.min_score)
+            hits = search.knn(asked, self.corpus, k, filters=self.filters, min_score=self.min_score, nan_first=self.nan_first)
         return search.fetch(hits, self.corpus.select("id", "content")).select(*LISTED)
 
 
