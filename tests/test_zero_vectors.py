@@ -16,7 +16,7 @@ from lodestar.operators import pivots as P
 from lodestar.operators import search as S
 
 NAMES = (
-    "e01_knn_documents e05_document_range e09_hybrid_search e10_shape_hits f01_rerank_default f02_bm25_candidates "
+    "d03_blank_vectors e01_knn_documents e05_document_range e09_hybrid_search e10_shape_hits f01_rerank_default f02_bm25_candidates "
     "f03_rerank_overlap flagship_context g01_answer_envelope g01_process_vector g02_minmax g03_fuse_one_source g03_fuse_weighted "
     "g04_fuse_ensemble g05_fuse_cascade"
 ).split()
