@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pieces import cut
 from ..functions.strings import words
 from ..session import durable
 from .search import BLOCK_BYTES, best_rows, hit_batch, hit_schema, merged, scan_blocks, table_topk
@@ -22,6 +23,8 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 BLOCK_PARTS = 4_000_000
+#: Tokens of documents, and cells of the score table, that a task works on at a time.
+RUN_TOKENS, RUN_CELLS = 1 << 18, 1 << 18
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -118,12 +121,13 @@ def _scan_bm25(head: pd.DataFrame, corpus: DataFrame, k: int, mean_length: float
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, starts, owners, weights = sent.value
         wanted = pa.array(names, pa.string())
-        # Rows of the score table are documents: as many at a time as keep it small.
-        step = max(1, BLOCK_PARTS // max(1, len(ids)))
+        # Rows of the score table are documents: as many at a time as keep it and their tokens small.
+        step = max(1, RUN_CELLS // max(1, len(ids)))
         best = None
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, rows in cut(sizes, RUN_TOKENS, step):
+                piece = batch.slice(at, rows)
                 scores = _bm25_scores(piece.column(1), wanted, starts, owners, weights, len(ids), mean_length)
                 part = table_topk(piece.column(0).to_numpy(zero_copy_only=False), scores, k)
                 best = part if best is None else best_rows(pd.concat([best, part], ignore_index=True), k)
