@@ -32,6 +32,13 @@ SQL_FUNCTIONS = (
     RETURN filter(split(t, r'{WS}+'), w -> w <> '')""",
     """CREATE OR REPLACE TEMPORARY FUNCTION vector_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
     RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)""",
+    # The inner array binds the words to a name, so that the windows don't split the text again.
+    """CREATE OR REPLACE TEMPORARY FUNCTION token_window_list(t STRING, size INT, overlap INT)
+    RETURNS ARRAY<STRUCT<chunk_index: INT, text: STRING, start: INT, stop: INT>>
+    RETURN transform(array(text_words(t)), toks -> CASE WHEN size(toks) > 0 THEN
+      transform(sequence(0, size(toks) - 1, token_window_list.size - token_window_list.overlap), (s, i) -> named_struct(
+        'chunk_index', i, 'text', array_join(slice(toks, s + 1, token_window_list.size), ' '), 'start', s, 'stop', least(s + token_window_list.size, size(toks)))) END)[0]""",
+    # Beside a table, Spark joins a table function's rows by the whole text: for large tables take the list as a column, and a LATERAL VIEW of it.
     """CREATE OR REPLACE TEMPORARY FUNCTION token_windows(t STRING, size INT, overlap INT)
     RETURNS TABLE(chunk_index INT, text STRING, start INT, stop INT)
     RETURN SELECT w.* FROM (
@@ -42,6 +49,6 @@ SQL_FUNCTIONS = (
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """``squeeze_text``, ``text_words``, ``vector_dot`` and the table function ``token_windows``."""
+    """``squeeze_text``, ``text_words``, ``vector_dot``, ``token_window_list`` and the table function ``token_windows``."""
     for statement in SQL_FUNCTIONS:
         spark.sql(statement)
