@@ -7,7 +7,9 @@ that set gains is measured. Should many nodes that enter one community at once
 have cost more than they gained, the round is taken back and only one move for
 each community is made, whose gains add up exactly. Then every community is
 refined into connected parts, the parts become weighted nodes, and the rounds
-start again on the smaller graph.
+start again on the smaller graph. Nodes with one neighbour join it before the
+first round: in a best parting they are together, and a hub of many of them is
+one node then.
 
 Weights and degrees are sums of whole numbers, so the same graph and seed give
 the same communities on any cluster. Each round is written to the shared folder; sums are made
@@ -128,15 +130,42 @@ def _alone(nodes: DataFrame) -> DataFrame:
     return stored(nodes.select("u", F.concat(F.col("u"), F.lit("")).alias("c")))
 
 
+def _dealt(names: DataFrame) -> DataFrame:
+    """A table with a row for each name is dealt over the tasks and not broadcast: one after the other, all of them would go through the driver."""
+    return names.hint("merge")
+
+
+def _leaves(ways: DataFrame) -> DataFrame:
+    """(u, to): nodes whose only way leads to ``to``. Of two that have only each other the larger joins the smaller.
+
+    At a resolution of at most 1 no parting loses modularity when a leaf joins its neighbour's community.
+    """
+    sole = stored(ways.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("to")).where("n = 1 and u <> to").select("u", "to"))
+    mutual = sole.where("u < to").join(_dealt(sole.select(F.col("to").alias("u"), F.col("u").alias("to"))), ["u", "to"], "left_semi")
+    return stored(sole.join(mutual, ["u", "to"], "left_anti"))
+
+
+def _without_leaves(ways: DataFrame, nodes: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ways`` and ``nodes`` with the leaves gone into their neighbours, whose degrees take theirs."""
+    ways = ways.join(_dealt(leaves.select("u")), "u", "left_anti").join(_dealt(leaves.select(F.col("u").alias("v"))), "v", "left_anti").select("u", "v", "w")
+    dealt = nodes.join(_dealt(leaves), "u", "left").select(F.coalesce("to", "u").alias("u"), "k", "two_m")
+    return stored(ways), stored(dealt.groupBy("u").agg(F.sum("k").alias("k"), F.max("two_m").alias("two_m")))
+
+
 def _optimised(ways: DataFrame, scope: DataFrame, rounds: int, levels: int, resolution: float, seed: int) -> DataFrame:
     """(name, community_id) over all scopes (name, scope) at once; ``ways`` run inside scopes only."""
     degree = ways.groupBy("u").agg(F.sum("w").alias("k"))
-    nodes = scope.select(F.col("name").alias("u"), "scope").join(degree, "u", "left").select("u", "scope", F.coalesce("k", F.lit(0.0)).alias("k"))
+    nodes = scope.select(F.col("name").alias("u"), "scope").join(_dealt(degree), "u", "left").select("u", "scope", F.coalesce("k", F.lit(0.0)).alias("k"))
     totals = nodes.groupBy("scope").agg(F.greatest(F.sum("k"), F.lit(1.0)).alias("two_m"))
     nodes = stored(nodes.join(totals, "scope").select("u", "k", "two_m"))
-    ways = stored(ways.where("u <> v"))
-    label = _alone(nodes)
     member = scope.select("name", F.col("name").alias("u"))
+    if resolution <= 1.0:
+        leaves = _leaves(ways)
+        ways, nodes = _without_leaves(ways.where("u <> v"), nodes, leaves)
+        member = stored(member.join(_dealt(leaves), "u", "left").select("name", F.coalesce("to", "u").alias("u")))
+    else:
+        ways = stored(ways.where("u <> v"))
+    label = _alone(nodes)
     for level in range(levels):
         graph = _Level(ways, nodes, resolution, seed + 1000 * level)
         label, moved = graph.moves(label, rounds)
@@ -171,7 +200,7 @@ def modular_communities(edges: DataFrame, max_size: int | None = None, rounds: i
     out, level = None, 0
     while True:
         found = _optimised(ways, scope, rounds, levels, resolution, seed + level)
-        rows = found.join(scope, "name").select("name", F.lit(level).alias("level"), "community_id", F.col("scope").alias("parent_id"))
+        rows = found.join(_dealt(scope), "name").select("name", F.lit(level).alias("level"), "community_id", F.col("scope").alias("parent_id"))
         if level:
             # A community that stayed whole is not a level of its own.
             number = rows.groupBy("parent_id").agg(F.min("community_id").alias("_a"), F.max("community_id").alias("_b")).where("_a <> _b").select("parent_id")
@@ -184,7 +213,7 @@ def modular_communities(edges: DataFrame, max_size: int | None = None, rounds: i
         if scope.isEmpty():
             return out
         at = scope.select(F.col("name").alias("u"), F.col("scope").alias("a"))
-        ways = stored(ways.join(at, "u").join(at.select(F.col("u").alias("v"), F.col("a").alias("b")), "v").where("a = b").select("u", "v", "w"))
+        ways = stored(ways.join(_dealt(at), "u").join(_dealt(at.select(F.col("u").alias("v"), F.col("a").alias("b"))), "v").where("a = b").select("u", "v", "w"))
         level += 1
 
 
