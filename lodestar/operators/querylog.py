@@ -42,11 +42,20 @@ def _word_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(found).alias("word"))
 
 
+#: Questions that one task ranks, some 7 rows each; the steps after it go on in the same tasks.
+TASK_QUESTIONS = 1 << 16
+
+
+def _in_tasks(questions: DataFrame) -> DataFrame:
+    """Dealt once by ``question_id``, by their counted number: rows that compress well would otherwise meet in few tasks."""
+    return questions.repartition(max(1, -(-questions.count() // TASK_QUESTIONS)), "question_id")
+
+
 def rank_tables(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables whose name (weight 2) or column names (weight 1) share words with a question.
 
     Words meet in an equi-join, so only matching (question, table) pairs are
-    ever built. A question that matches nothing gets every table with score 0,
+    ever built; the catalogue, which comes from the driver, is sent to the questions. A question that matches nothing gets every table with score 0,
     in catalogue order.
     """
     tables = columns.select("table_name", "table_no").distinct()
@@ -63,7 +72,7 @@ def rank_tables(questions: DataFrame, columns: DataFrame) -> DataFrame:
     every = tables.agg(F.collect_list(F.struct("table_no", "table_name", zero))).scalar()
     # Outer on both sides: a question without any known word keeps one empty row.
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    asked = questions.select("question_id", F.explode_outer(found).alias("word")).join(weights, "word", "left")
+    asked = _in_tasks(questions.select("question_id", "text")).select("question_id", F.explode_outer(found).alias("word")).join(F.broadcast(weights), "word", "left")
     scored = asked.groupBy("question_id", "table_name", "table_no").agg(F.sum("weight").alias("score"))
     hits = F.count("table_name").over(Window.partitionBy("question_id"))
     own = F.array(F.struct("table_no", "table_name", "score"))
@@ -88,7 +97,7 @@ def render_schema(ranked: DataFrame, columns: DataFrame) -> DataFrame:
     blocks = columns.groupBy("table_name").agg(
         F.concat(F.lit("\n- "), F.col("table_name"), F.lit(":\n"), _gathered(F.col("ordinal"), line, "")).alias("block")
     )
-    return ranked.join(blocks, "table_name").groupBy("question_id").agg(
+    return ranked.join(F.broadcast(blocks), "table_name").groupBy("question_id").agg(
         _gathered(F.col("rank"), F.col("block"), "").alias("table_info")
     )
 
@@ -99,7 +108,7 @@ def render_relations(ranked: DataFrame, relations: DataFrame) -> DataFrame:
         F.lit("- "), "source_table", F.lit("."), "source_column", F.lit(" -> "), "target_table", F.lit("."), "target_column", F.lit("\n")
     )
     sides = relations.select(line.alias("line"), F.explode(F.array_distinct(F.array("source_table", "target_table"))).alias("table_name"))
-    hit = ranked.select("question_id", "table_name").join(sides, "table_name").select("question_id", "line").distinct()
+    hit = ranked.select("question_id", "table_name").join(F.broadcast(sides), "table_name").select("question_id", "line").distinct()
     return hit.groupBy("question_id").agg(
         F.concat(F.lit("TABLE RELATIONSHIPS:\n"), _gathered(F.col("line"), F.col("line"), "")).alias("relations_info")
     )
