@@ -85,7 +85,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), _tokens(F.col(text_col)).alias("tokens"))
     schema = _LIST.format(id=base.schema["id"].dataType.simpleString())
-    rows = durable(base.mapInArrow(_lists(min(block_docs, BLOCK_DOCS)), schema))
+    rows = stored(base.mapInArrow(_lists(min(block_docs, BLOCK_DOCS)), schema), "index-rows")
     lists = rows.where("term is not null").withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
     lists = lists.select("part", "term", "block", "n", "most", "shortest", "places", "counts").repartition("part", F.pmod("block", F.lit(16)))
     lists.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/lists")
@@ -133,8 +133,9 @@ class TextIndex:
         return self.lists.where(F.col("part").isin(parts))
 
     def hits(self, queries: DataFrame, k: int, query_text: str = "text") -> DataFrame:
-        terms = durable(self.weighted(queries, query_text))
-        bounds = durable(self.bounds(terms))
+        # Written tables have the size of their files: small ones are sent to the lists, which then stay where they are.
+        terms = stored(self.weighted(queries, query_text), "terms")
+        bounds = stored(self.bounds(terms), "bounds")
         order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), F.col("block"))
         first = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FIRST).select("query_id", "block")
         found = durable(merged(self._scored(first, terms, k), k))
@@ -150,9 +151,9 @@ class TextIndex:
 
     def _scored(self, pairs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
         """The best k of each block for each (query_id, block) given: lists and queries of a block meet in one task."""
-        pairs = durable(pairs)
+        pairs = stored(pairs, "pairs")
         asked = pairs.join(terms, "query_id", "left")
-        wanted = asked.where("term is not null").select("block", "term").distinct()
+        wanted = stored(asked.where("term is not null").select("block", "term").distinct(), "wanted")
         lists = self._of(terms).join(wanted, ["block", "term"], "left_semi").select("block", "term", "places", "counts")
         blocks = self.blocks.join(pairs.select("block").distinct(), "block", "left_semi")
         right = lists.unionByName(blocks, allowMissingColumns=True)
