@@ -43,16 +43,37 @@ def grid(tokens: np.ndarray, bounds: np.ndarray, start: int, end: int) -> tuple[
     return np.concatenate((before, own), axis=1), target.reshape(-1, BLOCK), scored.reshape(-1, BLOCK), text
 
 
+#: Exponents up to which, and sums from which, exp needs no shift in single precision.
+_HIGHEST, _LEAST = 60, 1e-30
+
+
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exp(x - shift), its sums over the last axis, shift); the shift is 0 where that will do."""
+    flat, ones = x.reshape(-1, x.shape[-1]), np.ones(x.shape[-1], x.dtype)
+    if x.size and x.max() < _HIGHEST:
+        found = np.exp(flat)
+        sums = found @ ones
+        if sums.min() > _LEAST:
+            return found.reshape(x.shape), sums.reshape(x.shape[:-1]), 0.0
+    shift = x.max(axis=-1)
+    found = np.exp(flat - shift.reshape(-1, 1))
+    return found.reshape(x.shape), (found @ ones).reshape(x.shape[:-1]), shift
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+    found, sums, _ = _exponents(x)
+    found /= sums[..., None]
+    return found
 
 
-def _mask() -> np.ndarray:
-    """What each token of a block may not see of its window."""
-    return np.where(np.arange(2 * BLOCK)[None, :] > BLOCK + np.arange(BLOCK)[:, None], _FUTURE, np.float32(0))
+def _sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the rows (``WIDTH`` wide) that stand at each of ``count`` places."""
+    cells = at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    return np.bincount(cells.reshape(-1), weights=rows.reshape(-1), minlength=count * WIDTH).reshape(count, WIDTH).astype(rows.dtype)
+
+
+#: What each token of a block may not see of its window.
+_MASK = np.where(np.arange(2 * BLOCK)[None, :] > BLOCK + np.arange(BLOCK)[:, None], _FUTURE, np.float32(0))
 
 
 #: Neighbours of an id are counted in so many buckets on either side.
@@ -66,8 +87,9 @@ def neighbours(near: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, seed: i
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     inner = np.flatnonzero(owner[1:] == owner[:-1])
     left, right = tokens[inner].astype(np.int64), tokens[inner + 1].astype(np.int64)
-    near[:, :SIDES] += np.bincount(right * SIDES + fold[left], minlength=size * SIDES).reshape(size, SIDES)
-    near[:, SIDES:] += np.bincount(left * SIDES + fold[right], minlength=size * SIDES).reshape(size, SIDES)
+    flat = near.reshape(-1)  # a view
+    np.add.at(flat, right * (2 * SIDES) + fold[left], np.float32(1))
+    np.add.at(flat, left * (2 * SIDES) + (SIDES + fold[right]), np.float32(1))
 
 
 def token_classes(near: np.ndarray, times: np.ndarray, end: int) -> np.ndarray:
@@ -105,56 +127,91 @@ class Attention:
             "near": np.zeros((BLOCK, 2 * BLOCK), np.float32), "out": small(WIDTH, CLASSES), "bias": np.zeros(CLASSES, np.float32),
         }
 
-    def gradients(self, window: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of the scored tokens' classes, and its slopes."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        keyed = p["embed"][window]
-        own = keyed[:, BLOCK:]
-        q, k, v = own @ p["query"], keyed @ p["key"], keyed @ p["value"]
-        weights = _softmax(q @ k.transpose(0, 2, 1) * scale + p["near"] + _mask())
-        mixed = own + weights @ v
-        chance = _softmax(mixed @ p["out"] + p["bias"])
-        wanted = self.classes[target]
-        total = max(1, scored.sum())
-        rows = np.arange(chance.shape[0])[:, None], np.arange(BLOCK)[None, :], wanted
-        loss = float(-(np.log(chance[rows] + 1e-30) * scored).sum() / total)
+    def _slopes(self, window: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(mean loss of the scored tokens' classes, ids met, slopes of their embeddings, slopes of the rest).
+
+        Queries, keys and values are made once for each distinct id.
+        """
+        p, scale, count = self.p, np.float32(WIDTH**-0.5), len(window)
+        met = np.zeros(self.size, bool)
+        met[window] = True
+        ids = np.flatnonzero(met)
+        place = np.empty(self.size, np.int64)
+        place[ids] = np.arange(len(ids))
+        at = place[window]
+        embed, both = p["embed"][ids], np.concatenate((p["key"], p["value"]), axis=1)
+        tokens = np.take(embed, at, axis=0)
+        own = np.ascontiguousarray(tokens[:, BLOCK:])
+        keyed = np.take(embed @ both, at, axis=0)
+        k, v = keyed[..., :WIDTH], keyed[..., WIDTH:]
+        q = np.take(embed @ p["query"] * scale, at[:, BLOCK:], axis=0)
+        weights = q @ k.transpose(0, 2, 1)
+        weights += p["near"] + _MASK
+        weights = _softmax(weights)
+        taken = weights @ v
+        mixed = (own + taken).reshape(-1, WIDTH)
+        logit = mixed @ p["out"]
+        logit += p["bias"]
+        chance = _softmax(logit)
+        cell = np.arange(0, chance.size, CLASSES) + self.classes[target].reshape(-1)
+        part = scored.reshape(-1) / np.float32(max(1, scored.sum()))
+        loss = float(-(np.log(chance.reshape(-1)[cell] + 1e-30) * part).sum())
         d_logit = chance
-        d_logit[rows] -= 1
-        d_logit *= (scored / np.float32(total))[..., None].astype(np.float32)
-        d_mixed = d_logit @ p["out"].T
-        d_weight = d_mixed @ v.transpose(0, 2, 1)
-        d_score = weights * (d_weight - (d_weight * weights).sum(axis=-1, keepdims=True))
-        d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q * scale, weights.transpose(0, 2, 1) @ d_mixed
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        d_keyed = d_k @ p["key"].T + d_v @ p["value"].T
-        d_keyed[:, BLOCK:] += d_mixed + d_q @ p["query"].T
-        d_embed = np.zeros_like(p["embed"])
-        ids = window.reshape(-1)
-        order = np.argsort(ids, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-        d_embed[ids[order][cuts]] = np.add.reduceat(flat(d_keyed)[order], cuts, axis=0)
-        return loss, {
-            "embed": d_embed, "query": flat(own).T @ flat(d_q), "key": flat(keyed).T @ flat(d_k), "value": flat(keyed).T @ flat(d_v),
-            "near": d_score.sum(axis=0), "out": flat(mixed).T @ flat(d_logit), "bias": flat(d_logit).sum(axis=0),
+        d_logit.reshape(-1)[cell] -= 1
+        d_logit *= part[:, None]
+        d_mixed = (d_logit @ p["out"].T).reshape(count, BLOCK, WIDTH)
+        d_score = d_mixed @ v.transpose(0, 2, 1)
+        d_score -= np.einsum("bij,bij->bi", d_mixed, taken)[..., None]
+        d_score *= weights
+        d_q = (d_score @ k).reshape(-1, WIDTH)
+        d_q *= scale
+        d_keyed = np.empty_like(keyed)
+        np.matmul(d_score.transpose(0, 2, 1), q, out=d_keyed[..., :WIDTH])
+        np.matmul(weights.transpose(0, 2, 1), d_mixed, out=d_keyed[..., WIDTH:])
+        d_keyed = d_keyed.reshape(-1, 2 * WIDTH)
+        d_tokens = (d_keyed @ both.T).reshape(tokens.shape)
+        d_tokens[:, BLOCK:] += d_mixed
+        d_tokens[:, BLOCK:] += (d_q @ p["query"].T).reshape(own.shape)
+        d_both = tokens.reshape(-1, WIDTH).T @ d_keyed
+        return loss, ids, _sums(at, d_tokens, len(ids)), {
+            "query": own.reshape(-1, WIDTH).T @ d_q, "key": d_both[:, :WIDTH], "value": d_both[:, WIDTH:],
+            "near": d_score.sum(axis=0), "out": mixed.T @ d_logit, "bias": d_logit.sum(axis=0),
         }
 
+    def gradients(self, window: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss of the scored tokens' classes, and its slopes."""
+        loss, ids, rows, slopes = self._slopes(window, target, scored)
+        embed = np.zeros_like(self.p["embed"])
+        embed[ids] = rows
+        return loss, {"embed": embed, **slopes}
+
     def fit(self, windows, rate: float, batch: int = 256, seed: int = 9) -> tuple[np.ndarray, int]:
-        """Adam over batches of the windows that ``windows`` hands out; returns how often each id was met, and the scored tokens."""
+        """Adam over batches of the windows that ``windows`` hands out; returns how often each id was met, and the scored tokens.
+
+        An embedding, and what Adam keeps of it, changes in the batches that meet its id.
+        """
         draw, step = np.random.default_rng(seed), 0
         met, tokens = np.zeros(self.size, np.int64), 0
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+
+        def moved(one, two, slope, speed):
+            one += np.float32(0.1) * (slope - one)
+            two += np.float32(0.01) * (slope * slope - two)
+            return np.float32(speed) * one / (np.sqrt(two) + np.float32(1e-6))
+
         for window, target, scored in windows:
             met += np.bincount(window.reshape(-1), minlength=self.size)
             tokens += int(scored.sum())
             for pick in np.array_split(draw.permutation(len(window)), max(1, -(-len(window) // batch))):
-                _, slopes = self.gradients(window[pick], target[pick], scored[pick])
+                _, ids, rows, slopes = self._slopes(window[pick], target[pick], scored[pick])
                 step += 1
                 speed = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                one, two = first["embed"][ids], second["embed"][ids]
+                self.p["embed"][ids] -= moved(one, two, rows, speed)
+                first["embed"][ids], second["embed"][ids] = one, two
                 for name, slope in slopes.items():
-                    first[name] += np.float32(0.1) * (slope - first[name])
-                    second[name] += np.float32(0.01) * (slope * slope - second[name])
-                    self.p[name] -= np.float32(speed) * first[name] / (np.sqrt(second[name]) + np.float32(1e-6))
+                    self.p[name] -= moved(first[name], second[name], slope, speed)
         return met, tokens
 
     def rows(self) -> np.ndarray:
@@ -175,34 +232,33 @@ class Attention:
         within = np.bincount(self.classes[: self.size - 1], weights=counts + 1, minlength=CLASSES)
         share = np.zeros(self.size)
         share[:-1] = np.log10((counts + 1) / within[self.classes[: self.size - 1]])
-        return Scorer(p["embed"] @ p["query"] * scale, p["embed"] @ p["key"], p["embed"] @ p["value"], p["embed"], p["near"] + _mask(), p["out"], p["bias"], self.classes, share)
+        return Scorer(p["embed"] @ p["query"] * scale, p["embed"] @ np.concatenate((p["key"], p["value"]), axis=1), p["embed"], p["near"] + _MASK, p["out"], p["bias"], self.classes, share)
 
 
 class Scorer:
-    def __init__(self, query, key, value, embed, near, out, bias, classes, share):
-        self.query, self.key, self.value, self.embed = query, key, value, embed
+    def __init__(self, query, keyed, embed, near, out, bias, classes, share):
+        self.query, self.keyed, self.embed = query, keyed, embed
         self.near, self.out, self.bias, self.classes, self.share = near, out, bias, classes, share
 
-    def scores(self, tokens: np.ndarray, bounds: np.ndarray, step: int = 512) -> np.ndarray:
+    def scores(self, tokens: np.ndarray, bounds: np.ndarray, step: int = 256) -> np.ndarray:
         """log10 probability of each text, its end included."""
         size = len(self.classes)
         window, target, scored, text = grid(tokens, bounds, size - 1, size - 2)
         found = np.empty(len(window))
         for i in range(0, len(window), step):
-            ids, wanted = window[i : i + step], target[i : i + step]
+            ids, wanted = window[i : i + step], target[i : i + step].reshape(-1)
             own = ids[:, BLOCK:]
-            weights = np.matmul(self.query[own], self.key[ids].transpose(0, 2, 1))
+            keyed = np.take(self.keyed, ids, axis=0)
+            weights = np.matmul(np.take(self.query, own, axis=0), keyed[..., :WIDTH].transpose(0, 2, 1))
             weights += self.near
-            weights -= weights.max(axis=-1, keepdims=True)
-            np.exp(weights, out=weights)
-            mixed = np.matmul(weights, self.value[ids])
-            mixed /= weights.sum(axis=-1, keepdims=True)
-            mixed += self.embed[own]
+            weights, sums, _ = _exponents(weights)
+            mixed = np.matmul(weights, keyed[..., WIDTH:])
+            mixed /= sums[..., None]
+            mixed += np.take(self.embed, own, axis=0)
             logit = mixed.reshape(-1, WIDTH) @ self.out
             logit += self.bias
-            logit -= logit.max(axis=-1, keepdims=True)
-            picked = np.take_along_axis(logit, self.classes[wanted].reshape(-1, 1), axis=1)[:, 0]
-            np.exp(logit, out=logit)
-            log = (picked - np.log(logit.sum(axis=-1))) / np.float32(np.log(10)) + self.share[wanted].reshape(-1)
-            found[i : i + step] = np.where(scored[i : i + step].reshape(-1), log, 0).reshape(-1, BLOCK).sum(axis=1)
+            picked = logit.reshape(-1)[np.arange(0, logit.size, CLASSES) + self.classes[wanted]]
+            _, sums, shift = _exponents(logit)
+            log = (picked - shift - np.log(sums)) / np.float32(np.log(10)) + self.share[wanted]
+            found[i : i + step] = np.where(scored[i : i + step], log.reshape(-1, BLOCK), 0).sum(axis=1)
         return np.bincount(text, weights=found, minlength=len(bounds) - 1)

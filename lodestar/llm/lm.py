@@ -10,6 +10,8 @@ task met the id) is summed on Spark. Only sums as large as the model reach the d
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import SIDES, WIDTH, Attention, grid, neighbours, token_classes
-from .base import durable
+from .base import durable, stored
 from .classifier import remainder
 from .words import SPACES, Words, pieces, spelled
 
@@ -33,6 +35,8 @@ LEAST_WORDS = 2_000_000
 TASK_WORDS = 1_000_000
 #: Groups over which rows of the model are summed.
 SUMS = 512
+#: Ids that a task of the fit, or of the scores, lays out at a time, about.
+RUN = 1 << 16
 #: Words whose ids, or counts, a task keeps before it starts anew.
 MEMO = 400_000
 
@@ -55,34 +59,39 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # sorted; ids of the word known[i] are flat[start[i] : start[i] + size[i]]
+        self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.bounds = [0]
 
-    def _add(self, hashed: list[int], texts: list[str]) -> None:
+    def _add(self, hashed: np.ndarray, texts: list[str]) -> None:
+        """Words with sorted hashes, none of them known."""
         found = _tokenizer(self.path).encode(texts, num_threads=1)
-        sizes = [len(x) for x in found]
-        total = sum(sizes)
-        while self.used + total > len(self.flat):
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = self.used + np.cumsum(sizes)
+        while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        for h, size in zip(hashed, sizes):
-            self.slot[h] = len(self.bounds) - 1
-            self.used += size
-            self.bounds.append(self.used)
+        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32, ends[-1] - self.used)
+        self.used = int(ends[-1])
+        at = np.searchsorted(self.known, hashed)
+        self.known = np.insert(self.known, at, hashed)
+        self.start, self.size = np.insert(self.start, at, ends - sizes), np.insert(self.size, at, sizes)
+
+    def _places(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, hashed)
+        at[at == len(self.known)] = 0
+        return at, self.known[at] == hashed if len(self.known) else np.zeros(len(hashed), bool)
 
     def ids(self, words: Words, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds by text)."""
-        if len(self.slot) > MEMO:
+        if len(self.known) > MEMO:
             self._clear()
         unique, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.slot]
-        if new:
-            self._add([keys[i] for i in new], spelled(words, first[new]).to_pylist())
-        slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))
-        bounds = np.array(self.bounds)
-        start, size = bounds[slots][which], (bounds[slots + 1] - bounds[slots])[which]
+        at, there = self._places(unique)
+        if not there.all():
+            new = np.flatnonzero(~there)
+            self._add(unique[new], spelled(words, first[new]).to_pylist())
+            at, _ = self._places(unique)
+        start, size = self.start[at][which], self.size[at][which]
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.flat[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
         return ids, ends[words.first]
@@ -128,17 +137,28 @@ def _count_tokens(path: str, size: int):
     return run
 
 
-_KIND = "row long, word string, times long, doc_id long, n_tokens long, known long, logs double, score double"
+_KIND = "row long, word string, times long, doc_id long, n_tokens long, known long, logs double, part int, ids binary"
+
+
+def _kept(size: int):
+    """How ids are stored."""
+    return np.uint16 if size <= 1 << 16 else np.int32
+
+
+def _binary(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of an array, as bytes."""
+    offsets = bounds.astype(np.int64) * rows.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
-def _score(shared, path: str):
-    """Of each text a row with what frequent words and the model give, and a row for each other word."""
+def _split(shared, path: str, size: int):
+    """Of each text a row with its ids and what frequent words give, and a row for each other word."""
 
     def run(batches):
-        scorer, frequent, weight, end_weight = shared.value
+        frequent, weight, end_weight = shared.value
         subwords, number = Subwords(path), TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, part = batch.column("doc_id"), batch.column("part")
             for row, words in pieces(batch.column("text"), SPACES):
                 texts, hashed, owner = len(words.first) - 1, words.hashes(), words.owner()
                 at = np.searchsorted(frequent, hashed)
@@ -147,13 +167,12 @@ def _score(shared, path: str):
                 logs = np.bincount(owner[common], weights=weight[at[common]], minlength=texts) + (end_weight or 0.0)
                 known = np.bincount(owner[common], minlength=texts) + (end_weight is not None)
                 tokens, bounds = subwords.ids(words, hashed)
-                score = scorer.scores(tokens, bounds)
                 rows = number + np.arange(texts)
                 number += texts
                 yield pa.record_batch({
-                    "row": pa.array(rows), "word": pa.array([f" {r}" for r in rows], pa.string()),  # with a space: equal to no word
-                    "times": pa.nulls(texts, pa.int64()), "doc_id": ids.slice(row, texts).cast(pa.int64()), "n_tokens": pa.array(words.counts + 1, pa.int64()),
-                    "known": pa.array(known, pa.int64()), "logs": pa.array(logs), "score": pa.array(score),
+                    "row": pa.array(rows), "word": pa.nulls(texts, pa.string()), "times": pa.nulls(texts, pa.int64()),
+                    "doc_id": ids.slice(row, texts).cast(pa.int64()), "n_tokens": pa.array(words.counts + 1, pa.int64()),
+                    "known": pa.array(known, pa.int64()), "logs": pa.array(logs), "part": part.slice(row, texts), "ids": _binary(tokens.astype(_kept(size)), bounds),
                 })
                 rare = np.flatnonzero(~common)
                 order = rare[np.lexsort((hashed[rare], owner[rare]))]
@@ -167,12 +186,38 @@ def _score(shared, path: str):
                     k = len(some)
                     yield pa.record_batch({
                         "row": pa.array(rows[owner[order[some]]]), "word": spelled(words, order[some]).cast(pa.string()), "times": pa.array(times[i : i + 50_000].astype(np.int64)),
-                        "doc_id": pa.nulls(k, pa.int64()), "n_tokens": pa.nulls(k, pa.int64()), "known": pa.nulls(k, pa.int64()), "logs": pa.nulls(k, pa.float64()), "score": pa.nulls(k, pa.float64()),
+                        "doc_id": pa.nulls(k, pa.int64()), "n_tokens": pa.nulls(k, pa.int64()), "known": pa.nulls(k, pa.int64()), "logs": pa.nulls(k, pa.float64()),
+                        "part": pa.nulls(k, pa.int32()), "ids": pa.nulls(k, pa.binary()),
                     })
 
     return run
 
 
+def _token_runs(batches, size: int):
+    """(batch, number of the first row, ids, bounds by text) for runs of stored texts of about ``RUN`` ids."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column("ids").cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data, row = column.buffers()[2], 0
+        while row < len(column):
+            wide = np.dtype(_kept(size)).itemsize
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + RUN * wide, "right")) - 1)
+            here = np.frombuffer(data, np.uint8)[ends[row] : ends[stop]] if data is not None else np.zeros(0, np.uint8)
+            yield batch, row, here.copy().view(_kept(size)).astype(np.int32), (ends[row : stop + 1] - ends[row]) // wide
+            row = stop
+
+
+def _score(shared, size: int):
+    def run(batches):
+        scorer = shared.value
+        for batch, row, tokens, bounds in _token_runs(batches, size):
+            yield pa.record_batch({"row": batch.column("row").slice(row, len(bounds) - 1), "score": pa.array(scorer.scores(tokens, bounds))})
+
+    return run
+
+
 _PART = "id long, weight double, data binary"
 
 
@@ -203,20 +248,12 @@ def _summed(parts: DataFrame, size: int, width: int) -> tuple[np.ndarray, np.nda
     return weight, rows
 
 
-def _token_texts(batches, path: str):
-    """(ids, bounds by text) of runs of texts."""
-    subwords = Subwords(path)
-    for batch in batches:
-        for _, words in pieces(batch.column("text"), SPACES):
-            yield subwords.ids(words, words.hashes())
-
-
-def _near(path: str, size: int):
+def _near(size: int):
     """Of each id how often it stands, and its neighbours."""
 
     def run(batches):
         near, times = np.zeros((size, 2 * SIDES), np.float32), np.zeros(size, np.int64)
-        for tokens, bounds in _token_texts(batches, path):
+        for _, _, tokens, bounds in _token_runs(batches, size):
             neighbours(near, tokens, bounds)
             times += np.bincount(tokens, minlength=size)
         seen = np.flatnonzero(times)
@@ -227,14 +264,14 @@ def _near(path: str, size: int):
     return run
 
 
-def _learn(shared, path: str, rate: float):
+def _learn(shared, rate: float):
     """One task's parameters after its rows, times their weight."""
 
     def run(batches):
         model: Attention = shared.value
         model.p = {k: v.copy() for k, v in model.p.items()}
         start = model.rows()
-        grids = (grid(tokens, bounds, model.size - 1, model.size - 2)[:3] for tokens, bounds in _token_texts(batches, path))
+        grids = (grid(tokens, bounds, model.size - 1, model.size - 2)[:3] for _, _, tokens, bounds in _token_runs(batches, model.size))
         met, tokens = model.fit(grids, rate)
         rows = model.rows()
         shared.value.put(start)  # other tasks of this worker start from the same
@@ -247,12 +284,26 @@ def _learn(shared, path: str, rate: float):
     return run
 
 
+def _texts(docs: DataFrame, path: str, size: int, frequent=None) -> DataFrame:
+    """Texts with their ids, and their rare words, as written by ``_split``."""
+    nothing = (np.zeros(0, np.uint64), np.zeros(0), None)
+    return docs.mapInArrow(_split(docs.sparkSession.sparkContext.broadcast(frequent or nothing), path, size), _KIND)
+
+
+def _parts(docs: DataFrame, training=None) -> DataFrame:
+    """Texts with a number from 0 to 15, of which a round of the fit takes some; -1 where not to be learned."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).cast("int")
+    return docs.select("doc_id", "text", (part if training is None else F.when(training, part).otherwise(F.lit(-1))).alias("part"))
+
+
 def _fit(docs: DataFrame, path: str, words: int) -> Attention:
-    """Train on all rows of ``docs``, which have ``words`` words."""
+    """Train on all rows of ``docs``, texts or what ``_split`` made of them, which have ``words`` words."""
     size = _tokenizer(path).get_piece_size() + 2
     context = docs.sparkSession.sparkContext
-    docs = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).alias("part"))
-    times, near = _summed(docs.mapInArrow(_near(path, size), _PART), size, 2 * SIDES)
+    if "ids" not in docs.columns:
+        docs = stored(_texts(_parts(docs), path, size), "ids")
+    docs = docs.where("ids is not null and part >= 0").select("ids", "part")
+    times, near = _summed(docs.mapInArrow(_near(size), _PART), size, 2 * SIDES)
     model = Attention(size, token_classes(near, times, size - 2))
     dealt = docs.coalesce(max(context.defaultParallelism, words // TASK_WORDS))
     again = min(10, -(-LEAST_WORDS // max(1, words)) - 1) if words else 0
@@ -260,7 +311,7 @@ def _fit(docs: DataFrame, path: str, words: int) -> Attention:
         shared = context.broadcast(model)
         some = dealt.where((F.col("part") >= low) & (F.col("part") < high))
         rows = model.rows()
-        weight, total = _summed(some.mapInArrow(_learn(shared, path, rate), _PART), len(rows), WIDTH)
+        weight, total = _summed(some.mapInArrow(_learn(shared, rate), _PART), len(rows), WIDTH)
         met = weight > 0
         rows[met] = total[met] / weight[met, None]
         model.put(rows)
@@ -300,36 +351,40 @@ def lm_scores(docs: DataFrame, training=None, tokenizer: str = TOKENIZER) -> Dat
     model is untrained. The model, not the counts, depends slightly on how rows are
     dealt over tasks. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    context = docs.sparkSession.sparkContext
+    if training is not None:
+        training = F.coalesce(training, F.lit(False))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    context, size = docs.sparkSession.sparkContext, _tokenizer(tokenizer).get_piece_size() + 2
     learned = docs if training is None else docs.where(training)
     counts = durable(learned.select("text").mapInArrow(_count_words, "word string, times long").groupBy("word").agg(F.sum("times").alias("c")))
     ends = learned.count()
     found = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (found[0] or 0) + ends, found[1] + (ends > 0)
 
-    model = _fit(learned, tokenizer, total - ends)
-    token_counts = np.zeros(model.size - 1)
-    of = counts.mapInArrow(_count_tokens(tokenizer, model.size - 1), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    token_counts = np.zeros(size - 1)
+    of = counts.mapInArrow(_count_tokens(tokenizer, size - 1), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     for row in of.collect():  # a row for each id of the tokenizer
         token_counts[row["token"]] = row["c"]
-    token_counts[model.size - 2] = ends
+    token_counts[size - 2] = ends
 
     top = _frequent(counts)
     hashed = [words.hashes() for _, words in pieces(pa.array([r["word"] for r in top], pa.string()), SPACES)]
     hashed = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
     order = np.argsort(hashed)
     weight = np.log10(np.array([r["c"] for r in top], float) + 1)
-    shared = context.broadcast((model.freeze(token_counts), hashed[order], weight[order], np.log10(ends + 1) if ends else None))
-
-    scored = docs.mapInArrow(_score(shared, tokenizer), _KIND)
-    joined = scored.join(counts, "word", "left")
-    seen = F.when(F.col("c").isNotNull(), F.col("times"))
-    out = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("known", F.lit(0))) + F.coalesce(F.sum(seen), F.lit(0))).alias("n_known"),
-        (F.sum(F.coalesce("logs", F.lit(0.0))) + F.coalesce(F.sum(seen * F.log10(F.col("c") + 1)), F.lit(0.0))).alias("logs"),
-        F.max("score").alias("score"),
+    frequent = (hashed[order], weight[order], np.log10(ends + 1) if ends else None)
+
+    rows = stored(_texts(_parts(docs, training), tokenizer, size, frequent), "ids")  # texts are looked up once; the fit and the scores read their ids
+    model = _fit(rows, tokenizer, total - ends)
+    scores = rows.where("ids is not null").select("row", "ids").mapInArrow(_score(context.broadcast(model.freeze(token_counts)), size), "row long, score double")
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = rows.where("ids is not null").select("row", "doc_id", "n_tokens", "known", "logs", none("double").alias("score"))
+    scores = scores.select("row", none("long"), none("long"), none("long"), none("double"), "score")
+    seen = rows.where("ids is null").select("row", "word", "times").join(counts, "word")
+    seen = seen.select("row", none("long"), none("long"), "times", F.col("times") * F.log10(F.col("c") + 1), none("double"))
+    out = texts.union(scores).union(seen).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("logs").alias("logs"), F.max("score").alias("score"),
     )
     each = float(np.log10(total + distinct + 1))
     return out.select(

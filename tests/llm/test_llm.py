@@ -377,6 +377,37 @@ def test_attention_gradients_and_windows():
         assert abs(scorer.scores(tokens[a:b], np.array([0, b - a]))[0] - together[i]) < 1e-6
 
 
+def test_ids_of_texts_are_kept(spark, monkeypatch):
+    """Texts are looked up once: what is written has each text's ids, also when the memo is emptied."""
+    monkeypatch.setattr(lm, "MEMO", 3)
+    path, texts = lm.TOKENIZER, ["the cat sat on a mat", "", "The cat  zyzzyva", "mat mat cat", LONG]
+    size = lm._tokenizer(path).get_piece_size() + 2
+    wanted = [[i for w in SPACED.findall(t.translate(LOWER)) for i in lm._tokenizer(path).encode(w)] for t in texts]
+    subwords, got = lm.Subwords(path), []
+    for t in texts:
+        for _, words in lm.pieces(pa.array([t]), lm.SPACES):
+            ids, bounds = subwords.ids(words, words.hashes())
+            got.append(ids.tolist())
+    assert got == wanted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = lm._texts(lm._parts(docs), path, size).where("ids is not null").toArrow().to_batches()
+    kept = [(b.column("doc_id")[row + i].as_py(), ids[x:y].tolist()) for b, row, ids, at in lm._token_runs(rows, size) for i, (x, y) in enumerate(zip(at[:-1], at[1:]))]
+    assert sorted(kept) == list(enumerate(wanted))
+
+
+def test_steps_of_met_ids_only():
+    """A batch moves the embeddings of its own ids; large exponents and tiny sums are shifted."""
+    model = attention.Attention(1000, np.zeros(1000, np.int32))
+    start = model.p["embed"].copy()
+    grid = attention.grid(np.array([3, 4, 3, 5], np.int32), np.array([0, 4]), 999, 998)[:3]
+    _, ids, rows, _ = model._slopes(*grid)
+    assert list(ids) == [3, 4, 5, 999] and rows.shape == (4, attention.WIDTH)
+    model.fit([grid, grid], 0.01)
+    assert set(np.flatnonzero((model.p["embed"] != start).any(axis=1))) <= {3, 4, 5, 999}
+    x = np.array([[500.0, 499.0], [-500.0, -500.0]], np.float32)
+    assert np.allclose(attention._softmax(x.copy()), [[0.7310586, 0.26894143], [0.5, 0.5]])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
