@@ -61,12 +61,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``v``, ``component``: for each vertex of edges (``a``, ``b``) the smallest one it is connected with.
 
-    Each round writes its edges to the checkpoint folder. Every partition of them is
-    contracted by itself first, which is all there is to do where one holds them all. The end is reached when
-    they are stars: each vertex has one edge down, to one that has none.
-    Self-loops and repeated edges do no harm; an empty table gives an empty one.
+    Edges that one partition holds are contracted there at once. Of more, each round
+    writes its edges to the checkpoint folder, every partition of them is contracted by
+    itself first, and the end is reached when they are stars: each vertex has one edge
+    down, to one that has none. Self-loops and repeated edges do no harm; an empty table
+    gives an empty one.
     """
     now = durable(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    if now.count() <= EDGES_PER_PARTITION:
+        now = durable(now.coalesce(1).mapInArrow(_contracted, "a long, b long"))
+        return now.select(F.col("a").alias("v"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
     while True:
         ends = now.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("b", F.lit(0), F.lit(1)))
         degrees = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up"))

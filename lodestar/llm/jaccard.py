@@ -49,6 +49,8 @@ POSTINGS = 1 << 17
 GONE = 1 << 19
 #: Bits of a set's parity map: each shingle flips one, so two maps differ in no more bits than the sets in shingles.
 MAP_WORDS = 16
+#: Bits of a wide map for each shingle, at least; of unlike sets it differs in about 0.4 bits for each shingle of both.
+WIDE = 1
 #: Documents to be read again are found through a bit map of this many bits, whatever their number.
 MAP_BITS = 24
 
@@ -79,29 +81,49 @@ def _parity(found: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide(found: np.ndarray) -> bytes:
+    """A parity map that grows with the set, a power of two of bits; half as wide a one is its halves' XOR."""
+    bits = 64 * MAP_WORDS
+    while bits < WIDE * len(found):
+        bits *= 2
+    flips = np.bincount((found >> np.uint64(32)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(left: bytes, right: bytes) -> int:
+    """Bits in which two wide maps differ: at most the shingles that are in one of the sets only."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (left, right))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _profile(size: int):
     """Per document its set's size, name and parity map; per task how full the buckets are."""
 
     def run(batches):
         crowd = np.zeros(CROWD_BUCKETS, np.uint32)
         for batch in batches:
-            names, sizes, maps = [], [], []
+            names, sizes, maps, wide = [], [], [], []
             for _, words in pieces(batch.column("text"), SPACES):
                 for found in sorted_sets(words, size):
                     sizes.append(len(found))
                     names.append(_node(found) if len(found) else None)
                     maps.append(_parity(found))
+                    wide.append(_wide(found) if len(found) else None)
                     np.add.at(crowd, (found & np.uint64(CROWD_BUCKETS - 1)).astype(np.int64), 1)
             rows = len(names)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").cast(pa.int64()), "n": pa.array(sizes, pa.int64()), "node": pa.array(names, pa.int64()),
-                "map": pa.array(maps, pa.list_(pa.int64())), "slice": pa.nulls(rows, pa.int32()), "crowd": pa.nulls(rows, pa.binary()),
+                "map": pa.array(maps, pa.list_(pa.int64())), "wide": pa.array(wide, pa.binary()), "slice": pa.nulls(rows, pa.int32()), "crowd": pa.nulls(rows, pa.binary()),
             })
         parts = crowd.reshape(CROWD_SLICES, -1)
         full = [i for i in range(CROWD_SLICES) if parts[i].any()]
         yield pa.record_batch({
             "doc_id": pa.nulls(len(full), pa.int64()), "n": pa.nulls(len(full), pa.int64()), "node": pa.nulls(len(full), pa.int64()),
-            "map": pa.nulls(len(full), pa.list_(pa.int64())), "slice": pa.array(full, pa.int32()), "crowd": pa.array([_squeeze(parts[i]) for i in full], pa.binary()),
+            "map": pa.nulls(len(full), pa.list_(pa.int64())), "wide": pa.nulls(len(full), pa.binary()), "slice": pa.array(full, pa.int32()), "crowd": pa.array([_squeeze(parts[i]) for i in full], pa.binary()),
         })
 
     return run
@@ -352,25 +374,42 @@ def _verify(percent: int):
     return run
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids that are similar.
+def _near(percent: int):
+    """Pairs whose wide maps differ in no more bits than similar sets do in shingles."""
 
-    Only documents in a pair are tokenised again: a bit map of fixed size, small
-    enough to be sent to all tasks, drops the others as the table is scanned.
-    """
-    pairs = durable(pairs.distinct())
+    def run(batches):
+        for batch in batches:
+            n, n2 = batch.column("n").to_pylist(), batch.column("n2").to_pylist()
+            maps = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            good = [(100 + percent) * (x + y - _apart(*both)) >= 2 * percent * (x + y) for x, y, both in zip(n, n2, maps)]
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _among(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in one of the pairs: a bit map of fixed size, sent to all tasks, drops the others."""
     cell = lambda c: F.pmod(c.bitwiseXOR(F.shiftright(c, MAP_BITS)), F.lit(1 << MAP_BITS))
     ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
-    bits = ids.select(cell(F.col("i")).alias("c")).groupBy(F.shiftright("c", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("mask")
+    bits = ids.select(cell(F.col("i")).alias("c")).groupBy(F.shiftright("c", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("_mask")
     )  # at most 2^18 rows
-    place = cell(F.col("doc_id").cast("bigint"))
-    wanted = (
-        docs.select("doc_id", "text", F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-        .join(F.broadcast(bits), "word")
-        .where("shiftrightunsigned(mask, bit) & 1L = 1L")
-    )
-    sets = wanted.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles binary")
+    place = cell(F.col(key).cast("bigint"))
+    marked = rows.select("*", F.shiftright(place, 6).alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+    return marked.join(F.broadcast(bits), "_word").where("shiftrightunsigned(_mask, _bit) & 1L = 1L").select(*rows.columns)
+
+
+def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of heads that are similar.
+
+    First their maps are compared, which leaves few pairs that are not; only the
+    documents of those left are tokenised again, and only their sets are moved.
+    """
+    pairs = durable(pairs.distinct())
+    maps = _among(pairs, heads.select(F.col("head").alias("a"), "n", F.col("wide").alias("left")), "a")
+    both = pairs.join(maps, "a").join(maps.toDF("b", "n2", "right"), "b")
+    pairs = durable(both.select("a", "b", "n", "n2", "left", "right").mapInArrow(_near(percent), "a long, b long"))
+    sets = _among(pairs, docs.select("doc_id", "text"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
@@ -396,10 +435,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     context = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    seen = durable(docs.mapInArrow(_profile(size), "doc_id long, n long, node long, map array<long>, slice int, crowd binary"))
+    seen = durable(docs.mapInArrow(_profile(size), "doc_id long, n long, node long, map array<long>, wide binary, slice int, crowd binary"))
     rows = seen.where("slice is null").select("doc_id", "n", "node")
     named = seen.where("doc_id is not null and n > 0")
-    heads = durable(named.groupBy("node", "n").agg(F.min("doc_id").alias("head"), *(F.max(F.col("map")[i]).alias(f"m{i}_") for i in range(MAP_WORDS))))  # equal sets have equal maps
+    heads = durable(named.groupBy("node", "n").agg(F.min("doc_id").alias("head"), *(F.max(F.col("map")[i]).alias(f"m{i}_") for i in range(MAP_WORDS)), F.max("wide").alias("wide")))  # equal sets have equal maps
 
     crowding = _crowding(seen.where("slice is not null"))
     limit = LARGEST_LIGHT * 100 // percent + 1
@@ -418,17 +457,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     left = heads.select("node", "n", F.col("head").alias("a"))
     right = heads.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("head").alias("b"))
     named_pairs = listed.where(F.col("kind") == PAIR).select("node", "n", "node2", "n2").distinct().join(left, ["node", "n"]).join(right, ["node2", "n2"])
-    links = _checked(named_pairs.select("a", "b").where("a <> b"), docs, size, percent)
+    links = _checked(named_pairs.select("a", "b").where("a <> b"), heads, docs, size, percent)
     long = durable(listed.where(F.col("kind") == LONG).select("key", "node", "n", "pos").join(left, ["node", "n"]).select("key", F.col("a").alias("v"), "n", "pos").distinct())
-    maps = heads.select(F.col("head").alias("v"), *(f"m{i}_" for i in range(MAP_WORDS)), F.col("n"))
-    found = _meet(long, merged(None, links), maps, docs, size, percent)
+    found = _meet(long, merged(None, links), heads, docs, size, percent)
 
     out = rows.join(heads.select("node", "n", "head"), ["node", "n"], "left").join(found.select(F.col("v").alias("head"), "component"), "head", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _meet(long: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Compare the members of long lists that are in different components; returns the components after that.
 
     While that would be many pairs for each member, the members of each list are
@@ -438,6 +476,7 @@ def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, s
     maps differ in more bits than similar sets differ in shingles are left out.
     """
     bits = [f"m{i}_" for i in range(MAP_WORDS)]
+    maps = heads.select(F.col("head").alias("v"), *bits, "n")
     if long.isEmpty():
         return found
     for turn in range(TURNS + 1):
@@ -462,7 +501,7 @@ def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, s
         apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
         both = F.col("n") + F.col("n2")
         met = met.where(((100 + percent) * shares >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both))
-        found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), docs, size, percent))
+        found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), heads, docs, size, percent))
         if last:
             return found
 

@@ -112,6 +112,19 @@ def test_light_and_heavy_agree(spark):
     assert 1 <= jaccard.boundary({3: 10, 5: 10}, crowd, 80) <= jaccard.LARGEST_LIGHT
 
 
+def test_wide_maps():
+    """Maps of like sets differ in no more bits than the sets in shingles, also of different widths; those of unlike ones in more."""
+    draw = np.random.default_rng(1)
+    for n in (30, 1000, 1100, 5000, 20_000):
+        base = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        near = np.unique(np.concatenate((base[n // 20 :], draw.integers(0, 1 << 63, n // 10, dtype=np.uint64))))
+        base, far = np.unique(base), np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        assert jaccard._apart(jaccard._wide(base), jaccard._wide(near)) <= len(np.setxor1d(base, near))
+        pair = {"a": [1, 1], "b": [2, 3], "n": [len(base)] * 2, "n2": [len(near), len(far)], "left": [jaccard._wide(base)] * 2, "right": [jaccard._wide(near), jaccard._wide(far)]}
+        kept = [row for batch in jaccard._near(80)([pa.record_batch(pair)]) for row in batch.to_pylist()]
+        assert kept == [{"a": 1, "b": 2}]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (10, 11), (7, 7), (11, 10)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
