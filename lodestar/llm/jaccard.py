@@ -387,29 +387,25 @@ def _near(percent: int):
     return run
 
 
-def _among(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key may be in one of the pairs: a bit map of fixed size, sent to all tasks, drops the others."""
-    cell = lambda c: F.pmod(c.bitwiseXOR(F.shiftright(c, MAP_BITS)), F.lit(1 << MAP_BITS))
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
-    bits = ids.select(cell(F.col("i")).alias("c")).groupBy(F.shiftright("c", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("_mask")
-    )  # at most 2^18 rows
-    place = cell(F.col(key).cast("bigint"))
-    marked = rows.select("*", F.shiftright(place, 6).alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
-    return marked.join(F.broadcast(bits), "_word").where("shiftrightunsigned(_mask, _bit) & 1L = 1L").select(*rows.columns)
-
-
-def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of heads that are similar.
+def _checked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids that are similar.
 
-    First their maps are compared, which leaves few pairs that are not; only the
-    documents of those left are tokenised again, and only their sets are moved.
+    Only documents in a pair are tokenised again: a bit map of fixed size, small
+    enough to be sent to all tasks, drops the others as the table is scanned.
     """
     pairs = durable(pairs.distinct())
-    maps = _among(pairs, heads.select(F.col("head").alias("a"), "n", F.col("wide").alias("left")), "a")
-    both = pairs.join(maps, "a").join(maps.toDF("b", "n2", "right"), "b")
-    pairs = durable(both.select("a", "b", "n", "n2", "left", "right").mapInArrow(_near(percent), "a long, b long"))
-    sets = _among(pairs, docs.select("doc_id", "text"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary")
+    cell = lambda c: F.pmod(c.bitwiseXOR(F.shiftright(c, MAP_BITS)), F.lit(1 << MAP_BITS))
+    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
+    bits = ids.select(cell(F.col("i")).alias("c")).groupBy(F.shiftright("c", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(c & 63 as int))")).alias("mask")
+    )  # at most 2^18 rows
+    place = cell(F.col("doc_id").cast("bigint"))
+    wanted = (
+        docs.select("doc_id", "text", F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .join(F.broadcast(bits), "word")
+        .where("shiftrightunsigned(mask, bit) & 1L = 1L")
+    )
+    sets = wanted.select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, shingles binary")
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify(percent), "a long, b long")
@@ -455,18 +451,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         .select("key", "node", "n", "pos", "kind", "node2", "n2")
     )
     left = heads.select("node", "n", F.col("head").alias("a"))
-    right = heads.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("head").alias("b"))
-    named_pairs = listed.where(F.col("kind") == PAIR).select("node", "n", "node2", "n2").distinct().join(left, ["node", "n"]).join(right, ["node2", "n2"])
-    links = _checked(named_pairs.select("a", "b").where("a <> b"), heads, docs, size, percent)
+    right = heads.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("head").alias("b"), F.col("wide").alias("right"))
+    named_pairs = listed.where(F.col("kind") == PAIR).select("node", "n", "node2", "n2").distinct()
+    named_pairs = named_pairs.join(heads.select("node", "n", F.col("head").alias("a"), F.col("wide").alias("left")), ["node", "n"]).join(right, ["node2", "n2"])
+    near = named_pairs.where("a <> b").select("a", "b", "n", "n2", "left", "right").mapInArrow(_near(percent), "a long, b long")
+    links = _checked(near, docs, size, percent)
     long = durable(listed.where(F.col("kind") == LONG).select("key", "node", "n", "pos").join(left, ["node", "n"]).select("key", F.col("a").alias("v"), "n", "pos").distinct())
-    found = _meet(long, merged(None, links), heads, docs, size, percent)
+    maps = heads.select(F.col("head").alias("v"), *(f"m{i}_" for i in range(MAP_WORDS)), F.col("n"))
+    found = _meet(long, merged(None, links), maps, docs, size, percent)
 
     out = rows.join(heads.select("node", "n", "head"), ["node", "n"], "left").join(found.select(F.col("v").alias("head"), "component"), "head", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "head")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
-def _meet(long: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _meet(long: DataFrame, found: DataFrame, maps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Compare the members of long lists that are in different components; returns the components after that.
 
     While that would be many pairs for each member, the members of each list are
@@ -476,7 +475,6 @@ def _meet(long: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame,
     maps differ in more bits than similar sets differ in shingles are left out.
     """
     bits = [f"m{i}_" for i in range(MAP_WORDS)]
-    maps = heads.select(F.col("head").alias("v"), *bits, "n")
     if long.isEmpty():
         return found
     for turn in range(TURNS + 1):
@@ -501,7 +499,7 @@ def _meet(long: DataFrame, found: DataFrame, heads: DataFrame, docs: DataFrame,
         apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}2"))) for b in bits), F.lit(0))
         both = F.col("n") + F.col("n2")
         met = met.where(((100 + percent) * shares >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both))
-        found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), heads, docs, size, percent))
+        found = merged(found, _checked(met.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")), docs, size, percent))
         if last:
             return found
 
